@@ -1,5 +1,9 @@
 """The queries of this package and, where SQL can say the same, their SQL."""
 
+from .decontaminate import op8_decontamination
+from .language import op7_language
+from .line_dedup import OP5_SQL, op5_line_dedup
+from .near_dedup import op4_near_dedup
 from .packing import op2_packing
 from .token_counts import op3_token_counts
 from .token_files import op1_token_files
@@ -8,6 +12,10 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_language": op7_language,
+    "op8_decontamination": op8_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
