@@ -1,14 +1,47 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+language: documents without a letter, or like no language, go. lines: lines found in ten documents or more go. near: one
+document of each near-duplicate component stays. benchmark: documents that hold a benchmark item go. packing: what is left
+is packed into sequences. All stages but the last return the columns of documents. Nulls, empty tables, ties and clashing
+columns are as the operators define them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import packing, shared
+from docquarry.llm import decontaminate, language, line_dedup, near_dedup, packing, shared
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.accepted(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.without_common_lines(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.first_of_each(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, shared.table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(docs)
+
 
-STAGES = [("packing", lambda spark, docs, sf_dir: packing.packed_pieces(docs))]
+STAGES = [
+    ("language", language_stage),
+    ("lines", line_stage),
+    ("near", near_stage),
+    ("benchmark", benchmark_stage),
+    ("packing", packing_stage),
+]
 
-#: None: SQL cannot express these stages.
+#: SQL cannot express hyperdimensional profiles, SimHash, alignment or tokenizers; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
