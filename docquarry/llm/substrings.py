@@ -107,12 +107,12 @@ def found_in(raw: bytes):
             yield base + s, data[s:e], data[a : a + LEAD], a - s
 
 
-def lead_words(lead: bytes) -> tuple[int, int]:
-    """LEAD bytes as two signed integers in their order."""
-    return tuple(int.from_bytes(lead[k : k + 8], "big") - (1 << 63) for k in (0, 8))
+def lead_number(lead: bytes) -> int:
+    """The first 8 bytes as a signed integer, in their order."""
+    return int.from_bytes(lead[:8], "big") - (1 << 63)
 
 
-STRETCH = "part int, lead1 long, lead2 long, stretch binary, refs binary"
+STRETCH = "part int, off int, stretch binary, refs binary"  # off: where the anchor is in the stretch
 
 
 def cut_up(splitters: np.ndarray):
@@ -120,21 +120,20 @@ def cut_up(splitters: np.ndarray):
         for piece in shared.pieces_of(batches):
             held: dict[bytes, list] = {}
             for h, c, raw in texts_of([piece]):
-                for at, data, lead, _ in found_in(raw):
+                for at, data, lead, off in found_in(raw):
                     own = held.get(data)
                     if own is None:
-                        held[data] = [lead, {(h, c, at): 1}]
+                        held[data] = [lead_number(lead), {(h, c, at): 1}, off]
                     else:
                         own[1][h, c, at] = min(2, own[1].get((h, c, at), 0) + 1)
             names = list(held)
-            leads = [lead_words(held[x][0]) for x in names]
             for k in range(0, len(names), 20_000):
-                some = slice(k, k + 20_000)
-                one = np.array([x for x, _ in leads[some]], np.int64)
-                refs = [np.array([r for r, n in held[x][1].items() for _ in range(n)], REF).tobytes() for x in names[some]]
+                some = [(x, *held[x]) for x in names[k : k + 20_000]]
+                lead = np.array([n for _, n, _, _ in some], np.int64)
+                refs = [np.array([r for r, n in found.items() for _ in range(n)], REF).tobytes() for _, _, found, _ in some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.searchsorted(splitters, one, "right").astype(np.int32)), pa.array(one), pa.array([x for _, x in leads[some]], pa.int64()), pa.array(names[some], pa.binary()), pa.array(refs, pa.binary())],
-                    ["part", "lead1", "lead2", "stretch", "refs"],
+                    [pa.array(np.searchsorted(splitters, lead, "right").astype(np.int32)), pa.array([off for *_, off in some], pa.int32()), pa.array([x for x, *_ in some], pa.binary()), pa.array(refs, pa.binary())],
+                    ["part", "off", "stretch", "refs"],
                 )
 
     return cut
@@ -200,15 +199,15 @@ def compare(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], SPANS)
 
     for batch in batches:
-        for a, b, s, r in zip(*(batch.column(k).to_pylist() for k in ("lead1", "lead2", "stretch", "refs")), strict=True):
-            if (a, b) != lead:
+        for own, s, r in zip(*(batch.column(k).to_pylist() for k in ("lead", "stretch", "refs")), strict=True):
+            if own != lead:
                 if len(group) > 1 or group and len(group[0][1]) > REF.itemsize:
                     chunk += group
                     size += sum(len(x) for x, _ in group)
                     if size > CHUNK:
                         yield from flush()
                         chunk, size = [], 0
-                group, lead = [], (a, b)
+                group, lead = [], own
             group.append((s, r))
     if len(group) > 1 or group and len(group[0][1]) > REF.itemsize:
         chunk += group
@@ -234,12 +233,12 @@ def splitters_of(rows: DataFrame, parts: int) -> np.ndarray:
 
     def leads(batches):
         for piece in shared.pieces_of(batches):
-            got = [lead_words(lead)[0] for _, _, raw in texts_of([piece]) for _, _, lead, _ in found_in(raw)]
+            got = [lead_number(lead) for _, _, raw in texts_of([piece]) for _, _, lead, _ in found_in(raw)]
             kept = sorted(got)[:: max(1, len(got) // 4000)]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["lead1"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["lead"])
 
     some = rows.sample(min(1.0, SAMPLE_ROWS / n), seed=11) if n else rows
-    sample = np.sort(np.array([r.lead1 for r in some.mapInArrow(leads, "lead1 long").collect()], np.int64))
+    sample = np.sort(np.array([r.lead for r in some.mapInArrow(leads, "lead long").collect()], np.int64))
     if not len(sample):
         return np.zeros(0, np.int64)
     return np.unique(sample[np.linspace(0, len(sample) - 1, parts + 1).astype(int)[1:-1]])
@@ -251,8 +250,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = shared.id_text(docs).select("text", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")).where(F.octet_length("text") >= LENGTH)
     parts = shared.partitions(spark)
     splitters = splitters_of(rows, parts)
-    moved = rows.mapInArrow(cut_up(splitters), STRETCH).repartitionById(parts, F.col("part")).sortWithinPartitions("lead1", "lead2")
-    spans = moved.select("lead1", "lead2", "stretch", "refs").mapInArrow(compare, "h long, c long, start long, end long")
+    moved = rows.mapInArrow(cut_up(splitters), STRETCH).repartitionById(parts, F.col("part"))
+    lead = F.expr(f"substring(stretch, off + 1, {LEAD})").alias("lead")  # made here, so that it is not moved
+    spans = moved.select(lead, "stretch", "refs").sortWithinPartitions("lead").mapInArrow(compare, "h long, c long, start long, end long")
     spans = shared.store(spans, "spans")
     return spans.groupBy("h", "c").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
