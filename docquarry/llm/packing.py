@@ -60,8 +60,22 @@ def hilbert_key(point, bits: int = BITS) -> int:
     return key
 
 
-def curve_key(ids: np.ndarray, table: np.ndarray) -> int:
-    vector = table[ids].sum(axis=0, dtype=np.float64)
+def sign_lanes(vocabulary: int) -> np.ndarray:
+    """signs() with the plus signs of an id as 16-bit lanes of one integer, so that one sum adds up all dimensions."""
+    plus = (signs(vocabulary) > 0).astype(np.uint64)
+    return (plus << (16 * np.arange(DIMS, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
+def hashed_vector(ids: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    plus = np.zeros(DIMS, np.int64)
+    for k in range(0, len(ids), 60_000):  # a lane holds 16 bits
+        total = int(lanes[ids[k : k + 60_000]].sum(dtype=np.uint64))
+        plus += [total >> 16 * d & 0xFFFF for d in range(DIMS)]
+    return (2 * plus - len(ids)).astype(np.float64)
+
+
+def curve_key(ids: np.ndarray, lanes: np.ndarray) -> int:
+    vector = hashed_vector(ids, lanes)
     unit = vector / max(1.0, float(np.sqrt((vector**2).sum())))
     cell = np.clip(((unit + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
     return hilbert_key(cell)
@@ -80,14 +94,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1
 
     def cut(batches):
         enc = encoder(tokenizer)
-        table = signs(enc.tokenizer.get_vocab_size(with_added_tokens=True))
+        lanes = sign_lanes(enc.tokenizer.get_vocab_size(with_added_tokens=True))
         tail = np.array([end_id], enc.dtype).tobytes()
         for batch in shared.pieces_of(batches):
             cols: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 raw = (enc.encode(text) if text else b"") + tail
                 ids = np.frombuffer(raw, enc.dtype)
-                key, salt = curve_key(ids, table), zlib.crc32(raw, zlib.crc32(str(doc).encode()))
+                key, salt = curve_key(ids, lanes), zlib.crc32(raw, zlib.crc32(str(doc).encode()))
                 for at in range(0, len(ids), FRAGMENT):
                     for c, v in zip(cols, (key, salt, doc, at, len(ids), raw[at * enc.width : (at + FRAGMENT) * enc.width]), strict=True):
                         c.append(v)

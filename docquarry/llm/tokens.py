@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -16,8 +18,30 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 _CHUNK = re.compile(r"\s+(?!\S)| ?\S+|\s", re.ASCII)
-_WORD = re.compile(r"( ?)([A-Za-z]+)([.,]*)")
-_MOST = 1_500_000  # chunks kept by a worker
+_WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+_MOST, _MOST_WORDS = 1_200_000, 800_000  # chunks and bare words kept by a worker
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level alphabets write the bytes that are not printable letters: from U+0100 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
+
+
+class _Chunks(dict):
+    """Encodes a chunk the first time that it is asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self[chunk] = self.make(chunk)
+        return got
 
 
 class Encoder:
@@ -36,9 +60,10 @@ class Encoder:
         self.kind = self._kind(spec)
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.odd = re.compile("|".join([_ODD_SPACE, *special]))
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = _Chunks(self._chunk)
         self.words: dict[str, bytes] = {}
         self.model = self.tokenizer.model
+        self.code = "H" if self.width == 2 else "I"
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -50,22 +75,29 @@ class Encoder:
             return "word"
         return "whole"
 
+    def _raw(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            if len(self.words) >= _MOST:
+            if len(self.words) >= _MOST_WORDS:
                 self.words.clear()
-            got = np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+            word_bytes = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            got = self._raw([t.id for t in self.model.tokenize("Ġ" + word_bytes[1:] if word[0] == " " else word_bytes)])
             self.words[word] = got
         return got
 
     def _chunk(self, chunk: str) -> bytes:
         m = _WORD.fullmatch(chunk)
-        if m and self.kind == "byte":  # in byte-level alphabets a space is written as U+0120
-            got = self._word(("Ġ" if m[1] else "") + m[2])
+        if m and self.kind == "byte":
+            got = self._word(m[1] + m[2])
         elif m:
             got = self._word(m[2].lower())
         else:
@@ -82,16 +114,9 @@ class Encoder:
         if self.kind == "whole" or self.odd.search(text):
             return self.whole(text)
         parts = text.split() if self.kind == "word" else _CHUNK.findall(text)
-        chunks = self.chunks
-        try:
-            return b"".join([chunks[p] for p in parts])
-        except KeyError:
-            if len(chunks) + len(parts) > _MOST:
-                chunks.clear()
-            for p in parts:
-                if p not in chunks:
-                    chunks[p] = self._chunk(p)
-        return b"".join([chunks[p] for p in parts])
+        if len(self.chunks) > _MOST:
+            self.chunks.clear()
+        return b"".join(map(self.chunks.__getitem__, parts))
 
 
 _ENCODERS: dict[str, Encoder] = {}

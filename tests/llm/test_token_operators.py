@@ -142,3 +142,8 @@ def test_token_counts(spark, sf_dir):
         got = token_counts.count_tokens(docs, P.path("piece_bpe_32k.model")).collect()
         assert Counter(map(tuple, got)) == want
     assert token_counts.count_tokens(empty(spark), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_hashed_vector_equals_sum_of_signs():
+    ids = np.random.default_rng(0).integers(0, 500, 130_000).astype("<u2")
+    assert packing.hashed_vector(ids, packing.sign_lanes(500)).tolist() == packing.signs(500)[ids].sum(axis=0).tolist()
