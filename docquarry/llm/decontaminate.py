@@ -163,6 +163,7 @@ def _block(docs: DataFrame, block: list[tuple[int, str | None]], threshold: floa
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary())
 
     def find(batches):
+        shared.make_room()
         items = sent.value
         number = items.vocabulary.get
         for batch in shared.pieces_of(batches):
@@ -183,6 +184,7 @@ def _block(docs: DataFrame, block: list[tuple[int, str | None]], threshold: floa
         rare[order[: max(1, -(-len(order) * 3 // 4))]] = True
 
     def score(batches):
+        shared.make_room()
         items = sent.value
         for batch in batches:
             got = list(aligned(items, rare, batch.to_pylist(), threshold))

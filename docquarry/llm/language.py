@@ -94,6 +94,7 @@ def learn(training: DataFrame) -> tuple[list[str], np.ndarray]:
     """Prototypes (unit rows) of the languages in training's columns text and lang."""
 
     def sums(batches):
+        shared.make_room()
         total: dict[str, np.ndarray] = {}
         for batch in shared.pieces_of(batches, 2 << 20):
             langs = batch.column("lang").to_pylist()
@@ -119,6 +120,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
     """docs with two more columns: lang_pred and score. docs must have a column text; a batch is read at a time."""
 
     def label(batches):
+        shared.make_room()
         for batch in shared.pieces_of(batches, 2 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             vectors, found = bundle(texts)

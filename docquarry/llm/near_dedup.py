@@ -62,6 +62,7 @@ def add_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, mark (a hash that tells texts of one doc_id apart), fp (64 bits as a long)."""
 
     def make(batches):
+        shared.make_room()
         for batch in shared.pieces_of(batches):
             fps = fingerprints(batch.column("text").to_pylist()).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(fps)], ["doc_id", "mark", "fp"])
@@ -180,6 +181,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """a, b: fingerprints that are linked, enough of them to connect all that are. distinct: column fp without repeats."""
 
     def compare(batches):
+        shared.make_room()
         fps, cell = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
         held = 0
 

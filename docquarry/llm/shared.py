@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: What a Python worker keeps from task to task; an operator that keeps nothing itself empties it, to leave room.
+KEPT: list[dict] = []
+
+
+def make_room() -> None:
+    for held in KEPT:
+        held.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

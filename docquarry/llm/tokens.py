@@ -14,12 +14,14 @@ from array import array
 
 import numpy as np
 
+from . import shared
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 _CHUNK = re.compile(r"\s+(?!\S)| ?\S+|\s", re.ASCII)
 _WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
-_MOST, _MOST_WORDS = 1_200_000, 800_000  # chunks and bare words kept by a worker
+_MOST, _MOST_WORDS = 700_000, 450_000  # chunks and bare words kept by a worker
 
 
 def _byte_letters() -> dict[int, str]:
@@ -125,5 +127,6 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        made = _ENCODERS[path] = Encoder(path)
+        shared.KEPT.extend([made.chunks, made.words])
     return _ENCODERS[path]
