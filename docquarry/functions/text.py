@@ -45,12 +45,17 @@ def is_noise(line: Column) -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body uses it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def drop_noise_lines(text: Column) -> Column:
     """Without metadata and navigation lines, and without breadcrumbs (numbered links) before the first header."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: ~is_noise(x))
-    header = F.array_position(F.transform(lines, lambda x: _starts(trim(x), "#")), True)
     crumb = lambda x: trim(x).rlike("^[0-9]") & F.contains(trim(x), F.lit("[")) & F.contains(trim(x), F.lit("]("))
-    return F.array_join(F.filter(lines, lambda x, i: ~(((header == 0) | (i + 1 < header)) & crumb(x))), "\n")
+    keep = lambda ls, header: F.array_join(F.filter(ls, lambda x, i: ~(((header == 0) | (i + 1 < header)) & crumb(x))), "\n")
+    return _let(lines, lambda ls: _let(F.array_position(F.transform(ls, lambda x: _starts(trim(x), "#")), True), lambda header: keep(ls, header)))
 
 
 def strip_images(text: Column, rounds: int = 4) -> Column:
@@ -63,8 +68,8 @@ def strip_images(text: Column, rounds: int = 4) -> Column:
     out = text
     for _ in range(rounds):
         out = once(out)
-    openings = F.filter(F.split(out, ""), lambda c: c == "!")
-    return F.when(out.rlike(r"!\[[^)]*\)"), F.aggregate(openings, out, lambda x, _: once(x))).otherwise(out)
+    openings = lambda o: F.filter(F.split(o, ""), lambda c: c == "!")
+    return _let(out, lambda o: F.when(o.rlike(r"!\[[^)]*\)"), F.aggregate(openings(o), o, lambda x, _: once(x))).otherwise(o))
 
 
 def strip_links(text: Column) -> Column:
