@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: What a Python worker keeps from task to task; an operator that keeps nothing itself empties it, to leave room.
-KEPT: list[dict] = []
+#: What a Python worker keeps from task to task (all have clear()); an operator that keeps nothing empties it, to leave room.
+KEPT: list = []
 
 
 def make_room() -> None:

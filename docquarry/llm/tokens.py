@@ -1,7 +1,7 @@
 """Exact token ids through the tokenizers library, with a store of chunks already encoded.
 
-A text is cut at white space into chunks that the tokenizer treats independently; each distinct chunk is encoded once per
-Python worker. Texts for which that independence does not hold (special strings, unusual white space) are encoded whole.
+A text is cut at white space and where runs of letters end into chunks that the tokenizer treats independently; a Python
+worker encodes each distinct chunk once and keeps the chunks used of late. Texts for which that independence does not hold (special strings, unusual white space) are encoded whole.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ from . import shared
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
-_CHUNK = re.compile(r"\s+(?!\S)| ?\S+|\s", re.ASCII)
-_WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
-_MOST, _MOST_WORDS = 700_000, 450_000  # chunks and bare words kept by a worker
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]++"
+_RUN = _LETTERS + r"(?=[\x00-@\[-`{-\x7f]|\Z)"  # ends where a run of letters surely ends
+_CHUNK = re.compile(rf"\s+(?!\S)| ?{_RUN}| ?\S+|\s", re.ASCII)
+_BARE_CHUNK = re.compile(rf"{_RUN}|\S+", re.ASCII)
+_WORD = re.compile(" ?" + _LETTERS)
+_MOST = 600_000  # chunks in a generation; a worker keeps two
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,14 +38,17 @@ _BYTES = _byte_letters()
 
 
 class _Chunks(dict):
-    """Encodes a chunk the first time that it is asked for."""
+    """Encodes a chunk the first time that it is asked for, unless the generation before knows it."""
 
-    def __init__(self, make):
+    def __init__(self, make, before: dict | None = None):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, before or {}
 
     def __missing__(self, chunk: str) -> bytes:
-        got = self[chunk] = self.make(chunk)
+        got = self.before.get(chunk)
+        if got is None:
+            got = self.make(chunk)
+        self[chunk] = got
         return got
 
 
@@ -63,7 +69,6 @@ class Encoder:
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.odd = re.compile("|".join([_ODD_SPACE, *special]))
         self.chunks = _Chunks(self._chunk)
-        self.words: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         self.code = "H" if self.width == 2 else "I"
 
@@ -86,38 +91,24 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= _MOST_WORDS:
-                self.words.clear()
-            word_bytes = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-            got = self._raw([t.id for t in self.model.tokenize("Ġ" + word_bytes[1:] if word[0] == " " else word_bytes)])
-            self.words[word] = got
-        return got
-
     def _chunk(self, chunk: str) -> bytes:
-        m = _WORD.fullmatch(chunk)
-        if m and self.kind == "byte":
-            got = self._word(m[1] + m[2])
-        elif m:
-            got = self._word(m[2].lower())
-        else:
+        if not _WORD.fullmatch(chunk):
             return self.whole(chunk)
-        return got + self._tail(m[3]) if m[3] else got
+        if self.kind == "word":
+            chunk = chunk.lower()
+        letters = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTES)
+        return self._raw([t.id for t in self.model.tokenize("Ġ" + letters[1:] if chunk[0] == " " else letters)])
 
-    def _tail(self, marks: str) -> bytes:
-        got = self.words.get(marks)
-        if got is None:
-            got = self.words[marks] = self.whole(marks)
-        return got
+    def clear(self) -> None:
+        self.chunks = _Chunks(self._chunk)
 
     def encode(self, text: str) -> bytes:
         if self.kind == "whole" or self.odd.search(text):
             return self.whole(text)
-        parts = text.split() if self.kind == "word" else _CHUNK.findall(text)
         if len(self.chunks) > _MOST:
-            self.chunks.clear()
+            self.chunks.before = {}
+            self.chunks = _Chunks(self._chunk, self.chunks)
+        parts = (_BARE_CHUNK if self.kind == "word" else _CHUNK).findall(text)
         return b"".join(map(self.chunks.__getitem__, parts))
 
 
@@ -127,6 +118,6 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker."""
     if path not in _ENCODERS:
-        made = _ENCODERS[path] = Encoder(path)
-        shared.KEPT.extend([made.chunks, made.words])
+        _ENCODERS[path] = Encoder(path)
+        shared.KEPT.append(_ENCODERS[path])
     return _ENCODERS[path]

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from docquarry.llm import packing, shared, token_counts, token_files
+from docquarry.llm import packing, shared, token_counts, token_files, tokens
 from docquarry.llm.tokens import Encoder
 
 from .cases import awkward, empty
@@ -31,6 +31,16 @@ def test_encoder_equals_library(name):
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
 
     same()
+    for text in ("don't 'tis x''s", "abcł łabc aÉ", "a=\u0338b e\u0301 ab\u0301c", "x²y ªb µm", "Word### ÉÀ!! end.,;", "a" * 5000 + " b", "A1b2 _x_y_"):
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_keeps_ids_when_generations_turn(monkeypatch):
+    monkeypatch.setattr(tokens, "_MOST", 3)
+    own, lib = Encoder(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for text in ["the of and, to", "the in a ### the", "of la de", "the of", "é to the"] * 3:
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert len(own.chunks) + len(own.chunks.before) <= 20
 
 
 def test_piece_counter_equals_library():
