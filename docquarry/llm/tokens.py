@@ -24,7 +24,7 @@ _RUN = _LETTERS + r"(?=[\x00-@\[-`{-\x7f]|\Z)"  # ends where a run of letters su
 _CHUNK = re.compile(rf"\s+(?!\S)| ?{_RUN}| ?\S+|\s", re.ASCII)
 _BARE_CHUNK = re.compile(rf"{_RUN}|\S+", re.ASCII)
 _WORD = re.compile(" ?" + _LETTERS)
-_MOST = 600_000  # chunks in a generation; a worker keeps two
+_MOST = 450_000  # chunks in a generation; a worker keeps two
 
 
 def _byte_letters() -> dict[int, str]:
