@@ -98,8 +98,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1
         tail = np.array([end_id], enc.dtype).tobytes()
         for batch in shared.pieces_of(batches):
             cols: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = (enc.encode(text) if text else b"") + tail
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), enc.encode_rows(batch.column("text")), strict=True):
+                raw += tail
                 ids = np.frombuffer(raw, enc.dtype)
                 key, salt = curve_key(ids, lanes), zlib.crc32(raw, zlib.crc32(str(doc).encode()))
                 for at in range(0, len(ids), FRAGMENT):

@@ -153,8 +153,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(mine + ".ids", compression=None)
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = (enc.encode(text) if text else b"") + tail
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), enc.encode_rows(batch.column("text")), strict=True):
+                raw += tail
                 out.write(raw)
                 ids.append(doc)
                 lengths.append(len(raw) // enc.width)
