@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -43,6 +44,40 @@ def test_encoder_keeps_ids_when_generations_turn(monkeypatch):
         assert len(own.chunks) + len(own.chunks.before) <= 20
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoded_columns_equal_library(name, monkeypatch):
+    monkeypatch.setattr(tokens, "_SLOTS", 64)  # so that the table is renewed again and again
+    monkeypatch.setattr(tokens, "_WINDOW", 16)
+    own, lib = Encoder(P.path(name)), Tokenizer.from_file(P.path(name))
+
+    def check(texts):
+        ids, at = own.encode_column(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    plain = st.text(st.sampled_from(list("aAbé ß\n\t\x0b\r'.,!1s \x7fÀ-")), max_size=60)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.one_of(st.none(), plain, ODD), max_size=8))
+    def same(texts):
+        check(texts)
+
+    same()
+    check([])
+    check([None, "", "  a", "a  ", "a\n\n b", "\tb", "x<|endoftext|>y", "a\x00b", "a\x1cb", "日本 é", "été ÷ ×", "µm ªº", "e\u0301 x", "z" * 500, "ab " * 5000])
+    check(["abcdefgh", "abcdefghi", "abcdefghabcdefgh", "abcdefghabcdefghi", " abcdefg", " " * 16, " " * 17])
+
+
+def test_renewed_table_keeps_what_was_found_again():
+    table, keys = tokens._Table(np.dtype("<u2")), np.array([[k + 1, k % 3] for k in range(5000)], np.uint64)
+    number = np.arange(5000) % 4
+    table.add(keys, np.repeat(np.arange(5000), number).astype("<u2"), number)
+    table.seen[table.find(keys[::7])] = True
+    new = table.renewed()
+    slot = new.find(keys)
+    assert (slot >= 0).tolist() == [k % 7 == 0 for k in range(5000)]
+    assert all(new.pool[new.at[s] : new.at[s] + new.number[s]].tolist() == [k] * (k % 4) for k, s in enumerate(slot.tolist()) if s >= 0)
+
+
 def test_piece_counter_equals_library():
     own = token_counts.PieceCounter(P.path("piece_bpe_32k.model"))
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
