@@ -31,7 +31,7 @@ _WORD = re.compile(" ?" + _LETTERS)
 _MOST = 200_000  # chunks in a generation of those that are not in the table; a worker keeps two
 _KEEP = 64  # letters of a chunk that is kept
 _RARE = "[^\x01-\x7fÀ-ÖØ-öø-ÿ]"  # texts that hold such a letter are not encoded by columns
-_SLOTS = 1 << 21  # of the table of short chunks, which is renewed when it is three quarters full
+_SLOTS = 1 << 20  # of the table of short chunks, which is renewed when it is three quarters full
 _WINDOW = 1 << 17  # chunks that are looked up together
 
 _SPACE = np.zeros(256, bool)
