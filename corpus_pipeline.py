@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage works on all that the one before it kept.
 
 language: documents without a letter, or like no language, go. lines: lines found in ten documents or more go. near: one
-document of each near-duplicate component stays. benchmark: documents that hold a benchmark item go. packing: what is left
+document of each component of texts whose five-word shingles are alike (Jaccard 0.8 or more) stays. benchmark: documents that hold a benchmark item go. packing: what is left
 is packed into sequences. All stages but the last return the columns of documents. Nulls, empty tables, ties and clashing
 columns are as the operators define them.
 """
@@ -22,7 +22,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.first_of_each(docs)
+    return near_dedup.first_of_similar(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docquarry.llm import line_dedup, shared
+from docquarry.llm import line_dedup, near_dedup, shared
 from tests.oracle import compare
 
 from .cases import awkward, empty
@@ -31,3 +33,52 @@ def test_stages_keep_columns_and_rows_follow(spark, sf_dir):
 def test_names_of_stages(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near", "benchmark", "packing"]
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def brute_similar(rows, least=0.8):
+    """The first doc_id of each component of texts whose sets of five-word shingles have a Jaccard similarity of least."""
+    sets = []
+    for d, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append((d, {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}))
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if len(a & b) >= least * len(a | b):
+                root[find(i)] = find(j)
+    out = {}
+    for i, (d, _) in enumerate(sets):
+        if d is not None:
+            out[find(i)] = min(d, out.get(find(i), d))
+    return sorted(out.values())
+
+
+def graded_copies():
+    """Texts at similarities about 0.7 to 1 to a few originals, and a chain whose ends are far apart."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(9000)}"
+    out = []
+    for n in (30, 120, 400):
+        base = [word() for _ in range(n)]
+        for share in (0, 0.01, 0.015, 0.02, 0.022, 0.025, 0.03, 0.035, 0.04):
+            out.append(" ".join(w if rng.random() >= share else word() for w in base))
+    chain = [word() for _ in range(200)]
+    for _ in range(8):
+        chain = chain[10:] + [word() for _ in range(10)]
+        out.append(" ".join(chain))
+    return out
+
+
+def test_near_stage_finds_all_alike(spark, sf_dir, monkeypatch):
+    for docs, cell in ((shared.table(spark, sf_dir, "documents"), 4096), (awkward(spark, graded_copies()), 4096), (awkward(spark, graded_copies()), 3), (empty(spark), 4096)):
+        monkeypatch.setattr(near_dedup, "CELL", cell)
+        kept = corpus_pipeline.near_stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == brute_similar([(r.doc_id, r.text) for r in docs.collect()])
