@@ -2,9 +2,9 @@
 
 Items are the stated query set; they are taken in blocks of at most BLOCK items and about BLOCK_CHARS letters, so what a task is sent is bounded. One
 pass over the texts finds the items' word trigrams; each hit gives the passage around it in which the item would lie.
-Corpus counts of the trigrams then tell the rare ones: an item's seeds are its trigrams but for the commonest quarter (so
-an item always has seeds, however often it was copied). Passages with a seed are aligned with their item by Smith-Waterman
-(match 1, other word -1, gap -1); the score is the best local alignment over the item's number of words.
+Every trigram is a seed, however common: an edited copy may keep only common ones. Passages in which enough words can match
+to reach the threshold are aligned with their item by Smith-Waterman (match 1, other word -1, gap -1); the score is the best
+local alignment over the item's number of words. A copy that keeps no trigram of its item whole is not found.
 
 Defined cases: words are runs of letters and digits, without case. A null or empty text holds nothing; so does an item
 without words. Items shorter than a trigram use their whole text as the seed. Rows that share doc_id and text give one
@@ -43,9 +43,8 @@ class Items:
         self.grams: list[tuple[int, ...]] = []  # number -> words
         number: dict[tuple[int, ...], int] = {}
         self.places: list[list[tuple[int, int]]] = []  # number -> (item, place)
-        self.of_item: list[list[int]] = []
         for k, words in enumerate(self.words):
-            own, size = [], min(GRAM, len(words))
+            size = min(GRAM, len(words))
             for p in range(len(words) - size + 1 if size else 0):
                 gram = tuple(words[p : p + size].tolist())
                 n = number.setdefault(gram, len(number))
@@ -53,8 +52,6 @@ class Items:
                     self.grams.append(gram)
                     self.places.append([])
                 self.places[n].append((k, p))
-                own.append(n)
-            self.of_item.append(sorted(set(own)))
         self.base = len(self.vocabulary) + 1
         self.lookup = {}
         for size in range(1, GRAM + 1):
@@ -82,24 +79,23 @@ class Items:
         return out
 
     def passages(self, words: np.ndarray):
-        """(item, start, end, gram numbers) of the stretches in which an item may lie."""
-        spans: dict[int, list[tuple[int, int, int]]] = {}
+        """(item, start, end) of the stretches in which an item may lie."""
+        spans: dict[int, list[tuple[int, int]]] = {}
         for place, gram in self.hits(words):
             for item, p in self.places[gram]:
                 m = len(self.words[item])
                 pad = m // 4 + 4
-                spans.setdefault(item, []).append((max(0, place - p - pad), min(len(words), place - p + m + pad), gram))
+                spans.setdefault(item, []).append((max(0, place - p - pad), min(len(words), place - p + m + pad)))
         for item, found in spans.items():
             found.sort()
-            start, end, grams = found[0][0], found[0][1], {found[0][2]}
-            for s, e, g in found[1:]:
+            start, end = found[0]
+            for s, e in found[1:]:
                 if s <= end:
                     end = max(end, e)
-                    grams.add(g)
                 else:
-                    yield item, start, end, sorted(grams)
-                    start, end, grams = s, e, {g}
-            yield item, start, end, sorted(grams)
+                    yield item, start, end
+                    start, end = s, e
+            yield item, start, end
 
 
 def align(item: np.ndarray, texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -133,15 +129,14 @@ def align(item: np.ndarray, texts: list[np.ndarray]) -> list[tuple[int, int, int
     return [(int(b), int(s), int(e)) for b, (s, e) in zip(best, span, strict=True)]
 
 
-def aligned(items: Items, rare: np.ndarray, rows: list[dict], threshold: float):
+def aligned(items: Items, rows: list[dict], threshold: float):
     """(row, score, first word, word after the last) of the rows whose passage holds their item."""
     by: dict[int, list[tuple[dict, np.ndarray]]] = {}
     for r in rows:
-        if rare[r["grams"]].any():
-            words, own = np.frombuffer(r["words"], "<i4"), items.words[r["item"]]
-            # no alignment scores more than the words that can match
-            if np.isin(words, own).sum() >= threshold * len(own) and np.isin(own, words).sum() >= threshold * len(own):
-                by.setdefault(r["item"], []).append((r, words))
+        words, own = np.frombuffer(r["words"], "<i4"), items.words[r["item"]]
+        # no alignment scores more than the words that can match
+        if np.isin(words, own).sum() >= threshold * len(own) and np.isin(own, words).sum() >= threshold * len(own):
+            by.setdefault(r["item"], []).append((r, words))
     for item, some in by.items():
         some.sort(key=lambda x: len(x[1]))
         at = 0
@@ -154,13 +149,13 @@ def aligned(items: Items, rare: np.ndarray, rows: list[dict], threshold: float):
                     yield r, score / len(items.words[item]), first, end
 
 
-PASSAGE = "doc_id long, mark long, item int, at int, grams array<int>, words binary"
+PASSAGE = "doc_id long, mark long, item int, at int, words binary"
 
 
 def _block(docs: DataFrame, block: list[tuple[int, str | None]], threshold: float) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(Items(block))
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def find(batches):
         shared.make_room()
@@ -170,24 +165,18 @@ def _block(docs: DataFrame, block: list[tuple[int, str | None]], threshold: floa
             cols: list[list] = [[] for _ in kinds]
             for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
                 words = np.array([number(w, 0) for w in words_of(text)], np.int32)
-                for item, start, end, grams in items.passages(words):
-                    for c, v in zip(cols, (doc, mark, item, start, grams, words[start:end].astype("<i4").tobytes()), strict=True):
+                for item, start, end in items.passages(words):
+                    for c, v in zip(cols, (doc, mark, item, start, words[start:end].astype("<i4").tobytes()), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "mark", "item", "at", "grams", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "mark", "item", "at", "words"])
 
     found = shared.store(shared.id_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(find, PASSAGE), "passages")
-    counts = found.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()  # at most the block's grams
-    often = {r.gram: r.n for r in counts}
-    rare = np.zeros(len(sent.value.grams), bool)
-    for own in sent.value.of_item:
-        order = sorted(own, key=lambda g: (often.get(g, 0), g))
-        rare[order[: max(1, -(-len(order) * 3 // 4))]] = True
 
     def score(batches):
         shared.make_room()
         items = sent.value
         for batch in batches:
-            got = list(aligned(items, rare, batch.to_pylist(), threshold))
+            got = list(aligned(items, batch.to_pylist(), threshold))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r["doc_id"] for r, *_ in got], pa.int64()),

@@ -187,3 +187,17 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, none).count() == 0
     assert decontaminate.clean(docs, none).count() == docs.count()
     assert SCHEMA
+
+
+def test_decontamination_keeps_passages_of_common_trigrams(spark):
+    words = [f"w{i}" for i in range(40)]
+    edited, at, run = [], 0, 2
+    while at < len(words):
+        edited += [*words[at : at + run], f"new{at}"]
+        at, run = at + run, 5 - run
+    docs = spark.createDataFrame([(d, " ".join(edited[:-1])) for d in range(3)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    want = smith_waterman(words, edited) / len(words)
+    assert want == 25 / 40
+    assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.contaminated(docs, bench).collect()} == {(d, 1, want) for d in range(3)}
+    assert decontaminate.clean(docs, bench).count() == 0
