@@ -2,18 +2,13 @@
 
 Fingerprints are compared once for each distinct value. Six blocks of bits make fifteen tables keyed by two blocks: two
 fingerprints that differ in at most four bits agree in two whole blocks, so they meet in a table. Within a table's bucket
-the 64 bit planes are stored vertically, 64 fingerprints to a word; shifting the planes compares every fingerprint with
-the one `o` places on, carry-save counters add up differing bits for all at once, and words in which all exceed the
-radius are dropped as soon as they do.
+the bit planes are stored vertically, 64 fingerprints to a word; shifting the planes compares every fingerprint with
+those a fixed number of places on, carry-save counters add up differing bits for many words at once, and words in which
+all exceed the radius are dropped as soon as they do.
 
 A bucket of over CELL fingerprints is dealt into cells (pairs of salts) that cover all its pairs, so no task holds an
 unbounded bucket. A task reports a forest of the links it found, not all pairs. Components come from rounds of stars.
 
-The stage of the pipeline (first_of_similar) links texts whose sets of five-word shingles have a Jaccard similarity of at
-least ALIKE. Pairs to look at share one of BANDS bands of ROWS least hashes (a pair at 0.8 shares none with probability
-3e-8) and at least half of all least hashes; each is confirmed on the whole shingle sets of the two texts. A first round
-confirms a forest of each bucket's likeliest links, a second all pairs whose ends are not yet in one component.
-
 Defined cases: no words (null, empty, blank): fingerprint zero, linked like any other. Equal rows and ties share a
 fingerprint and so a component. Rows without doc_id have a component too; its id is the smallest doc_id there is in it,
 null if there is none. Extra columns are ignored. No rows: no result.
@@ -33,10 +28,6 @@ RADIUS = 4
 WIDTHS = (11, 11, 11, 11, 10, 10)
 CELL = 4096
 SHINGLE = 4
-ALIKE, WORDS = 0.8, 5
-BANDS, ROWS = 24, 3
-_rng = np.random.default_rng(29)
-_FLIPS, _FACTORS = _rng.integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = 42) -> bytes:
@@ -80,82 +71,114 @@ def add_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """64 rows of words: bit i of word w of row b is bit b of fingerprint 64 w + i."""
+    """fps: (rows, k) words. Bit i of word w of row b of the result is bit b of fingerprint 64 w + i."""
     n = -(-len(fps) // 64) * 64
-    raw = np.zeros(n, "<u8")
+    raw = np.zeros((n, fps.shape[1]), "<u8")
     raw[: len(fps)] = fps
-    bits = np.unpackbits(raw.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(raw.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def _shift(words: np.ndarray, o: int, cols: np.ndarray) -> np.ndarray:
-    """Columns cols of words moved down by o lanes; words has spare columns at its end."""
-    skip, rest = divmod(o, 64)
-    near = words[:, cols + skip]
-    if not rest:
-        return near
-    return near >> np.uint64(rest) | words[:, cols + skip + 1] << np.uint64(64 - rest)
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save: the sum and the carry of three bit planes."""
+    either = a ^ b
+    return either ^ c, a & b | either & c
+
+
+class _Counters:
+    """Vertical counters of the lanes' differing bits; over: lanes that have left the counters' range."""
+
+    def __init__(self, words: int, radius: int):
+        self.radius = radius
+        self.planes = [np.zeros(words, np.uint64) for _ in range(max(3, radius.bit_length()))]
+        self.over = np.zeros(words, np.uint64)
+
+    def add8(self, x: list[np.ndarray]) -> None:
+        ones, twos, fours = self.planes[:3]
+        pairs = []
+        for k in range(0, 8, 4):
+            ones, a = _add(ones, x[k], x[k + 1])
+            ones, b = _add(ones, x[k + 2], x[k + 3])
+            twos, c = _add(twos, a, b)
+            pairs.append(c)
+        fours, carry = _add(fours, *pairs)
+        self.planes[:3] = ones, twos, fours
+        for k in range(3, len(self.planes)):
+            self.planes[k], carry = self.planes[k] ^ carry, self.planes[k] & carry
+        self.over |= carry
+
+    def exceeding(self) -> np.ndarray:
+        more, equal = self.over.copy(), ~self.over
+        for k in reversed(range(len(self.planes))):
+            if self.radius >> k & 1:
+                equal &= self.planes[k]
+            else:
+                more |= equal & self.planes[k]
+                equal &= ~self.planes[k]
+        return more
+
+    def keep(self, stay: np.ndarray) -> None:
+        self.planes, self.over = [p[stay] for p in self.planes], self.over[stay]
+
+
+#: Pairs of words that are compared at once.
+_AT_ONCE = 1 << 14
 
 
 def close_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS):
-    """Yields, for each distance o in the order, the places i such that i and i + o share a bucket and are close.
+    """Yields arrays (i, j) of places, i < j, that share a bucket and differ in at most radius bits; each pair once.
 
-    Rows of a bucket stand together.
+    fps: (rows,) or (rows, k) words. Rows of a bucket stand together. For each of 64 shifts the planes are moved once; a word
+    of 64 fingerprints is then compared with every word at or after it that its bucket reaches.
     """
+    fps = fps.reshape(len(fps), -1)
     n = len(fps)
     if n < 2:
         return
-    first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-    begin = np.flatnonzero(first)
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     last = np.repeat(np.append(begin[1:], n), np.diff(np.append(begin, n))) - 1  # the last place of each row's bucket
-    widest = int((last - np.arange(n)).max())
-    words = -(-n // 64)
-    planes = np.concatenate([planes_of(fps), np.zeros((64, words + 2), np.uint64)], axis=1)
     ahead = last - np.arange(n)
-    for o in range(1, widest + 1):
-        lanes = np.zeros(words * 64, np.uint8)
-        lanes[:n] = ahead >= o
-        wanted = np.packbits(lanes, bitorder="little").view("<u8")
-        cols = np.flatnonzero(wanted)
-        alive = wanted[cols].copy()
-        ones, twos, fours, over = (np.zeros(len(cols), np.uint64) for _ in range(4))
-        for k in range(0, 64, 8):
-            block = planes[k : k + 8]
-            differ = block[:, cols] ^ _shift(block, o, cols)
-            for x in differ:
-                carry = ones & x
-                ones ^= x
-                more = twos & carry
-                twos ^= carry
-                over |= fours & more
-                fours ^= more
-            alive &= ~(over | _exceeds(ones, twos, fours, radius))
-            if k < 56:
-                stay = alive != 0
-                if not stay.all():  # abandon the words in which every distance exceeds the radius
-                    cols, alive, ones, twos, fours, over = (v[stay] for v in (cols, alive, ones, twos, fours, over))
-                    if not len(cols):
-                        break
-        if len(cols):
-            bits = np.unpackbits(alive.view(np.uint8).reshape(len(cols), 8), axis=1, bitorder="little")
-            w, lane = np.nonzero(bits)
-            yield o, cols[w] * 64 + lane
-
-
-def _exceeds(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is over the radius (at most 7)."""
-    out = np.zeros_like(ones)
-    for v in range(radius + 1, 8):
-        hit = ~out
-        for bit, plane in ((1, ones), (2, twos), (4, fours)):
-            hit &= plane if v & bit else ~plane
-        out |= hit
-    return out
-
-
-def forest(fps: np.ndarray, bucket: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what close pairs connect: (place, place of its tree's first)."""
-    root = np.arange(len(fps))
+    words = -(-n // 64)
+    lanes = np.zeros(words * 64, np.int64)
+    lanes[:n] = ahead
+    lanes = lanes.reshape(words, 64)
+    reach = lanes.max(axis=1)  # how far any lane of a word must look
+    planes = planes_of(fps)
+    spare = np.zeros((len(planes), 1), np.uint64)
+    for r in range(min(64, int(ahead.max()) + 1)):
+        moved = planes if not r else planes >> np.uint64(r) | np.concatenate([planes[:, 1:], spare], axis=1) << np.uint64(64 - r)
+        steps = np.maximum(0, (reach - r) // 64 + 1)  # distances 64 q + r with q below this
+        col = np.repeat(np.arange(words), steps)
+        q = np.arange(len(col)) - np.repeat(np.cumsum(steps) - steps, steps)
+        if not r:
+            col, q = col[q > 0], q[q > 0]
+        for k in range(0, len(col), _AT_ONCE):
+            c, o = col[k : k + _AT_ONCE], q[k : k + _AT_ONCE]
+            wanted = lanes[c] >= (64 * o + r)[:, None]
+            alive = np.packbits(wanted, axis=1, bitorder="little").view("<u8")[:, 0]
+            stay = (alive != 0) & (c + o < words)
+            c, o, alive = c[stay], o[stay], alive[stay]
+            counters = _Counters(len(c), radius)
+            for b in range(0, len(planes), 8):
+                if not len(c):
+                    break
+                counters.add8([planes[x][c] ^ moved[x][c + o] for x in range(b, b + 8)])
+                if b + 8 == len(planes) or b * 8 >= radius:
+                    alive = alive & ~counters.exceeding()
+                    stay = alive != 0
+                    if not stay.all():  # abandon the words in which every distance exceeds the radius
+                        c, o, alive = c[stay], o[stay], alive[stay]
+                        counters.keep(stay)
+            if len(c):
+                bits = np.unpackbits(alive.view(np.uint8).reshape(len(c), 8), axis=1, bitorder="little")
+                w, lane = np.nonzero(bits)
+                i = c[w] * 64 + lane
+                yield i, i + 64 * o[w] + r
+
+
+def forest(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Close pairs that connect what all close pairs connect."""
+    root, out = np.arange(len(fps)), []
 
     def find(i):
         while root[i] != i:
@@ -163,17 +186,16 @@ def forest(fps: np.ndarray, bucket: np.ndarray) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    for o, places in close_pairs(fps, bucket):
-        apart = places[root[places] != root[places + o]]
-        for i in apart.tolist():
-            a, b = find(i), find(i + o)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        if len(apart):
-            while (root[root] != root).any():
-                root = root[root]
-    moved = np.flatnonzero(root != np.arange(len(fps)))
-    return [(int(i), int(root[i])) for i in moved]
+    for i, j in close_pairs(fps, bucket, radius):
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[i] != root[j]
+        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((a, b))
+    return out
 
 
 def _buckets() -> Column:
@@ -246,10 +268,10 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
     least = prints.groupBy("fp").agg(F.min(key).alias("key")).join(named, "fp")
     winners = least.groupBy("node").agg(F.min("key").alias("key")).select(F.col("key.doc_id").alias("w_id"), F.col("key.mark").alias("w_mark"))
-    return _kept(docs, winners)
+    return kept_rows(docs, winners)
 
 
-def _kept(docs: DataFrame, winners: DataFrame) -> DataFrame:
+def kept_rows(docs: DataFrame, winners: DataFrame) -> DataFrame:
     """The rows of docs named by w_id and w_mark, one of each."""
     winners = shared.store(winners, "winners")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
@@ -257,173 +279,5 @@ def _kept(docs: DataFrame, winners: DataFrame) -> DataFrame:
     return kept.dropDuplicates(["id", "mark"]).select("row.*")
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Hashes of the distinct shingles of WORDS words, sorted; a text without words has one of its own."""
-    return np.unique(np.frombuffer(shingle_hashes(text, WORDS) or bytes(8), ">u8").astype(np.uint64))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-def least_hashes(shingles: np.ndarray) -> np.ndarray:
-    """The least hash of a set under each of BANDS * ROWS hash functions."""
-    out = np.full(len(_FLIPS), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 4096):
-        out = np.minimum(out, ((shingles[k : k + 4096] ^ _FLIPS) * _FACTORS).min(axis=1))
-    return out
-
-
-def add_signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, node (a hash of the shingle set), n (its size), bands (a long each), sketch (a byte of each least hash)."""
-    names = ["doc_id", "mark", "node", "n", "bands", "sketch"]
-
-    def make(batches):
-        shared.make_room()
-        for batch in shared.pieces_of(batches):
-            node, size, bands, sketch = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                own = shingle_set(text)
-                least = least_hashes(own)
-                node.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
-                size.append(len(own))
-                bands.append([xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, ROWS))])
-                sketch.append((least >> np.uint64(56) ^ least >> np.uint64(20)).astype(np.uint8).tobytes())
-            cols = [pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *cols], names)
-
-    return shared.id_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(make, "doc_id long, mark long, node long, n long, bands array<long>, sketch binary")
-
-
-def likely(sketch: np.ndarray, size: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """Equal bytes of row i's sketch and of each other's; 0 where they or the sizes rule ALIKE out."""
-    same = (sketch[others] == sketch[i]).sum(axis=1)
-    fits = np.minimum(size[others], size[i]) >= ALIKE * np.maximum(size[others], size[i])
-    return np.where(fits & (2 * same >= sketch.shape[1]), same, 0)
-
-
-def likely_forest(sketch: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
-    """A forest of the likeliest links that connects all that likely pairs connect (Prim)."""
-    out, left = [], np.arange(1, len(size))
-    best, link, i = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64), 0
-    while len(left):
-        same = likely(sketch, size, i, left)
-        better = same > best
-        best, link = np.where(better, same, best), np.where(better, i, link)
-        k = int(best.argmax())
-        i = int(left[k])
-        if best[k]:
-            out.append((int(link[k]), i))
-        left, best, link = np.delete(left, k), np.delete(best, k), np.delete(link, k)
-    return out
-
-
-def likely_pairs(sketch: np.ndarray, size: np.ndarray, label: np.ndarray):
-    """All likely pairs of different labels."""
-    for i in range(len(size) - 1):
-        others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        if len(others):
-            yield from ((i, j) for j in others[likely(sketch, size, i, others) > 0].tolist())
-
-
-def _candidates(members: DataFrame, forest_only: bool) -> DataFrame:
-    """a < b: pairs of nodes to confirm. members: bucket, cell, node, n, sketch, label."""
-
-    def answer(rows):
-        rows = sorted(rows)
-        node, label, size = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        for i, j in likely_forest(sketch, size) if forest_only else likely_pairs(sketch, size, label):
-            yield int(node[i]), int(node[j])
-
-    def batched(found):
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-    def find(batches):
-        shared.make_room()
-        at, held, found = None, [], set()
-        for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("bucket", "cell", "node", "label", "n", "sketch"))
-            for bucket, cell, *row in zip(*cols, strict=True):
-                if (bucket, cell) != at:
-                    found.update(answer(held) if len(held) > 1 else ())
-                    at, held = (bucket, cell), []
-                    if len(found) >= 1 << 14:
-                        yield batched(found)
-                        found = set()
-                held.append(row)
-        for pair in answer(held) if len(held) > 1 else ():
-            found.add(pair)
-            if len(found) >= 1 << 14:
-                yield batched(found)
-                found = set()
-        yield batched(found)
-
-    return members.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(find, "a long, b long").distinct()
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose whole shingle sets are alike."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("key.mark").alias("mark")), "node")
-    texts = shared.id_text(docs).withColumn("mark", F.xxhash64("text")).join(wanted, "mark").groupBy("node").agg(F.min("text").alias("text"))
-    texts = shared.store(texts, "near-texts")
-
-    def confirm(batches):
-        shared.make_room()
-        kept: dict[int, np.ndarray] = {}
-
-        def of(node, text):
-            if node not in kept:
-                if len(kept) >= 16:
-                    kept.pop(next(iter(kept)))
-                kept[node] = shingle_set(text)
-            return kept[node]
-
-        for batch in batches:
-            good = [False] * batch.num_rows
-            for i in range(batch.num_rows):
-                a, x, b, y = (batch.column(c)[i].as_py() for c in ("a", "x", "b", "y"))
-                good[i] = jaccard(of(a, x), of(b, y)) >= ALIKE
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "x", "b", "y")
-    found = shared.store(both.mapInArrow(confirm, "a long, b long"), "alike")
-    shared.drop(texts)
-    return found
-
-
-def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, key) of every distinct shingle set, key its first row, and (node, component) of those alike to another."""
-    prints = shared.store(add_signatures(docs), "signatures")
-    key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
-    nodes = shared.store(prints.groupBy("node").agg(F.min(key).alias("key"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")), "nodes")
-    shared.drop(prints)
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    shares = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket", F.ceil(F.col("size") / CELL).cast("long").alias("salts"))
-    own = F.pmod(F.xxhash64("node"), "salts")
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda k: F.least(k, F.col("own")) * F.col("salts") + F.greatest(k, F.col("own")))
-    dealt = rows.join(shares, "bucket").withColumn("own", own).select("node", "bucket", F.explode(cells).alias("cell"))
-    dealt = shared.store(dealt, "near-cells")
-    members = dealt.join(nodes.select("node", "n", "sketch"), "node")
-
-    first = shared.store(_candidates(members.withColumn("label", F.col("node")), True), "near-pairs")
-    links = _confirmed(first, nodes, docs)
-    named = shared.store(shared.components(links, "near"), "near-names")
-    labelled = members.join(named, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    rest = shared.store(_candidates(labelled, False).join(first, ["a", "b"], "left_anti"), "near-pairs")
-    more = _confirmed(rest, nodes, docs)
-    if not more.isEmpty():
-        named = shared.components(links.union(more), "near")
-    return nodes.select("node", "key"), named
-
-
-def first_of_similar(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component of similar texts, chosen as first_of_each does."""
-    nodes, named = similar_components(docs)
-    least = nodes.join(named, "node", "left").groupBy(F.coalesce("component", "node").alias("name")).agg(F.min("key").alias("key"))
-    return _kept(docs, least.select(F.col("key.doc_id").alias("w_id"), F.col("key.mark").alias("w_mark")))
-
-
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(shared.table(spark, sf_dir, "documents"))

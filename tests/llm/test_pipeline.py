@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docquarry.llm import line_dedup, near_dedup, shared
+from docquarry.llm import line_dedup, shared, similar
 from tests.oracle import compare
 
 from .cases import awkward, empty
@@ -78,7 +78,7 @@ def graded_copies():
 
 def test_near_stage_finds_all_alike(spark, sf_dir, monkeypatch):
     for docs, cell in ((shared.table(spark, sf_dir, "documents"), 4096), (awkward(spark, graded_copies()), 4096), (awkward(spark, graded_copies()), 3), (empty(spark), 4096)):
-        monkeypatch.setattr(near_dedup, "CELL", cell)
+        monkeypatch.setattr(similar, "CELL", cell)
         kept = corpus_pipeline.near_stage(spark, docs, sf_dir)
         assert kept.columns == docs.columns
         assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == brute_similar([(r.doc_id, r.text) for r in docs.collect()])

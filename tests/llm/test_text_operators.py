@@ -92,7 +92,7 @@ def test_bit_sliced_pairs_equal_popcount(n):
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(n)], np.uint64)
     fps = centre[rng.integers(0, 3, n)] ^ flips
     bucket = np.sort(rng.integers(0, max(1, n // 20), n))
-    got = {(int(i), int(i) + o) for o, at in near_dedup.close_pairs(fps, bucket) for i in at}
+    got = {(int(a), int(b)) for i, j in near_dedup.close_pairs(fps, bucket) for a, b in zip(i, j, strict=True)}
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if bucket[i] == bucket[j] and (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
     assert got == want
 
