@@ -28,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a session of one machine gets one; a cluster's must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -105,8 +107,10 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
     )
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), what)
+        # the large star: what is above u goes to the least of u and its neighbours. Both sides are stored tables, so that a
+        # node with very many links is a skewed partition that adaptive execution splits
+        large = now.join(least, now["b"] == least["u"]).select("a", F.col("m").alias("b")).distinct()
         # every a > b here; the small star links a node's lower neighbours, and itself, to the least of them
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         after = (
@@ -119,6 +123,7 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
         after = store(after, what)
         old, new = (x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (now, after))
         drop(now)
+        drop(least)
         now = after
         if tuple(old) == tuple(new):
             break
