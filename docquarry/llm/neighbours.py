@@ -1,45 +1,62 @@
 """Operator 10: nearest neighbours by multiprobe p-stable hashing, reranked exactly.
 
-Entries are taken in bands of norms (a factor of sqrt 2 each); in a band, one more component makes all norms equal, so that
-the largest inner product is the least distance, and a query visits every band. A table hashes a vector by WIDTHS of Gaussian (2-stable) projections. A query visits, in each table, the buckets of its
-PROBES likeliest perturbations, in order of estimated success (the squared distances to the slots' borders). Each visited
-bucket is scored as a block of exact inner products and gives its best; the tables' candidates are merged and ranked.
+Entries are taken in at most BANDS bands of norms (a factor of sqrt 2 each); in a band one more component makes all norms
+equal, so that the largest inner product is the least distance, and a query visits every band. A table hashes a vector by
+Gaussian (2-stable) projections, as many as give buckets of about OCCUPANCY entries at the table's row count. A query visits,
+in each of TABLES tables, the buckets of its likeliest perturbations in order of estimated success (the squared distances to
+the slots' borders). How many it visits is fitted on SAMPLE queries, searched exactly: the fewest at which TARGET of their
+neighbours are met, at most MOST_PROBES. Each visited bucket gives its best by exact inner products; a task merges the
+candidates of a query from all buckets and tables that it holds, then the tasks' lists are merged and ranked.
+
+A query that has met fewer than k others though there are more is searched exactly, in blocks of BLOCK queries against all
+entries; so are all queries if even MOST_PROBES visits miss the target. So no list is shorter than it must be.
 
 Equal vectors are one entry that carries the smallest vec_ids (all that a top list could need), and equal queries are
-searched once. Buckets of over CELL entries are dealt into cells, each of which the query visits. So no task holds an
-unbounded bucket, nothing is cut off, and only the best of each cell is moved on.
+searched once. Buckets are dealt into cells of about CELL entries by VISITS queries, so no task holds an unbounded bucket or
+its unbounded visitors, nothing is cut off, and only the best of each cell is moved on.
 
-Parameters for the isotropic 64-d vectors of the test tables: recall about 0.95 at the cost of looking at about three
-quarters of the entries; no hashing scheme prunes much there. For clustered vectors use more projections and fewer probes.
+On vectors without clusters in many dimensions no hashing scheme prunes much (see the README for the share that is looked
+at, with and without clusters); the fit then visits nearly all buckets.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components take no part. Only vectors of the same
-length are compared. Rows that repeat vec_id and vector count once; rows that share a vec_id are never each other's
-neighbours, and as a query the least of their vectors counts. Ties go to the smaller vec_id; rows without vec_id come last
-and are no queries. Extra columns are ignored. No rows: no result.
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part. Only vectors of the
+same length are compared. Rows that repeat vec_id and vector count once; rows that share a vec_id are never each other's
+neighbours, and as a query one of their vectors (the least by bytes) counts. Ties go to the smaller vec_id, among equal and
+among different vectors; rows without vec_id come last and are no queries. Extra columns are ignored. No rows: no result.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import shared
 
-TABLES, FUNCTIONS, WIDTH, PROBES = 3, 4, 1.6, 30
-CELL = 8192
+TABLES, WIDTH = 3, 1.6
+OCCUPANCY, BITS_EACH, MOST_FUNCTIONS = 256, 1.9, 16  # a function of this width tells about 1.9 bits
+SAMPLE, TARGET, MOST_PROBES = 48, 0.96, 400
+CELL, VISITS, BLOCK = 1024, 512, 512
+BANDS = 16
 REACH = 3  # slots a perturbation may move a function by
+HELD = 1 << 14  # queries whose lists a task holds before it passes them on
 
 
-def family(dims: int, scale: float, table: int) -> tuple[np.ndarray, np.ndarray]:
+def family(dims: int, scale: float, table: int, functions: int) -> tuple[np.ndarray, np.ndarray]:
     """Projections and offsets of a table, in units of a slot."""
     rng = np.random.default_rng([97, dims, table])
-    return rng.normal(size=(dims + 1, FUNCTIONS)) / (WIDTH * scale), rng.uniform(0, 1, FUNCTIONS)
+    return rng.normal(size=(functions, dims + 1)).T / (WIDTH * scale), rng.uniform(0, 1, functions)
+
+
+def functions_for(entries: int) -> int:
+    return max(2, min(MOST_FUNCTIONS, round(math.log2(max(1, entries) / OCCUPANCY) / BITS_EACH) if entries > OCCUPANCY else 2))
 
 
 def perturbations(place: np.ndarray, count: int) -> list[tuple[int, ...]]:
@@ -65,152 +82,316 @@ def perturbations(place: np.ndarray, count: int) -> list[tuple[int, ...]]:
 
 
 def bucket_of(dims: int, band: int, table: int, slots: np.ndarray) -> np.ndarray:
-    """One number for the length of a vector, its band, the table and its slots (few, as they are relative to the norm)."""
-    out = np.full(len(slots), (dims * 4096 + band) * 64 + table, np.int64)
+    """One number for the length of a vector, its band, the table and its slots."""
+    out = np.full(len(slots), (dims * BANDS + band) * TABLES + table, np.uint64)
     for k in range(slots.shape[1]):
-        out = out * 64 + (slots[:, k] + 32) % 64
-    return out
+        out = (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + slots[:, k].astype(np.int64).view(np.uint64)
+    return (out ^ out >> np.uint64(32)).view(np.int64)
 
 
-def band_of(lengths, norm: float) -> np.ndarray:
-    return np.clip(np.floor(-2 * np.log2(np.maximum(lengths / norm, 1e-300))), 0, 4095).astype(np.int64)
+class Index:
+    """The hashing of a table of vectors: largest norm, number of functions, bands that are in use."""
 
+    def __init__(self, norm: float, functions: int, bands: list[int]):
+        self.norm, self.functions, self.bands = norm, functions, bands
 
-def hashed(rows: DataFrame, norm: float, bands: list[int] | None) -> DataFrame:
-    """key, vector, ids -> bucket, key, vector, ids for each table; with bands the rows are queries: for each probe too."""
+    def band_of(self, x: np.ndarray) -> np.ndarray:
+        lengths = np.sqrt((x**2).sum(axis=1))
+        return np.clip(np.floor(-2 * np.log2(np.maximum(lengths / self.norm, 1e-300))), 0, BANDS - 1).astype(np.int64)
 
-    def places(x: np.ndarray, band: int, dims: int, table: int) -> np.ndarray:
-        top = norm * 2.0 ** (-band / 2)
-        a, b = family(dims, top, table)
+    def places(self, x: np.ndarray, band: int, table: int, query: bool) -> np.ndarray:
+        """Where vectors of one length lie, in slots. Entries get the component that makes up the band's norm; queries are scaled to it."""
+        top = self.norm * 2.0 ** (-band / 2)
+        a, b = family(x.shape[1], top, table, self.functions)
         lengths = np.sqrt((x**2).sum(axis=1))
-        if bands is None:
-            extra = np.sqrt(np.maximum(top**2 - lengths**2, 0))
-        else:
-            x, extra = x / lengths[:, None] * top, np.zeros(len(x))
-        return np.concatenate([x, extra[:, None]], axis=1) @ a + b
+        extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(top**2 - lengths**2, 0))
+        return np.concatenate([x / lengths[:, None] * top if query else x, extra[:, None]], axis=1) @ a + b
+
+    def buckets(self, x: np.ndarray, band: int, table: int) -> np.ndarray:
+        return bucket_of(x.shape[1], band, table, np.floor(self.places(x, band, table, False)).astype(np.int64))
+
+    def visits(self, x: np.ndarray, band: int, table: int, probes: int) -> list[np.ndarray]:
+        """For each query its buckets, likeliest first."""
+        at = self.places(x, band, table, True)
+        slots = np.floor(at).astype(np.int64)
+        return [bucket_of(x.shape[1], band, table, s + np.array(perturbations(p, probes))) for s, p in zip(slots, at - slots, strict=True)]
+
 
-    def make(batches):
+def by_length(vectors: list[bytes], kind: str):
+    """(places, array of doubles) of the vectors of each length."""
+    groups: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        groups.setdefault(len(v), []).append(i)
+    for own in groups.values():
+        x = np.frombuffer(b"".join([vectors[i] for i in own]), kind).reshape(len(own), -1)
+        yield np.array(own), x.astype(np.float64)
+
+
+def packed(rows: DataFrame) -> tuple[DataFrame, str]:
+    """vec_id, vector (bytes), norm of the rows that take part, and the vectors' numpy type."""
+    single = isinstance(rows.schema["embedding"].dataType, T.ArrayType) and isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType)
+    kind, real = ("<f4", T.FloatType()) if single else ("<f8", T.DoubleType())
+    typed = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(T.ArrayType(real)).alias("vector"))
+
+    def pack(batches):
         for batch in batches:
-            keys, vectors, ids = (batch.column(c).to_pylist() for c in ("key", "vector", "ids"))
-            by: dict[tuple[int, int], list[int]] = {}
-            for i, v in enumerate(vectors):
-                mine = bands if bands is not None else [int(band_of(np.sqrt(np.square(v).sum()), norm))]
-                for band in mine:
-                    by.setdefault((len(v), band), []).append(i)
-            for (dims, band), own in by.items():
-                x = np.array([vectors[i] for i in own])
-                for table in range(TABLES):
-                    at = places(x, band, dims, table)
-                    slots = np.floor(at).astype(np.int64)
-                    rows, buckets = own, None
-                    if bands is None:
-                        buckets = bucket_of(dims, band, table, slots).tolist()
-                    else:
-                        rows, buckets = [], []
-                        for r in range(len(own)):
-                            shifts = np.array(perturbations(at[r] - slots[r], PROBES))
-                            got = np.unique(bucket_of(dims, band, table, slots[r] + shifts))
-                            rows += [own[r]] * len(got)
-                            buckets += got.tolist()
-                    for k in range(0, len(rows), 8192):
-                        some = rows[k : k + 8192]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(buckets[k : k + 8192], pa.int64()), pa.array([keys[i] for i in some], pa.int64()), pa.array([vectors[i] for i in some], pa.list_(pa.float64())), pa.array([ids[i] for i in some], pa.list_(pa.int64()))],
-                            ["bucket", "key", "vector", "ids"],
-                        )
-
-    return rows.select("key", "vector", "ids").mapInArrow(make, "bucket long, key long, vector array<double>, ids array<long>")
-
-
-def searcher(most: int):
-    """Scores queries against the entries of their cell; rows come by cell, entries first."""
+            sizes = pc.fill_null(pc.list_value_length(batch.column("vector")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = np.nan_to_num(batch.column("vector").flatten().to_numpy(zero_copy_only=False), nan=np.inf, posinf=np.inf, neginf=np.inf).astype(kind)
+            ends = np.cumsum(sizes)
+            wide = flat.astype(np.float64)
+            total = np.concatenate([[0], np.cumsum(~np.isfinite(wide))])
+            square = np.zeros(len(sizes))
+            some = np.flatnonzero(sizes)
+            if len(some):
+                square[some] = np.add.reduceat(np.where(np.isfinite(wide), wide, 0) ** 2, (ends - sizes)[some])
+            used = (sizes > 0) & (total[ends] == total[ends - sizes]) & (square > 0)
+            kept = np.flatnonzero(used)
+            vectors = [flat[ends[i] - sizes[i] : ends[i]].tobytes() for i in kept]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(kept)), pa.array(vectors, pa.binary()), pa.array(np.sqrt(square[kept]))], ["vec_id", "vector", "norm"])
+
+    return typed.mapInArrow(pack, "vec_id long, vector binary, norm double"), kind
+
+
+def merged(a: list[tuple], b: list[tuple], most: int) -> list[tuple]:
+    """The best `most` of two lists of (-score, no id, id), each id once."""
+    out, seen = [], set()
+    for x in heapq.merge(a, b):
+        if x[1:] not in seen:
+            seen.add(x[1:])
+            out.append(x)
+            if len(out) == most:
+                break
+    return out
+
+
+def best_of(block: np.ndarray, ids: list, queries: np.ndarray, most: int) -> list[list[tuple]]:
+    """For each query its best `most` (-score, no id, id), by scores summed in one way; ties go to the smaller id.
+
+    The product only tells which entries can be among the best: all within rounding of the last of them are scored again.
+    """
+    rough = queries @ block.T
+    want = min(most, rough.shape[1])
+    last = -np.partition(-rough, want - 1, axis=1)[:, want - 1]
+    slack = 1e-12 * np.sqrt((queries**2).sum(axis=1)) * math.sqrt((block**2).sum(axis=1).max()) * block.shape[1]
+    out = []
+    for q, row, least in zip(queries, rough, last - slack, strict=True):
+        some = np.flatnonzero(row >= least)
+        exact = (block[some] * q).sum(axis=1).tolist()
+        found = sorted((-s, i is None, i or 0) for s, e in zip(exact, some.tolist(), strict=True) for i in ids[e])
+        out.append(merged(found, [], most))
+    return out
+
+
+def _lists(found: dict) -> pa.RecordBatch:
+    cols = (list(found), [[None if x[1] else x[2] for x in f] for f in found.values()], [[-x[0] for x in f] for f in found.values()])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.float64()))], ["key", "ids", "scores"])
+
+
+LISTS = "key long, ids array<long>, scores array<double>"
+
+
+def searcher(most: int, kind: str):
+    """Scores queries against the entries of their cell; rows come by cell, entries first. Gives a list for each query."""
 
     def search(batches):
-        cell, vectors, ids, block = None, [], [], None
-        out: list[tuple] = []
+        shared.make_room()
+        cell, vectors, ids, keys, asked, block = None, [], [], [], [], None
+        found: dict[int, list] = {}
 
-        def answer(keys, queries):
+        def answer():
             nonlocal block
             if block is None:
-                block = np.array(vectors)
-            scores = np.array(queries) @ block.T
-            want = min(most + 8, scores.shape[1])
-            best = np.argpartition(-scores, want - 1, axis=1)[:, :want] if want < scores.shape[1] else np.tile(np.arange(want), (len(keys), 1))
-            for r, key in enumerate(keys):
-                exact = (block[best[r]] * np.array(queries[r])).sum(axis=1)
-                found = [(-s, i is None, i or 0) for s, b in zip(exact.tolist(), best[r].tolist(), strict=True) for i in ids[b]]
-                found = sorted(found)[:most]
-                out.append((key, [None if none else i for _, none, i in found], [-s for s, _, _ in found]))
-
-        def batched():
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.int64())), pa.array([r[2] for r in out], pa.list_(pa.float64()))], ["key", "ids", "scores"])
+                block = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+            queries = np.frombuffer(b"".join(asked), kind).reshape(len(asked), -1).astype(np.float64)
+            for key, best in zip(keys, best_of(block, ids, queries, most), strict=True):
+                found[key] = merged(found[key], best, most) if key in found else best
 
         for batch in batches:
-            names = ("bucket", "cell", "query", "key", "vector", "ids")
-            asked_keys, asked = [], []
-            for bucket, part, query, key, vector, own in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if (bucket, part) != cell:
+            names = ("bucket", "cell", "group", "query", "key", "vector", "ids")
+            for bucket, part, group, query, key, vector, own in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (bucket, part, group, len(vector)) != cell:
                     if asked:
-                        answer(asked_keys, asked)
-                        asked_keys, asked = [], []
-                    cell, vectors, ids, block = (bucket, part), [], [], None
+                        answer()
+                    if len(found) >= HELD:
+                        yield _lists(found)
+                        found = {}
+                    cell, vectors, ids, keys, asked, block = (bucket, part, group, len(vector)), [], [], [], [], None
                 if not query:
                     vectors.append(vector)
                     ids.append(own)
                 elif vectors:
-                    asked_keys.append(key)
+                    keys.append(key)
                     asked.append(vector)
-                    if len(asked) == 512:
-                        answer(asked_keys, asked)
-                        asked_keys, asked = [], []
-            if asked:
-                answer(asked_keys, asked)
-            if out:
-                yield batched()
-                out = []
+                    if len(asked) == BLOCK:
+                        answer()
+                        keys, asked = [], []
+        if asked:
+            answer()
+        yield _lists(found)
 
     return search
 
 
-def nearest(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row for which is_query holds, the k nearest others that were found."""
-    vector = F.col("embedding").cast(T.ArrayType(T.DoubleType()))
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
-    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = shared.store(rows.where(F.col("vector").isNotNull() & fine).distinct(), "vectors")
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    norm = rows.agg(F.max(length).alias("norm")).first().norm or 1.0
-    lowest = rows.select(F.least(F.lit(4095), F.floor(-2 * F.log2(F.greatest(length / norm, F.lit(1e-300))))).alias("band"))
-    bands = sorted(max(0, int(r.band)) for r in lowest.distinct().collect())  # at most 4,096
-    bands = sorted({b for x in bands for b in (x - 1, x, x + 1) if b >= 0}) if len(bands) > 1 else bands
+def scan(entries: DataFrame, queries: list[tuple[int, bytes]], most: int, kind: str, with_vectors: bool = False) -> DataFrame:
+    """The exact search of at most BLOCK queries: each task passes on its best for each of them."""
+    asked = [(np.array([queries[i][0] for i in own]), x) for own, x in by_length([v for _, v in queries], kind)]
 
+    def search(batches):
+        shared.make_room()
+        found: dict[int, list] = {}
+        kept: dict[int, bytes] = {}
+        for batch in batches:
+            vectors, ids = batch.column("vector").to_pylist(), batch.column("ids").to_pylist()
+            for own, block in by_length(vectors, kind):
+                for keys, x in asked:
+                    if x.shape[1] != block.shape[1]:
+                        continue
+                    for at in range(0, len(block), CELL):
+                        for key, best in zip(keys.tolist(), best_of(block[at : at + CELL], [ids[i] for i in own[at : at + CELL]], x, most), strict=True):
+                            found[key] = merged(found.get(key, []), best, most)
+            if with_vectors:
+                named = {x[2] for f in found.values() for x in f}
+                kept = {i: v for i, v in kept.items() if i in named} | {i: v for v, o in zip(vectors, ids, strict=True) for i in o if i in named}
+        if with_vectors:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((k, x[2], -x[0], kept[x[2]]) for k, f in found.items() for x in f if not x[1]), strict=True) or [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.binary()), strict=True)], ["key", "vec_id", "score", "vector"]) if found else pa.RecordBatch.from_pylist([], pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("vector", pa.binary())]))
+        else:
+            yield _lists(found)
+
+    return entries.select("vector", "ids").mapInArrow(search, "key long, vec_id long, score double, vector binary" if with_vectors else LISTS)
+
+
+def fitted_probes(index: Index, entries: DataFrame, firsts: DataFrame, k: int, kind: str) -> int:
+    """The fewest visits a table at which TARGET of the neighbours of SAMPLE queries are met; 0 if MOST_PROBES are too few.
+
+    The sample is bounded and the driver sees k neighbours for each of its queries and task; the others are not looked at here.
+    """
+    sample = [(r.key, bytes(r.vector)) for r in firsts.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("key", "vector").collect()]
+    if not sample:
+        return 1
+    near: dict[int, list] = {}
+    for r in scan(entries, sample, k + 1, kind, True).collect():
+        near.setdefault(r.key, []).append((-r.score, r.vec_id, bytes(r.vector)))
+    ranks = []
+    for key, vector in sample:
+        found = sorted(near.get(key, []))[: k + 1]
+        q = np.frombuffer(vector, kind).astype(np.float64)[None]
+        x = np.stack([np.frombuffer(v, kind).astype(np.float64) for *_, v in found])
+        bands = index.band_of(x)
+        best = np.full(len(x), MOST_PROBES)
+        for band in set(bands.tolist()):
+            own = np.flatnonzero(bands == band)
+            for table in range(TABLES):
+                rank = {b: r for r, b in reversed(list(enumerate(index.visits(q, band, table, MOST_PROBES)[0].tolist())))}
+                got = [rank.get(b, MOST_PROBES) for b in index.buckets(x[own], band, table).tolist()]
+                best[own] = np.minimum(best[own], got)
+        ranks += best.tolist()
+    need = sorted(ranks)[math.ceil(TARGET * len(ranks)) - 1]
+    return need + 1 if need < MOST_PROBES else 0
+
+
+def _dealt(index: Index, entries: DataFrame, asked: DataFrame, probes: int, kind: str) -> DataFrame:
+    """Entries and queries in their cells: bucket, cell, group, query, key, vector, ids."""
+
+    def place(batches):
+        shared.make_room()
+        for batch in batches:
+            vectors = batch.column("vector").to_pylist()
+            for own, x in by_length(vectors, kind):
+                bands = index.band_of(x)
+                for band in set(bands.tolist()):
+                    some = np.flatnonzero(bands == band)
+                    rows = batch.take(pa.array(own[some]))
+                    for table in range(TABLES):
+                        yield pa.RecordBatch.from_arrays([pa.array(index.buckets(x[some], band, table)), rows.column("vector"), rows.column("ids")], ["bucket", "vector", "ids"])
+
+    def visit(batches):
+        shared.make_room()
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for own, x in by_length(batch.column("vector").to_pylist(), kind):
+                for at in range(0, len(own), 256):
+                    for band in index.bands:
+                        for table in range(TABLES):
+                            got = [np.unique(b) for b in index.visits(x[at : at + 256], band, table, probes)]
+                            who = np.repeat(keys[own[at : at + 256]], [len(b) for b in got])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(who)], ["bucket", "key"])
+
+    held = shared.store(entries.select("vector", "ids").mapInArrow(place, "bucket long, vector binary, ids array<long>"), "index")
+    visits = shared.store(asked.select("key", "vector").mapInArrow(visit, "bucket long, key long"), "visits")
+    sizes = held.groupBy("bucket").agg(F.count("*").alias("n")).join(visits.groupBy("bucket").agg(F.count("*").alias("v")), "bucket")
+    sizes = shared.store(sizes.select("bucket", F.ceil(F.col("n") / CELL).cast("long").alias("cells"), F.ceil(F.col("v") / VISITS).cast("long").alias("groups")), "buckets")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    none = F.lit(None)
+    own = held.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("vector"), "cells").alias("cell"), every("groups").alias("group"), F.lit(False).alias("query"), none.cast("long").alias("key"), "vector", "ids")
+    seen = visits.join(sizes, "bucket").select("bucket", every("cells").alias("cell"), F.pmod(F.xxhash64("key"), "groups").alias("group"), F.lit(True).alias("query"), "key")
+    seen = seen.join(asked.select("key", "vector"), "key").select("bucket", "cell", "group", "query", "key", "vector", none.cast("array<long>").alias("ids"))
+    return own.unionByName(seen).repartition("bucket", "cell", "group").sortWithinPartitions("bucket", "cell", "group", F.octet_length("vector"), "query")
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row for which is_query holds, the k nearest others that were found."""
+    used, kind = packed(rows)
+    used = shared.store(used.distinct(), "vectors")
     # of equal vectors the k + 1 smallest ids: a list of k without the query's own needs no more
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy(F.col("vec_id").asc_nulls_last()))).where(F.col("n") <= k + 1)
-    entries = ranked.groupBy("vector").agg(F.collect_list(F.struct("n", "vec_id")).alias("held"))
-    entries = entries.select(F.lit(0).cast("long").alias("key"), "vector", F.transform(F.array_sort("held"), lambda x: x["vec_id"]).alias("ids"))
-
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = shared.store(asked.select("vec_id", "vector"), "queries")
+    ranked = used.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy(F.col("vec_id").asc_nulls_last()))).where(F.col("n") <= k + 1)
+    entries = ranked.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id"))).alias("held"))
+    entries = shared.store(entries.select("vector", F.transform("held", lambda x: x["vec_id"]).alias("ids")), "entries")
+    asked = shared.store(used.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
     firsts = shared.store(asked.groupBy("vector").agg(F.min("vec_id").alias("key")), "query-vectors")
 
-    index = shared.store(hashed(entries, norm, None), "index")
-    large = index.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / CELL).cast("long").alias("cells"))
-    own = index.join(large, "bucket").select("bucket", F.pmod(F.xxhash64("vector"), "cells").alias("cell"), F.lit(False).alias("query"), "key", "vector", "ids")
-    none = F.lit(None).cast("array<long>")
-    visits = hashed(firsts.select("key", "vector", none.alias("ids")), norm, bands).join(large, "bucket")
-    visits = visits.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("query"), "key", "vector", none.alias("ids"))
-    met = own.unionByName(visits).repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "query")
-    got = met.mapInArrow(searcher(k + 1), "key long, ids array<long>, scores array<double>")
+    most = used.agg(F.max("norm").alias("norm"), F.min("norm").alias("least")).first()
+    norm = most.norm or 1.0
+    lowest = min(BANDS - 1, math.floor(-2 * math.log2(max((most.least or norm) / norm, 1e-300))))
+    index = Index(norm, functions_for(entries.count()), list(range(lowest + 1)))
+    probes = fitted_probes(index, entries, firsts, k, kind)
+    if probes:
+        met = _dealt(index, entries, firsts, probes, kind).mapInArrow(searcher(k + 1, kind), LISTS)
+        pairs = shared.store(_pairs(met, k), "candidates")
+    else:
+        pairs = shared.store(_pairs(_exact(entries, firsts, k, kind), k), "candidates")
+    # queries that met fewer than k others though there are more: searched exactly
+    there = used.select(F.octet_length("vector").alias("size"), "vec_id").distinct().groupBy("size").agg(F.count("*").alias("others"))
+    counted = firsts.join(pairs.groupBy("key").agg(F.count("*").alias("n")), "key", "left")
+    short = counted.join(F.broadcast(there), F.octet_length("vector") == F.col("size")).where(F.coalesce("n", F.lit(0)) < F.least(F.lit(k + 1), F.col("others")))  # one row for each length of vectors
+    short = shared.store(short.select("key", "vector"), "short")
+    if probes and not short.isEmpty():
+        pairs = pairs.join(short.select("key"), "key", "left_anti").unionByName(_pairs(_exact(entries, short, k, kind), k))
 
-    pairs = got.select("key", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("key", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
-    pairs = pairs.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last()]
-    best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("n") <= k + 1)
     who = asked.select(F.col("vec_id").alias("query_id"), "vector").join(firsts, "vector").select("query_id", "key")
-    mine = who.join(best, "key").where(~F.col("vec_id").eqNullSafe(F.col("query_id")))
+    mine = who.join(pairs, "key").where(~F.col("vec_id").eqNullSafe(F.col("query_id")))
     ranks = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return ranks.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _exact(entries: DataFrame, asked: DataFrame, k: int, kind: str, together: int = 64) -> DataFrame:
+    """The exact lists of all rows of asked, in blocks of BLOCK: each block is sent to the entries' tasks.
+
+    The results of `together` blocks are stored before the next are planned.
+    """
+    found: list[DataFrame] = []
+    done: list[DataFrame] = []
+    block: list[tuple[int, bytes]] = []
+    for r in asked.select("key", "vector").toLocalIterator():  # a block at a time is sent on
+        block.append((r.key, bytes(r.vector)))
+        if len(block) == BLOCK:
+            found.append(scan(entries, block, k + 1, kind))
+            block = []
+            if len(found) == together:
+                done.append(shared.store(reduce(DataFrame.unionByName, found), "lists"))
+                found = []
+    if block or not (found or done):
+        found.append(scan(entries, block, k + 1, kind))
+    return reduce(DataFrame.unionByName, done + found)
+
+
+def _pairs(lists: DataFrame, k: int) -> DataFrame:
+    """key, vec_id, score: the best k + 1 of each query's lists."""
+    pairs = lists.select("key", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("key", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    pairs = pairs.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
+    order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last()]
+    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("n") <= k + 1).drop("n")
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(shared.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
