@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -116,18 +117,77 @@ def test_personal_data(spark, sf_dir):
     assert by[22] == "email:6:32" and by[24] == "ip:5:22" and by[23] == ""
 
 
+def made_up(rng):
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    return f"x {num(3)}a{rng.randrange(99)}@m{rng.randrange(9)}.example.com y +{rng.randrange(1, 99)} {num(3)} {num(4)} {num(3)} z {rng.randrange(255)}.{rng.randrange(255)}.1.{rng.randrange(255)}"
+
+
+def sample_of(texts):
+    return [([(k, t[a:b]) for k, a, b in personal_data.base_spans(t)], []) for t in texts]
+
+
 def test_field_learns_held_out_forms():
     rng = random.Random(2)
-    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    make = lambda: f"x {num(3)}a{rng.randrange(99)}@m{rng.randrange(9)}.example.com y +{rng.randrange(1, 99)} {num(3)} {num(4)} {num(3)} z {rng.randrange(255)}.{rng.randrange(255)}.1.{rng.randrange(255)}"
-    weights = personal_data.train(personal_data.examples_of([make() for _ in range(60)]))
+    weights = personal_data.train(personal_data.examples_of(sample_of(made_up(rng) for _ in range(60))))
     right = total = wrong = 0
-    for text, s, e, truth in personal_data.examples_of([make() for _ in range(30)]):
-        got = {(a, b, k) for k, a, b in personal_data.decode(text, s, e, weights)}
+    for text, s, e, truth in personal_data.examples_of(sample_of(made_up(rng) for _ in range(30))):
+        got = {(a, b, k) for k, a, b in personal_data.decode(text, s, e, weights, personal_data._cue(text, s))}
         right, total, wrong = right + len(got & truth), total + len(truth), wrong + len(got - truth)
     assert right >= 0.9 * total and wrong <= 0.1 * total
 
 
+PHONE_US, PHONE_00, IP_OFF, CARD_DOTS = "(555) 123-4567", "0049 30 1234567", "192[.]168[.]7[.]9", "4539.1488.0343.6467"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f"tel: {PHONE_US}", [PHONE_US]),
+        (f"tel: {PHONE_US} {PHONE_US}", [PHONE_US] * 2),
+        ("call " + " ".join([PHONE_US] * 6), [PHONE_US] * 6),
+        (f"host {IP_OFF} {IP_OFF} up", [IP_OFF] * 2),
+        (f"{PHONE_00} 0049 30 7654321", [PHONE_00, "0049 30 7654321"]),
+        (" ".join([CARD_DOTS] * 40), [CARD_DOTS] * 40),
+        (f"2024-01-05 {PHONE_00}", [PHONE_00]),
+        (f"from 10.20.30.40 {IP_OFF}", [IP_OFF]),
+        ("bob (at) mail (dot) example (dot) com a.b [at] x.org", ["bob (at) mail (dot) example (dot) com", "a.b [at] x.org"]),
+        ("id 2024-01-05 and 12345678 or v1.2.3", []),
+    ],
+)
+def test_field_finds_neighbours_and_long_regions(text, want):
+    rng = random.Random(2)
+    weights = personal_data.train(personal_data.examples_of(sample_of(made_up(rng) for _ in range(60))))
+    base, added = personal_data.spans_of(text, weights)
+    assert [text[a:b] for _, a, b in added] == want
+    assert all(b <= s or e <= a for _, a, b in added for _, s, e in base)
+
+
+def all_segmentations(n, found):
+    """Every set of candidates that do not overlap, with its score."""
+    if n <= 0:
+        return [((), 0.0)]
+    out = list(all_segmentations(n - 1, found))
+    for c, (i, j, score) in enumerate(found):
+        if j == n:
+            out += [((*kept, c), total + score) for kept, total in all_segmentations(i, found)]
+    return out
+
+
+@given(st.text(st.sampled_from(list("19 .()-[]+")), min_size=8, max_size=22), st.integers(0, 10**6))
+@settings(max_examples=120, deadline=None)
+def test_decoding_and_sums_equal_enumeration(text, seed):
+    borders, found = personal_data.segments(text, 0, len(text))
+    rng = random.Random(seed)
+    weights = {f: rng.gauss(0, 1) for *_, names in found for f in names}
+    scored = [(i, j, sum(weights[f] for f in names)) for i, j, _, names in found]
+    ways = all_segmentations(len(borders) - 1, scored)
+    got = personal_data.decode(text, 0, len(text), weights)
+    by = {(k, borders[i], borders[j]): s for (i, j, k, _), (_, _, s) in zip(found, scored, strict=True)}
+    assert abs(sum(by[g] for g in got) - max(t for _, t in ways)) < 1e-9
+    before, after = personal_data._sweep(len(borders) - 1, scored)
+    assert abs(before[-1] - np.log(sum(np.exp(t) for _, t in ways))) < 1e-6 and abs(before[-1] - after[0]) < 1e-6
+
+
 def vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(x) for x in v], "c", 1, "b") for i, v in enumerate(rng.normal(size=(900, 8)).astype(np.float32))]
