@@ -1,18 +1,23 @@
 """Operator 8: documents that hold benchmark items, exact or edited.
 
-Items are the stated query set; they are taken in blocks of at most BLOCK items and about BLOCK_CHARS letters, so what a task is sent is bounded. One
-pass over the texts finds the items' word trigrams; each hit gives the passage around it in which the item would lie.
-Every trigram is a seed, however common: an edited copy may keep only common ones. Passages in which enough words can match
-to reach the threshold are aligned with their item by Smith-Waterman (match 1, other word -1, gap -1); the score is the best
-local alignment over the item's number of words. A copy that keeps no trigram of its item whole is not found.
+A document holds an item of m words if a Smith-Waterman alignment (match 1, other word -1, gap -1) of the two scores at least
+threshold x m. Such an alignment leaves at least h = ceil(threshold x m) - 1 of the item's word pairs whole (the runs of
+matches are one more than the penalties at most), so one of them is among all but the h - 1 commonest pairs. These rare pairs
+are the seeds: the pairs of all items are counted over the whole corpus first, then each seed that is met gives the passage in
+which such an alignment through it must lie (it has at most (1 - threshold) x m words that are not the item's). Passages with
+fewer than h of the item's pairs are left out, the others are aligned. So nothing that reaches the threshold is lost.
+
+Items are the stated query set; they are taken in blocks of at most BLOCK items and about BLOCK_CHARS letters, so what a task
+is sent is bounded. A block costs two passes over the texts: one that counts, one that finds.
 
 Defined cases: words are runs of letters and digits, without case. A null or empty text holds nothing; so does an item
-without words. Items shorter than a trigram use their whole text as the seed. Rows that share doc_id and text give one
-result; rows without doc_id are told apart by their text. Equal items are reported each. Extra columns are ignored.
+without words. An item of one word is its own seed, one of two counts only whole. Rows that share doc_id and text give one result; rows without doc_id are
+told apart by their text. Equal items are reported each. Extra columns are ignored. No rows or no items: no result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -23,7 +28,6 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-GRAM = 3
 THRESHOLD = 0.5
 BLOCK, BLOCK_CHARS = 20_000, 8_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -34,68 +38,83 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of items as word numbers, and where each of their grams stands."""
+    """A block of items as word numbers, the numbers of their word pairs, and the seeds among these."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD):
+        self.threshold = threshold
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in items]
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int32) for _, t in items]
-        self.grams: list[tuple[int, ...]] = []  # number -> words
-        number: dict[tuple[int, ...], int] = {}
-        self.places: list[list[tuple[int, int]]] = []  # number -> (item, place)
-        for k, words in enumerate(self.words):
-            size = min(GRAM, len(words))
-            for p in range(len(words) - size + 1 if size else 0):
-                gram = tuple(words[p : p + size].tolist())
-                n = number.setdefault(gram, len(number))
-                if n == len(self.grams):
-                    self.grams.append(gram)
-                    self.places.append([])
-                self.places[n].append((k, p))
         self.base = len(self.vocabulary) + 1
-        self.lookup = {}
-        for size in range(1, GRAM + 1):
-            some = sorted((self._key(g), n) for g, n in number.items() if len(g) == size)
-            if some:
-                self.lookup[size] = (np.array([k for k, _ in some], np.int64), np.array([n for _, n in some], np.int64))
-
-    def _key(self, gram) -> int:
-        return reduce(lambda a, w: a * self.base + w, gram, 0)
-
-    def hits(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(place, gram number) of every gram in a document's word numbers."""
-        out = []
-        for size, (keys, numbers) in self.lookup.items():
-            n = len(words) - size + 1
-            if n <= 0:
-                continue
-            key, whole = np.zeros(n, np.int64), np.ones(n, bool)
-            for j in range(size):
-                part = words[j : j + n]
-                key, whole = key * self.base + part, whole & (part > 0)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            place = np.flatnonzero(whole & (keys[at] == key))
-            out += zip(place.tolist(), numbers[at[place]].tolist(), strict=True)
-        return out
+        sizes = np.array([len(self._keys(w)) for w in self.words], np.int64)
+        self.first = np.cumsum(sizes) - sizes  # of each item's pairs in self.gram
+        self.keys, self.gram = np.unique(np.concatenate([np.zeros(0, np.int64), *map(self._keys, self.words)]), return_inverse=True)
+        self.item = np.repeat(np.arange(len(items)), sizes)
+        self.place = np.arange(len(self.gram)) - np.repeat(self.first, sizes)
+        self.rarest(np.zeros(len(self.keys), np.int64))
+
+    def _keys(self, words: np.ndarray) -> np.ndarray:
+        """Its pairs as numbers; a single word is paired with nothing."""
+        wide = words.astype(np.int64)
+        return wide[:-1] * self.base + wide[1:] if len(words) != 1 else wide * self.base
+
+    def least(self, item: int) -> int:
+        """How many pairs an alignment that reaches the threshold leaves whole, at least."""
+        return max(1, math.ceil(self.threshold * len(self.words[item]) - 1e-9) - 1)
+
+    def rarest(self, counts: np.ndarray) -> None:
+        """Take as seeds all but the h - 1 commonest pairs of each item, by the corpus counts of pairs."""
+        order = np.lexsort((self.place, counts[self.gram], self.item))
+        rank = np.zeros(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - self.first[self.item[order]]
+        sizes = np.bincount(self.item, minlength=len(self.words))
+        keep = sizes - np.array([self.least(k) - 1 for k in range(len(self.words))], np.int64)
+        seeds = np.flatnonzero(rank < keep[self.item])
+        seeds = seeds[np.argsort(self.gram[seeds], kind="stable")]
+        self.seed_item, self.seed_place = self.item[seeds], self.place[seeds]
+        self.seed_number = np.bincount(self.gram[seeds], minlength=len(self.keys))
+        self.seed_first = np.cumsum(self.seed_number) - self.seed_number
+
+    def _look_up(self, keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return np.where(known & (self.keys[at] == keys), at, -1) if len(self.keys) else np.full(len(keys), -1)
+
+    def grams(self, words: np.ndarray) -> np.ndarray:
+        """The number of the pair that begins at each word of a document, -1 if no item has it."""
+        wide = words.astype(np.int64)
+        both = np.append(wide[:-1] * self.base + wide[1:], 0)
+        return self._look_up(both, np.append((words[:-1] > 0) & (words[1:] > 0), False)) if len(words) else np.zeros(0, np.int64)
+
+    def singles(self, words: np.ndarray) -> np.ndarray:
+        """The same for items of one word."""
+        return self._look_up(words.astype(np.int64) * self.base, words > 0)
 
     def passages(self, words: np.ndarray):
-        """(item, start, end) of the stretches in which an item may lie."""
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for place, gram in self.hits(words):
-            for item, p in self.places[gram]:
-                m = len(self.words[item])
-                pad = m // 4 + 4
-                spans.setdefault(item, []).append((max(0, place - p - pad), min(len(words), place - p + m + pad)))
-        for item, found in spans.items():
-            found.sort()
-            start, end = found[0]
-            for s, e in found[1:]:
-                if s <= end:
-                    end = max(end, e)
-                else:
-                    yield item, start, end
-                    start, end = s, e
-            yield item, start, end
+        """(item, start, end) of the stretches in which an alignment that reaches the threshold may lie."""
+        grams = self.grams(words)
+        for numbers in (grams, self.singles(words)):
+            at = np.flatnonzero(numbers >= 0)
+            at = at[self.seed_number[numbers[at]] > 0]
+            many = self.seed_number[numbers[at]]
+            seed = np.arange(many.sum()) + np.repeat(self.seed_first[numbers[at]] - np.cumsum(many) + many, many)
+            item, begin = self.seed_item[seed], np.repeat(at, many) - self.seed_place[seed]
+            sizes = np.array([len(w) for w in self.words], np.int64)[item] if len(item) else item
+            pad = np.floor(sizes * (1 - self.threshold) + 1e-9).astype(np.int64)
+            start, end = np.maximum(0, begin - pad), np.minimum(len(words), begin + sizes + pad)
+            order = np.lexsort((start, item))
+            item, start, end = item[order], start[order], end[order]
+            k = 0
+            while k < len(item):  # stretches that overlap are one
+                i, s, e = int(item[k]), int(start[k]), int(end[k])
+                while k < len(item) and item[k] == i and start[k] <= e:
+                    e, k = max(e, int(end[k])), k + 1
+                if len(self.words[i]) == 1 or self._enough(grams[s:e], i):
+                    yield i, s, e
+
+    def _enough(self, grams: np.ndarray, item: int) -> bool:
+        own = self.gram[self.first[item] : self.first[item] + len(self.words[item]) - 1]
+        least = self.least(item)
+        return int(np.isin(grams, own).sum()) >= least and int(np.isin(own, grams).sum()) >= least
 
 
 def align(item: np.ndarray, texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -129,67 +148,70 @@ def align(item: np.ndarray, texts: list[np.ndarray]) -> list[tuple[int, int, int
     return [(int(b), int(s), int(e)) for b, (s, e) in zip(best, span, strict=True)]
 
 
-def aligned(items: Items, rows: list[dict], threshold: float):
-    """(row, score, first word, word after the last) of the rows whose passage holds their item."""
-    by: dict[int, list[tuple[dict, np.ndarray]]] = {}
-    for r in rows:
-        words, own = np.frombuffer(r["words"], "<i4"), items.words[r["item"]]
-        # no alignment scores more than the words that can match
-        if np.isin(words, own).sum() >= threshold * len(own) and np.isin(own, words).sum() >= threshold * len(own):
-            by.setdefault(r["item"], []).append((r, words))
+def aligned(items: Items, rows: list[tuple[int, int, int, np.ndarray]]):
+    """(document, item, score, first word, word after the last) of the passages (document, item, place, words) that reach the threshold."""
+    by: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    for doc, item, at, words in rows:
+        by.setdefault(item, []).append((doc, at, words))
     for item, some in by.items():
-        some.sort(key=lambda x: len(x[1]))
-        at = 0
-        while at < len(some):
-            n = max(1, min(256, (1 << 18) // len(some[min(at + 255, len(some) - 1)][1])))
-            part = some[at : at + n]
-            at += n
-            for (r, _), (score, first, end) in zip(part, align(items.words[item], [w for _, w in part]), strict=True):
-                if score >= threshold * len(items.words[item]):
-                    yield r, score / len(items.words[item]), first, end
+        some.sort(key=lambda x: len(x[2]))
+        k, m = 0, len(items.words[item])
+        while k < len(some):
+            n = max(1, min(256, (1 << 18) // len(some[min(k + 255, len(some) - 1)][2])))
+            part = some[k : k + n]
+            k += n
+            for (doc, at, _), (score, first, end) in zip(part, align(items.words[item], [w for *_, w in part]), strict=True):
+                if score >= items.threshold * m:
+                    yield doc, item, score / m, at + first, at + end
+
+
+FOUND = "doc_id long, mark long, item_id long, score double, first_word long, end_word long"
 
 
-PASSAGE = "doc_id long, mark long, item int, at int, words binary"
+def _counted(rows: DataFrame, sent) -> np.ndarray:
+    """How often each pair of the block's items occurs in the corpus; the driver holds a number for each pair."""
+
+    def count(batches):
+        shared.make_room()
+        items = sent.value
+        number, total = items.vocabulary.get, np.zeros(len(items.keys), np.int64)
+        for batch in shared.pieces_of(batches):
+            for text in batch.column("text").to_pylist():
+                grams = items.grams(np.array([number(w, 0) for w in words_of(text)], np.int32))
+                np.add.at(total, grams[grams >= 0], 1)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["gram", "n"])
+
+    counts = np.zeros(len(sent.value.keys), np.int64)
+    for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        counts[r.gram] = r.n
+    return counts
 
 
 def _block(docs: DataFrame, block: list[tuple[int, str | None]], threshold: float) -> DataFrame:
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(Items(block))
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    rows = shared.id_text(docs).withColumn("mark", F.xxhash64("text"))
+    items = Items(block, threshold)
+    unsorted = spark.sparkContext.broadcast(items)
+    items.rarest(_counted(rows, unsorted))
+    sent = spark.sparkContext.broadcast(items)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
     def find(batches):
         shared.make_room()
         items = sent.value
         number = items.vocabulary.get
         for batch in shared.pieces_of(batches):
-            cols: list[list] = [[] for _ in kinds]
-            for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
+            passages = []
+            for doc, text in enumerate(batch.column("text").to_pylist()):
                 words = np.array([number(w, 0) for w in words_of(text)], np.int32)
-                for item, start, end in items.passages(words):
-                    for c, v in zip(cols, (doc, mark, item, start, words[start:end].astype("<i4").tobytes()), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "mark", "item", "at", "words"])
-
-    found = shared.store(shared.id_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(find, PASSAGE), "passages")
+                passages += [(doc, item, s, words[s:e]) for item, s, e in items.passages(words)]
+            got = list(aligned(items, passages))
+            where = pa.array([d for d, *_ in got], pa.int64())
+            cols = [[items.ids[i] for _, i, *_ in got], [x[2] for x in got], [x[3] for x in got], [x[4] for x in got]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("mark").take(where), *(pa.array(c, k) for c, k in zip(cols, kinds[2:], strict=True))], ["doc_id", "mark", "item_id", "score", "first_word", "end_word"])
 
-    def score(batches):
-        shared.make_room()
-        items = sent.value
-        for batch in batches:
-            got = list(aligned(items, batch.to_pylist(), threshold))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["doc_id"] for r, *_ in got], pa.int64()),
-                    pa.array([r["mark"] for r, *_ in got], pa.int64()),
-                    pa.array([items.ids[r["item"]] for r, *_ in got], pa.int64()),
-                    pa.array([s for _, s, _, _ in got], pa.float64()),
-                    pa.array([r["at"] + a for r, _, a, _ in got], pa.int64()),
-                    pa.array([r["at"] + b for r, _, _, b in got], pa.int64()),
-                ],
-                ["doc_id", "mark", "item_id", "score", "first_word", "end_word"],
-            )
-
-    return found.mapInArrow(score, "doc_id long, mark long, item_id long, score double, first_word long, end_word long")
+    return rows.mapInArrow(find, FOUND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

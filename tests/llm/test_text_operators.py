@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docquarry.llm import decontaminate, language, line_dedup, near_dedup, shared
@@ -201,3 +203,62 @@ def test_decontamination_keeps_passages_of_common_trigrams(spark):
     assert want == 25 / 40
     assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.contaminated(docs, bench).collect()} == {(d, 1, want) for d in range(3)}
     assert decontaminate.clean(docs, bench).count() == 0
+
+
+def exhaustive(docs, items, least=0.5):
+    """(document, item, score) by aligning every whole text with every item."""
+    number = {}
+    of = lambda t: np.array([number.setdefault(w, len(number) + 1) for w in decontaminate.words_of(t)], np.int32)
+    texts = [(d, w) for d, w in ((d, of(t)) for d, t in docs) if len(w)]
+    out = set()
+    for i, t in items:
+        own = of(t)
+        if len(own):
+            for (d, _), (score, *_) in zip(texts, decontaminate.align(own, [w for _, w in texts]), strict=True):
+                if score >= least * len(own):
+                    out.add((d, i, score / len(own)))
+    return out
+
+
+def edited_copies(items):
+    """Copies of items with words inserted, left out, altered and swapped, up to where they no longer count."""
+    rng = random.Random(12)
+    out = []
+    for text in items:
+        words = text.split()
+        new = lambda: f"n{rng.randrange(999)}"
+        out.append(" ".join(x for k, w in enumerate(words) for x in ([w, new()] if k % 2 else [w])))
+        out.append(" ".join(x for k, w in enumerate(words) for x in ([w, new()] if k % 3 == 2 else [w])))
+        for share in (0.1, 0.2, 0.25, 0.3):
+            for edit in ("in", "out", "swap", "all"):
+                made = []
+                for w in words:
+                    how = edit if edit != "all" else rng.choice(["in", "out", "swap"])
+                    if rng.random() >= share:
+                        made.append(w)
+                    elif how != "out":
+                        made += [new()] if how == "swap" else [w, new()]
+                out.append(" ".join([new(), *made, new(), new()]))
+    return out
+
+
+def test_decontamination_equals_exhaustive_alignment(spark, sf_dir):
+    items = [(r.item_id, r.text) for r in shared.table(spark, sf_dir, "benchmark").collect()]
+    docs = [(r.doc_id, r.text) for r in shared.table(spark, sf_dir, "documents").collect() if len(r.text or "") < 6000]
+    docs += list(enumerate(edited_copies([t for _, t in items[:6]]), 10**6))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.contaminated(df, bench).collect()}
+    want = exhaustive(docs, items)
+    assert got == want and sum(d >= 10**6 for d, *_ in want) > 60
+
+
+@given(st.lists(st.lists(st.sampled_from("abcdefg"), max_size=9), min_size=1, max_size=4), st.lists(st.sampled_from("abcdefgxy"), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_seeds_lose_no_alignment(items, text):
+    block = decontaminate.Items([(k, " ".join(w)) for k, w in enumerate(items)])
+    block.rarest(np.random.default_rng(len(text)).integers(0, 9, len(block.keys)))
+    words = np.array([block.vocabulary.get(w, 0) for w in text], np.int32)
+    got = {i: s for _, i, s, *_ in sorted(decontaminate.aligned(block, [(0, i, s, words[s:e]) for i, s, e in block.passages(words)]), key=lambda x: x[2])}
+    best = {k: smith_waterman(w, text) for k, w in enumerate(items) if w}
+    assert got == {k: s / len(items[k]) for k, s in best.items() if s >= 0.5 * len(items[k]) and (len(items[k]) != 2 or s == 2)}
