@@ -24,6 +24,7 @@ from . import shared
 
 DIMS = 512
 SCALE = 1 << 20
+LOSE, STEPS = 0.001, 1000
 
 _letters: dict[int, np.ndarray] = {}
 _is_letter: list[np.ndarray] = []
@@ -148,11 +149,29 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(typed.select("doc_id", "held_out", "text"), langs, prototypes)
 
 
-def accepted(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """docs without those that have no letter, or are like no language (cosine of min_score or less)."""
+def least_score(typed: DataFrame, langs: list[str], prototypes: np.ndarray, lose: float) -> float:
+    """The score, in steps of 1/STEPS, that at most `lose` of the held-out rows whose language is predicted right lie under."""
+    rows = typed.where("held_out and lang is not null and text is not null").select("lang", "text")
+    right = predict(rows, langs, prototypes).where(F.col("lang_pred") == F.col("lang"))
+    counts = sorted((r.step, r.n) for r in right.groupBy(F.floor(F.col("score") * STEPS).cast("int").alias("step")).agg(F.count("*").alias("n")).collect())
+    under, most = 0, lose * sum(n for _, n in counts)
+    for step, n in counts:
+        under += n
+        if under > most:
+            return step / STEPS
+    return 0.0
+
+
+def accepted(docs: DataFrame, lose: float = LOSE) -> DataFrame:
+    """docs without those that have no letter, or are like no language.
+
+    A document is like a language if its score is positive and not under least_score(): the threshold is learned from the
+    held-out documents, of which it may refuse LOSE.
+    """
     typed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), held_out(docs).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     langs, prototypes = learn(typed.where("not held_out and lang is not null and text is not null"))
-    return predict(typed.select("row", "text"), langs, prototypes).where((F.col("lang_pred") != "und") & (F.col("score") > min_score)).select("row.*")
+    least = least_score(typed, langs, prototypes, lose)
+    return predict(typed.select("row", "text"), langs, prototypes).where((F.col("lang_pred") != "und") & (F.col("score") > 0) & (F.col("score") >= least)).select("row.*")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
