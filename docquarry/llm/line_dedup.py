@@ -4,8 +4,9 @@ Lines are normalised and hashed (128 bits); each document adds each of its disti
 `min_docs` documents are common. The lines of a document whose hash is common go, the others are joined again by position.
 
 Plan: a partial count before the only shuffle of hashes (a line that a third of the rows hold arrives as one row a task);
-the common hashes are stored; a semi-join finds each document's common hashes (a skewed hash is split by AQE, or the
-common hashes are broadcast if Spark finds them small); they are gathered by document and joined to the texts.
+the common hashes are stored; a semi-join finds the lines that have one (a skewed hash is split by AQE, or the
+common hashes are broadcast if Spark finds them small) with their places; the places are gathered by document and joined to
+the texts, whose other lines are joined again by position. All of this is linear in a text's lines.
 
 Defined cases: every row is a document of its own, equal rows and rows without doc_id included. A null or empty text is
 one empty line. Keys shorter than `min_chars` code points never go. Other columns pass through in `row`, whatever their
@@ -38,10 +39,13 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     keys = F.filter(F.transform("lines", line_key), lambda k: F.length(k) >= min_chars)
     hashes = base.select("id", "mark", F.explode(F.array_distinct(F.transform(keys, _hash))).alias("hash"))
     common = shared.store(hashes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("hash"), "common-lines")
-    found = hashes.join(common, "hash", "left_semi").groupBy("id", "mark").agg(F.collect_set("hash").alias("gone"))
+    placed = F.transform("lines", lambda x: F.when(F.length(line_key(x)) >= min_chars, _hash(line_key(x))))
+    found = base.select("id", "mark", F.posexplode(placed).alias("place", "hash")).where(F.col("hash").isNotNull()).join(common, "hash", "left_semi")
+    found = found.groupBy("id", "mark").agg(F.collect_set("place").alias("gone"))
     found = found.select(F.col("id").alias("f_id"), F.col("mark").alias("f_mark"), "gone")
     joined = base.join(found, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark")), "left")
-    stays = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("gone", _hash(line_key(x))) | (F.length(line_key(x)) < min_chars)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))  # both are linear in the lines
+    stays = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.col("lines").getItem(i)))
     return joined.withColumn("stays", stays).select(
         "row",
         F.size("lines").cast("long").alias("n_lines"),
