@@ -96,6 +96,14 @@ def pieces_of(batches, limit: int = 8 << 20):
             yield batch.slice(start)
 
 
+def _digest(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+#: Edges to a task in the rounds of components: small graphs are written as few files.
+EDGES = 100_000
+
+
 def components(edges: DataFrame, what: str = "links") -> DataFrame:
     """Connected components of an undirected graph by alternating large and small stars.
 
@@ -105,9 +113,11 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
     now = store(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what
     )
+    old = _digest(now)
     while True:
+        tasks = -(-max(1, old[0]) // EDGES)  # no round has more edges than the one before
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), what)
+        least = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(2 * tasks), what)
         # the large star: what is above u goes to the least of u and its neighbours. Both sides are stored tables, so that a
         # node with very many links is a skewed partition that adaptive execution splits
         large = now.join(least, now["b"] == least["u"]).select("a", F.col("m").alias("b")).distinct()
@@ -120,12 +130,13 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
             .union(small.select("a", "m"))
             .distinct()
         )
-        after = store(after, what)
-        old, new = (x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (now, after))
+        after = store(after.coalesce(tasks), what)
+        new = _digest(after)
         drop(now)
         drop(least)
         now = after
-        if tuple(old) == tuple(new):
+        if old == new:
             break
+        old = new
     heads = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(heads)

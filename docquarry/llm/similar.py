@@ -235,10 +235,8 @@ def _between(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
 
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, key) of every distinct shingle set, key its first row, and (node, component) of those alike to another."""
-    prints = shared.store(add_signatures(docs), "signatures")
     key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
-    nodes = shared.store(prints.groupBy("node").agg(F.min(key).alias("key"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "nodes")
-    shared.drop(prints)
+    nodes = shared.store(add_signatures(docs).groupBy("node").agg(F.min(key).alias("key"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "nodes")
     rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("words")).where("size > 1")
     shares = sizes.select("bucket", F.greatest(F.ceil(F.col("size") / CELL), F.ceil(F.col("words") / CELL_WORDS)).cast("long").alias("salts"))
@@ -256,7 +254,7 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labelled = dealt.join(short, "node").join(named, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     more = _between(labelled, nodes, docs)
     if not more.isEmpty():
-        named = shared.components(links.union(more), "near")
+        named = shared.components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "near")
     shared.drop(dealt)
     return nodes.select("node", "key"), named
 
