@@ -27,7 +27,7 @@ from . import near_dedup, shared
 ALIKE, WORDS = 0.8, 5
 BANDS, ROWS = 24, 3
 BITS, NEAR, FAR = 256, 44, 80
-CELL, CELL_WORDS = 4096, 1 << 21
+CELL, CELL_WORDS = 512, 1 << 21
 _rng = np.random.default_rng(29)
 _FLIPS, _FACTORS = _rng.integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPREAD = _rng.integers(0, 1 << 63, (BITS // 64, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
