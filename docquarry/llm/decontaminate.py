@@ -46,6 +46,8 @@ class Items:
         self.ids = [i for i, _ in items]
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int32) for _, t in items]
         self.base = len(self.vocabulary) + 1
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.shortest = int(self.sizes[self.sizes > 0].min()) if self.sizes.any() else 0
         sizes = np.array([len(self._keys(w)) for w in self.words], np.int64)
         self.first = np.cumsum(sizes) - sizes  # of each item's pairs in self.gram
         self.keys, self.gram = np.unique(np.concatenate([np.zeros(0, np.int64), *map(self._keys, self.words)]), return_inverse=True)
@@ -92,29 +94,35 @@ class Items:
     def passages(self, words: np.ndarray):
         """(item, start, end) of the stretches in which an alignment that reaches the threshold may lie."""
         grams = self.grams(words)
-        for numbers in (grams, self.singles(words)):
+        for numbers in (grams, self.singles(words)) if self.shortest == 1 else (grams,):
             at = np.flatnonzero(numbers >= 0)
             at = at[self.seed_number[numbers[at]] > 0]
+            if not len(at):
+                continue
             many = self.seed_number[numbers[at]]
             seed = np.arange(many.sum()) + np.repeat(self.seed_first[numbers[at]] - np.cumsum(many) + many, many)
             item, begin = self.seed_item[seed], np.repeat(at, many) - self.seed_place[seed]
-            sizes = np.array([len(w) for w in self.words], np.int64)[item] if len(item) else item
+            sizes = self.sizes[item]
             pad = np.floor(sizes * (1 - self.threshold) + 1e-9).astype(np.int64)
             start, end = np.maximum(0, begin - pad), np.minimum(len(words), begin + sizes + pad)
             order = np.lexsort((start, item))
-            item, start, end = item[order], start[order], end[order]
+            item, start, end = item[order].tolist(), start[order].tolist(), end[order].tolist()
             k = 0
             while k < len(item):  # stretches that overlap are one
-                i, s, e = int(item[k]), int(start[k]), int(end[k])
+                i, s, e = item[k], start[k], end[k]
                 while k < len(item) and item[k] == i and start[k] <= e:
-                    e, k = max(e, int(end[k])), k + 1
-                if len(self.words[i]) == 1 or self._enough(grams[s:e], i):
+                    e, k = max(e, end[k]), k + 1
+                if self.sizes[i] == 1 or self._enough(grams[s:e], i):
                     yield i, s, e
 
     def _enough(self, grams: np.ndarray, item: int) -> bool:
-        own = self.gram[self.first[item] : self.first[item] + len(self.words[item]) - 1]
+        """Whether a passage has as many of the item's pairs as an alignment that reaches the threshold."""
         least = self.least(item)
-        return int(np.isin(grams, own).sum()) >= least and int(np.isin(own, grams).sum()) >= least
+        there = grams[grams >= 0]
+        if len(there) < least:
+            return False
+        own = self.gram[self.first[item] : self.first[item] + self.sizes[item] - 1]
+        return int(np.isin(there, own).sum()) >= least and int(np.isin(own, there).sum()) >= least
 
 
 def align(item: np.ndarray, texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
