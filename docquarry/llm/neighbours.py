@@ -43,7 +43,7 @@ from . import shared
 TABLES, WIDTH = 3, 1.6
 OCCUPANCY, BITS_EACH, MOST_FUNCTIONS = 256, 1.9, 16  # a function of this width tells about 1.9 bits
 SAMPLE, TARGET, MOST_PROBES = 48, 0.96, 400
-CELL, VISITS, BLOCK = 1024, 512, 512
+CELL, VISITS, BLOCK = 512, 256, 512
 BANDS = 16
 REACH = 3  # slots a perturbation may move a function by
 HELD = 1 << 14  # queries whose lists a task holds before it passes them on
