@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
 
 VOWELS = set("aeiouáéíóúâêô")
@@ -116,9 +118,14 @@ def stem_portuguese(word: str) -> str:
     return done.replace("a~", "ã").replace("o~", "õ")
 
 
-@pandas_udf(ArrayType(StringType()))
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [stem_portuguese(w) for w in ws])
+@arrow_udf(ArrayType(StringType()))
+def _stems(words: pa.Array) -> pa.Array:
+    """Each distinct word of a batch is stemmed once."""
+    flat = words.flatten().dictionary_encode()
+    stems = pa.array([stem_portuguese(w) for w in flat.dictionary.to_pylist()], pa.string())
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, stems.take(flat.indices), mask=words.is_null())
 
 
 def stopwords(language: str = "portuguese") -> list[str]:
@@ -132,9 +139,16 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)
 
 
-def lexemes(text: Column, spark: SparkSession | None = None, language: str | None = None) -> Column:
-    """What full-text search matches: words, for Portuguese without stopwords and stemmed."""
+def lexemes(text: Column, language: str | None = None, wanted: list[str] | None = None) -> Column:
+    """What full-text search matches: words, for Portuguese without stopwords and stemmed.
+
+    With wanted only words are kept (and stemmed) that can have one of these as a lexeme: stemming leaves the first two
+    letters as they are, but for a final c with cedilla.
+    """
     found = words(text)
+    if wanted is not None:
+        heads = sorted({w[:2].replace("ç", "c") for w in wanted})
+        found = F.filter(found, lambda w: F.translate(F.substring(w, 1, 2), "ç", "c").isin(heads))
     if language is None:
         return found
     stop = stopwords(language)
@@ -164,10 +178,13 @@ def query_lexemes(query: str, language: str | None = None) -> list[str]:
 
 
 def fts_terms_column(query: Column) -> Column:
-    """fts_terms of a column, joined with ' | '."""
+    """fts_terms of a column, joined with ' | '. The first of each spelling is found by sorting, so long texts do no harm."""
     found = F.regexp_extract_all(query, F.lit(r"\p{L}{4,}"), 0)
-    first = F.filter(found, lambda w, i: ~F.exists(F.slice(found, 1, i), lambda v: F.lower(v) == F.lower(w)))
-    return F.array_join(first, " | ")
+    placed = F.array_sort(F.transform(found, lambda w, i: F.struct(F.lower(w).alias("low"), i.alias("at"), w.alias("word"))))
+    pick = lambda ws: F.filter(ws, lambda w, i: (i == 0) | (F.get(ws, i - 1)["low"] != w["low"]))
+    first = F.transform(F.array(placed), pick).getItem(0)
+    ordered = F.array_sort(F.transform(first, lambda w: F.struct(w["at"].alias("at"), w["word"].alias("word"))))
+    return F.array_join(F.transform(ordered, lambda w: w["word"]), " | ")
 
 
 def tech_term_column(text: Column) -> Column:

@@ -19,9 +19,13 @@ def sanitize_utf8(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
+#: White space of any kind: what Unicode calls so.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(text: Column) -> Column:
     """Without white space of any kind (Unicode) at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def _starts(line: Column, *prefixes: str) -> Column:
@@ -37,11 +41,10 @@ NAVIGATION_IN = ("[Edit this page]", "Table of contents")
 NAVIGATION_AT = ("Created by", "last modified")
 
 
-def is_noise(line: Column) -> Column:
-    t = trim(line)
-    out = _starts(t, *METADATA, *NAVIGATION_AT)
+def is_noise(trimmed: Column) -> Column:
+    out = _starts(trimmed, *METADATA, *NAVIGATION_AT)
     for part in NAVIGATION_IN:
-        out = out | F.contains(t, F.lit(part))
+        out = out | F.contains(trimmed, F.lit(part))
     return out
 
 
@@ -51,57 +54,70 @@ def _let(value: Column, body) -> Column:
 
 
 def drop_noise_lines(text: Column) -> Column:
-    """Without metadata and navigation lines, and without breadcrumbs (numbered links) before the first header."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: ~is_noise(x))
-    crumb = lambda x: trim(x).rlike("^[0-9]") & F.contains(trim(x), F.lit("[")) & F.contains(trim(x), F.lit("]("))
-    keep = lambda ls, header: F.array_join(F.filter(ls, lambda x, i: ~(((header == 0) | (i + 1 < header)) & crumb(x))), "\n")
-    return _let(lines, lambda ls: _let(F.array_position(F.transform(ls, lambda x: _starts(trim(x), "#")), True), lambda header: keep(ls, header)))
+    """Without metadata and navigation lines, and without breadcrumbs (numbered links) before the first header.
+
+    Each line is trimmed once and travels with its trimmed form.
+    """
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("x"), trim(x).alias("t")))
+    lines = F.filter(lines, lambda x: ~is_noise(x["t"]))
+    crumb = lambda t: F.substring(t, 1, 1).between("0", "9") & F.contains(t, F.lit("[")) & F.contains(t, F.lit("]("))
+    keep = lambda ls, header: F.array_join(F.transform(F.filter(ls, lambda x, i: ~(((header == 0) | (i + 1 < header)) & crumb(x["t"]))), lambda x: x["x"]), "\n")
+    return _let(lines, lambda ls: _let(F.array_position(F.transform(ls, lambda x: F.startswith(x["t"], F.lit("#"))), True), lambda header: keep(ls, header)))
 
 
-def strip_images(text: Column, rounds: int = 4) -> Column:
+def strip_images(text: Column) -> Column:
     """Without image references, to a fixpoint: removing one can make another.
 
-    A round takes all that stand alone; what is spliced together next goes in the next round, and texts that still hold
-    one after `rounds` rounds go through a fold over as many rounds as there are openings.
+    A round takes all that stand alone; a text that still holds one goes through a fold over as many rounds as it has
+    openings. Texts without an opening are left as they are.
     """
     once = lambda x: F.regexp_replace(x, r"!\[[^)]*\)", "")
-    out = text
-    for _ in range(rounds):
-        out = once(out)
     openings = lambda o: F.filter(F.split(o, ""), lambda c: c == "!")
-    return _let(out, lambda o: F.when(o.rlike(r"!\[[^)]*\)"), F.aggregate(openings(o), o, lambda x, _: once(x))).otherwise(o))
+    folded = lambda o: F.when(o.rlike(r"!\[[^)]*\)"), F.aggregate(openings(o), o, lambda x, _: once(x))).otherwise(o)
+    return F.when(F.contains(text, F.lit("![")), _let(once(text), folded)).otherwise(text)
 
 
 def strip_links(text: Column) -> Column:
     """[text](url) becomes text."""
-    return F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    return F.when(F.contains(text, F.lit("](")), F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")).otherwise(text)
 
 
 def clean_markdown(text: Column) -> Column:
-    return trim(strip_links(strip_images(drop_noise_lines(text))))
+    return _let(drop_noise_lines(text), lambda lines: _let(strip_images(lines), lambda plain: trim(strip_links(plain))))
+
+
+#: Closed chunks that a fold copies at once; more are moved on to an outer array, so that long files stay near linear.
+_GROUP = 256
 
 
 def chunk_by_headers(text: Column, most: int = MAX_CHUNK) -> Column:
     """Array of chunks: a fold over the lines. A second-level header starts a new chunk if the open one would outgrow
     `most` bytes; a chunk that outgrows it closes; a line is never split."""
-    start = F.struct(F.array().cast("array<string>").alias("chunks"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<array<string>>").alias("groups"), none.alias("chunks"), none.alias("open"), F.lit(0).alias("size"))
 
-    def joined(s):
-        return F.concat(s["chunks"], F.array(F.array_join(s["open"], "\n")))
+    def close(s, parts, opened, size):
+        """The fold's state with the chunk of these lines closed."""
+        chunks = F.concat(s["chunks"], F.array(F.array_join(parts, "\n")))
+        full = F.size(s["chunks"]) >= _GROUP - 1
+        return F.struct(F.when(full, F.concat(s["groups"], F.array(chunks))).otherwise(s["groups"]).alias("groups"), F.when(full, none).otherwise(chunks).alias("chunks"), opened.alias("open"), size.alias("size"))
 
     def step(s, line):
         n = F.octet_length(line)
-        fresh = F.startswith(trim(line), F.lit("##")) & (s["size"] > 0) & (s["size"] + n > most)
+        fresh = (s["size"] > 0) & (s["size"] + n > most) & F.startswith(trim(line), F.lit("##"))
         grown = s["size"] + n + 1
         more = F.concat(s["open"], F.array(line))
-        full = F.struct(F.concat(s["chunks"], F.array(F.array_join(more, "\n"))).alias("chunks"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"))
         return (
-            F.when(fresh, F.struct(joined(s).alias("chunks"), F.array(line).alias("open"), n.alias("size")))
-            .when(grown > most, full)
-            .otherwise(F.struct(s["chunks"].alias("chunks"), more.alias("open"), grown.alias("size")))
+            F.when(fresh, close(s, s["open"], F.array(line), n))
+            .when(grown > most, close(s, more, none, F.lit(0)))
+            .otherwise(F.struct(s["groups"].alias("groups"), s["chunks"].alias("chunks"), more.alias("open"), grown.alias("size")))
         )
 
-    return F.aggregate(F.split(text, "\n", -1), start, step, lambda s: F.when(F.size(s["open"]) > 0, joined(s)).otherwise(s["chunks"]))
+    def finish(s):
+        last = F.when(F.size(s["open"]) > 0, F.array(F.array_join(s["open"], "\n"))).otherwise(none)
+        return F.concat(F.flatten(s["groups"]), s["chunks"], last)
+
+    return F.aggregate(F.split(text, "\n", -1), start, step, finish)
 
 
 def kept_chunks(chunks: Column, least: int = MIN_CHUNK) -> Column:

@@ -30,6 +30,16 @@ def vector_literal(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def cosine_distance_to(vector: Column, query) -> Column:
+    """The same as cosine_distance to a fixed query vector, whose norm is worked out once (added up in the same order)."""
+    a, b = as_double(vector), vector_literal(query)
+    own = 0.0
+    for v in query:
+        own = own + float(v) * float(v)
+    norms = F.sqrt(dot(a, a) * F.lit(own))
+    return F.when(norms > 0, 1 - dot(a, b) / norms)
+
+
 def cosine_distance_blocks(query) -> callable:
     """The same for one query vector over Arrow batches; for tables large enough to pay for Python workers."""
     q = np.asarray(query, np.float64)

@@ -1,4 +1,7 @@
-"""Indexing: files to chunks with titles, ids and vectors, appended once."""
+"""Indexing: files to chunks with titles, ids, lexemes and vectors, appended once.
+
+Files are read, cleaned and cut once and stored; ids, vectors and counters come from what is stored.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import lexing
 from ..functions import text as T
+from ..plans import storage
 from ..plans.schema import CHUNKS
 from ..sources import markdown
+from ..sources.providers import ModelError
 
 KEY = ["file_path", "chunk_index"]
+EMBEDDED = "id long, file_path string, chunk_index int, content string, embedding array<float>"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -30,45 +37,68 @@ def not_indexed(files: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def cleaned(texts: DataFrame) -> DataFrame:
-    """file_path, chunks (trimmed, short ones included) of files that are not blank."""
-    return (
-        texts.where(F.length(T.trim(F.col("text"))) > 0)
-        .select("file_path", F.transform(T.chunk_by_headers(T.clean_markdown(F.col("text"))), T.trim).alias("chunks"))
-    )
+    """texts with chunks: trimmed, short ones included; none of a blank or missing text."""
+    chunks = F.transform(T.chunk_by_headers(T.clean_markdown(F.col("text"))), T.trim)
+    return texts.withColumn("chunks", F.when(F.length(T.trim(F.col("text"))) > 0, chunks).otherwise(F.array().cast("array<string>")))
 
 
-def split_chunks(texts: DataFrame) -> DataFrame:
-    """file_path, chunk_index, content, embed_text; indices run from 0 without gaps."""
+def numbered_chunks(cut: DataFrame) -> DataFrame:
+    """file_path, chunk_index, content, embed_text of file_path, chunks; indices run from 0 without gaps."""
     kept = F.filter("chunks", lambda x: F.octet_length(x) >= T.MIN_CHUNK)
-    rows = cleaned(texts).select("file_path", F.posexplode(kept).alias("chunk_index", "content"))
+    rows = cut.select("file_path", F.posexplode(kept).alias("chunk_index", "content"))
     return rows.withColumn("embed_text", T.embed_text(T.path_to_title(F.col("file_path")), F.col("content")))
 
 
+def split_chunks(texts: DataFrame) -> DataFrame:
+    return numbered_chunks(cleaned(texts))
+
+
 def with_ids(chunks: DataFrame, first: int = 0) -> DataFrame:
     """chunks numbered from `first` in the order of file_path and chunk_index.
 
-    Rows are range-sorted; the driver sees one count for each partition, and rows are numbered within their partition.
+    The range-sorted rows are stored with their partition and place, so that counting and numbering see the same partitions;
+    the driver gets one count for each partition.
     """
-    dealt = chunks.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("pid", F.spark_partition_id())
-    counts = sorted((r.pid, r.n) for r in dealt.groupBy("pid").agg(F.count("*").alias("n")).collect())
+    rows = storage.store(chunks, "chunks")  # the range sort samples its input, so this is not computed twice
+    dealt = rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("place", F.monotonically_increasing_id())
+    placed = storage.store(dealt, "placed-chunks")
+    storage.drop(rows)
+    part, within = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r.pid, r.n) for r in placed.groupBy(part.cast("int").alias("pid")).agg(F.count("*").alias("n")).collect())
     starts, at = [], first
     for pid, n in counts:
         starts.append((pid, at))
         at += n
     offsets = chunks.sparkSession.createDataFrame(starts, "pid int, base long")
-    n = F.row_number().over(Window.partitionBy("pid").orderBy(*KEY))
-    return dealt.join(F.broadcast(offsets), "pid").select((F.col("base") + n - 1).alias("id"), *[c for c in chunks.columns if c != "id"])
+    numbered = placed.join(F.broadcast(offsets), part == F.col("pid"))  # one row for each partition
+    return numbered.select((F.col("base") + within).alias("id"), *[c for c in chunks.columns if c != "id"])
 
 
 def embed(chunks: DataFrame, provider) -> DataFrame:
-    """chunks with an embedding of embed_text, a batch of rows to a call."""
+    """chunks with an embedding of embed_text, a batch of rows to a call; null where the model fails on a row's own call too."""
+
+    def one(text: str):
+        try:
+            return provider.embed([text])[0]
+        except ModelError:
+            return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
-                yield rows.assign(embedding=provider.embed(rows.embed_text.tolist()))[["id", "file_path", "chunk_index", "content", "embedding"]]
+                texts = rows.embed_text.tolist()
+                try:
+                    found = provider.embed(texts)
+                except ModelError:
+                    found = [one(t) for t in texts]
+                yield rows.assign(embedding=list(found))[["id", "file_path", "chunk_index", "content", "embedding"]]
+
+    return chunks.select("id", "file_path", "chunk_index", "content", "embed_text").mapInPandas(run, EMBEDDED)
+
 
-    return chunks.select("id", "file_path", "chunk_index", "content", "embed_text").mapInPandas(run, CHUNKS)
+def with_lexemes(chunks: DataFrame, language: str | None) -> DataFrame:
+    """chunks with what full-text search matches, so that a search neither lexes nor stems them again."""
+    return chunks.withColumn("lexemes", lexing.lexemes(F.col("content"), language=language))
 
 
 def new_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -82,29 +112,48 @@ def insert(rows: DataFrame, path: str) -> None:
     new_rows(rows, read_table(rows.sparkSession, path)).write.mode("append").parquet(path)
 
 
-def counters(files: DataFrame, existing: DataFrame) -> DataFrame:
-    """One row: indexed chunks, failed files, skipped_files, skipped_chunks and their sum."""
+class BadVectors(ValueError):
+    """Vectors whose length is not that of the table."""
+
+
+def _append(chunks: DataFrame, path: str, provider, dims: int | None, language: str | None) -> tuple[int, int]:
+    """Number, embed and append chunks; (rows appended or there already, rows whose embedding failed)."""
+    spark = chunks.sparkSession
+    last = read_table(spark, path).agg(F.max("id")).first()[0]
+    numbered = with_ids(chunks, 0 if last is None else last + 1)
+    made = storage.store(with_lexemes(embed(numbered, provider), language), "embedded")
+    size = F.size("embedding")
+    found = made.agg(F.count("embedding").alias("n"), F.count("*").alias("all"), F.min(F.when(F.col("embedding").isNotNull(), size)).alias("low"), F.max(size).alias("high")).first()
+    if found.n and not found.low == found.high == (dims or found.high):
+        raise BadVectors(f"vectors of {found.low} to {found.high} numbers, {dims or found.high} are wanted")
+    good = made.where(F.col("embedding").isNotNull())
+    if found.n < found["all"]:  # a chunk without a vector uses up no index
+        good = good.withColumn("chunk_index", (F.row_number().over(Window.partitionBy("file_path").orderBy("chunk_index")) - 1).cast("int"))
+    insert(good, path)
+    storage.drop(made)
+    return found.n, found["all"] - found.n
+
+
+def index_files(files: DataFrame, path: str, provider, dims: int | None = None, language: str | None = "portuguese") -> dict[str, int]:
+    """Index the files that the table at path does not know; done again, it adds nothing.
+
+    files: file_path, path (to be read here, if new) or file_path, raw, error. Result: indexed chunks; failed_files that could
+    not be read and failed_chunks without a vector, and failed, their sum; skipped_files (known or blank), skipped_chunks (too
+    short) and skipped, their sum.
+    """
+    existing = read_table(files.sparkSession, path)
     fresh = not_indexed(files, existing)
+    fresh = fresh if "raw" in files.columns else markdown.read(fresh)
+    ready = storage.store(cleaned(fresh.select("file_path", "error", markdown.sanitized("raw").alias("text"))).drop("text"), "prepared-files")
     short = F.size(F.filter("chunks", lambda x: F.octet_length(x) < T.MIN_CHUNK))
-    texts = markdown.texts(fresh)
-    made = cleaned(texts).agg(
-        F.coalesce(F.sum(F.size("chunks") - short), F.lit(0)).alias("indexed"), F.coalesce(F.sum(short), F.lit(0)).alias("skipped_chunks"), F.count("*").alias("used")
-    )
-    seen = files.agg(F.count("*").alias("files"))
-    read = fresh.agg(F.count("*").alias("fresh"), F.count("error").alias("failed"))
-    row = made.crossJoin(seen).crossJoin(read)  # three single rows
-    skipped = F.col("files") - F.col("failed") - F.col("used")
-    return row.select("indexed", "failed", skipped.alias("skipped_files"), "skipped_chunks", (skipped + F.col("skipped_chunks")).alias("skipped"))
-
-
-def index_files(files: DataFrame, path: str, provider) -> None:
-    """Index the files that the table at path does not know; done again, it adds nothing."""
-    spark = files.sparkSession
-    existing = read_table(spark, path)
-    first = existing.agg(F.max("id")).first()[0]
-    fresh = split_chunks(markdown.texts(not_indexed(files, existing)))
-    insert(embed(with_ids(fresh, 0 if first is None else first + 1), provider), path)
-
-
-def index_samples(spark: SparkSession, path: str, provider) -> None:
-    insert(embed(with_ids(markdown.sample_chunks(spark)), provider), path)
+    total = ready.agg(F.count("error").alias("failed"), F.coalesce(F.sum((F.size("chunks") > 0).cast("int")), F.lit(0)).alias("used"), F.coalesce(F.sum(short), F.lit(0)).alias("short")).first()
+    n_files = files.count()
+    indexed, lost = _append(numbered_chunks(ready), path, provider, dims, language)
+    storage.drop(ready)
+    skipped = n_files - total.failed - total.used
+    return {"indexed": indexed, "failed_files": total.failed, "failed_chunks": lost, "failed": total.failed + lost, "skipped_files": skipped, "skipped_chunks": total.short, "skipped": skipped + total.short}
+
+
+def index_samples(spark: SparkSession, path: str, provider, dims: int | None = None, language: str | None = "portuguese") -> dict[str, int]:
+    indexed, lost = _append(markdown.sample_chunks(spark), path, provider, dims, language)
+    return {"indexed": indexed, "failed_files": 0, "failed_chunks": lost, "failed": lost, "skipped_files": 0, "skipped_chunks": 0, "skipped": 0}

@@ -25,7 +25,7 @@ def _top(rows: DataFrame, most: int, *order: Column) -> DataFrame:
 
 
 def with_distance(chunks: DataFrame, query) -> DataFrame:
-    return chunks.withColumn("distance", vector.cosine_distance(F.col("embedding"), vector.vector_literal(query)))
+    return chunks.withColumn("distance", vector.cosine_distance_to(F.col("embedding"), query))
 
 
 def best_per_file(rows: DataFrame, *order: Column, most: int = 1) -> DataFrame:
@@ -54,7 +54,7 @@ def text_lane(chunks: DataFrame, terms: list[str], most: int = TEXT_LANE, langua
     """Chunks that hold a term, by the number of places that match (for alternatives, what cover density comes to)."""
     if not terms:
         return chunks.select("id", F.lit(0).alias("hits"), F.lit(0).alias("rk")).limit(0)
-    found = F.col("lexemes") if "lexemes" in chunks.columns else lexing.lexemes(F.col("content"), language=language)
+    found = F.col("lexemes") if "lexemes" in chunks.columns else lexing.lexemes(F.col("content"), language, terms)
     hits = F.size(F.filter(found, lambda w: w.isin(terms)))
     return _top(chunks.select("id", hits.alias("hits")).where("hits > 0"), most, F.col("hits").desc(), F.col("id"))
 
@@ -78,12 +78,11 @@ def fuse(*lanes: DataFrame) -> DataFrame:
 
 def hybrid(chunks: DataFrame, query, terms: list[str], limit: int = 5, literal: str = "", language: str | None = None) -> DataFrame:
     """Fused lanes, best chunk of each file by score; the distance is the winner's own."""
-    dist = with_distance(chunks, query)
-    lanes = [vector_lane(dist), text_lane(chunks, terms, language=language)]
+    lanes = [vector_lane(with_distance(chunks, query)), text_lane(chunks, terms, language=language)]
     if literal:
         lanes.append(literal_lane(chunks, literal))
     fused = fuse(*lanes)  # at most 250 rows by the lanes' limits
-    joined = dist.join(F.broadcast(fused), "id")
+    joined = with_distance(chunks.join(F.broadcast(fused), "id"), query)  # distances of the winners alone
     best = best_per_file(joined, F.col("score").desc(), F.col("distance"), F.col("id"))
     return best.select("id", "file_path", "chunk_index", "content", "distance", "score").orderBy(F.col("score").desc(), "distance", "id").limit(check_limit(limit))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import lexing
 from ..functions import text as T
 from ..operators import indexing, retrieval
 from ..sources import markdown, providers
 from . import views
+from .stemming_sql import stemmed
 from .views import V1, V2
 
 TERMS = ["les", "ouier", "para"]
@@ -159,16 +161,17 @@ def snippets(spark, sf_dir):
     return retrieval.joined_windows(retrieval.chunk_windows(chunks, _centres(chunks), 3))
 
 
-@query(f"""WITH {V2}, f AS (SELECT file_path, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS context FROM v2 WHERE CAST(file_path AS BIGINT) < 5 GROUP BY 1),
-n AS (SELECT row_number() OVER (ORDER BY file_path) AS rank, * FROM f)
-SELECT string_agg('[Fonte ' || rank || ': ' || file_path || ']' || chr(10) || context, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM n""")
+@query(f"""WITH {V1}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, distance, id) AS rank FROM (WITH {_hybrid_sql(TERMS, 5, '')})),
+w AS (SELECT rank, t.file_path, d.chunk_index, d.content, row_number() OVER (PARTITION BY rank ORDER BY d.chunk_index) AS n
+  FROM top t JOIN dist d ON d.file_path = t.file_path AND d.chunk_index >= greatest(t.chunk_index - 1, 0) QUALIFY n <= 3),
+f AS (SELECT rank, file_path, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS context FROM w GROUP BY ALL)
+SELECT string_agg('[Fonte ' || rank || ': ' || file_path || ']' || chr(10) || context, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM f""")
 def context_assembly(spark, sf_dir):
-    some = views.ordered_chunks(spark, sf_dir).where(F.col("file_path").cast("long") < 5)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"])
-    files = some.groupBy("file_path").agg(F.array_join(parts, "\n\n").alias("context"))
-    from pyspark.sql.window import Window
-
-    return retrieval.context_of(files.withColumn("rank", F.row_number().over(Window.orderBy("file_path"))))  # five rows
+    chunks, q = _v1(spark, sf_dir)
+    found = retrieval.hybrid(chunks, q, TERMS, 5).select("file_path", "chunk_index").collect()  # five rows, best first
+    top = spark.createDataFrame([(k, r.file_path, r.chunk_index) for k, r in enumerate(found, 1)], "rank int, file_path string, centre int")
+    windows = retrieval.joined_windows(retrieval.chunk_windows(chunks, F.broadcast(top)))
+    return retrieval.context_of(windows.join(F.broadcast(top), ["file_path", "centre"]).select("rank", "file_path", "context"))
 
 
 _STEP = """list_reduce(list_prepend({'ch': []::VARCHAR[], 'cur': []::VARCHAR[], 'line': '', 'sz': 0::BIGINT},
@@ -181,9 +184,14 @@ _STEP = """list_reduce(list_prepend({'ch': []::VARCHAR[], 'cur': []::VARCHAR[],
     ELSE {'ch': a.ch, 'cur': list_append(a.cur, x.line), 'line': '', 'sz': a.sz + x.sz + 1} END)""".replace("WS", _WS)
 
 
-@query(f"""WITH f AS (SELECT doc_id, {_STEP} AS s FROM documents),
-c AS (SELECT doc_id, list_filter(list_transform(CASE WHEN len(s.cur) > 0 THEN list_append(s.ch, array_to_string(s.cur, chr(10))) ELSE s.ch END,
-  lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: strlen(x) >= 50) AS kept FROM f)
+def _kept_sql(source: str, key: str) -> str:
+    """CTEs that end in `c`: the key and the kept chunks (a list) of a relation's texts."""
+    return f"""f AS (SELECT {key}, {_STEP} AS s FROM {source}),
+c AS (SELECT {key}, list_filter(list_transform(CASE WHEN len(s.cur) > 0 THEN list_append(s.ch, array_to_string(s.cur, chr(10))) ELSE s.ch END,
+  lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: strlen(x) >= 50) AS kept FROM f)"""
+
+
+@query(f"""WITH {_kept_sql('documents', 'doc_id')}
 SELECT doc_id, CAST(unnest(generate_series(0, len(kept) - 1)) AS INTEGER) AS chunk_index, unnest(kept) AS content FROM c""")
 def chunk_by_headers(spark, sf_dir):
     rows = views.raw_texts(spark, sf_dir)
@@ -199,12 +207,16 @@ _NOISE = " OR ".join([*(f"starts_with(t, '{p}')" for p in (*T.METADATA, *T.NAVIG
 _TRIM = f"regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_decorated()} AS text FROM documents),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+def _clean_sql(source: str) -> str:
+    """CTEs that end in `s`: doc_id and x, the cleaned text before it is trimmed, of a relation's doc_id and text."""
+    return f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source}),
 a AS (SELECT doc_id, x, i, {_TRIM} AS t FROM l),
 k AS (SELECT doc_id, x, i, t, min(CASE WHEN starts_with(t, '#') THEN i END) OVER (PARTITION BY doc_id) AS p FROM a WHERE NOT ({_NOISE})),
 j AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS x FROM k WHERE NOT ((p IS NULL OR i < p) AND regexp_matches(t, '^[0-9]') AND contains(t, '[') AND contains(t, '](')) GROUP BY 1),
-s AS (SELECT doc_id, regexp_replace(regexp_replace(x, '!\\[[^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g') AS x FROM j)
+s AS (SELECT doc_id, regexp_replace(regexp_replace(x, '!\\[[^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g') AS x FROM j)"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_decorated()} AS text FROM documents), {_clean_sql('d')}
 SELECT doc_id, {_TRIM} AS text FROM s""")
 def clean_markdown(spark, sf_dir):
     rows = views.raw_texts(spark, sf_dir).select("doc_id", F.expr(_decorated().replace("\n", "\\n")).alias("text"))
@@ -230,12 +242,12 @@ def path_to_title(spark, sf_dir):
     return views.paths(spark, sf_dir).select("page_id", T.path_to_title(F.col("url")).alias("title"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(left(text, 200), '\p{L}{4,}')) AS w, generate_subscripts(regexp_extract_all(left(text, 200), '\p{L}{4,}'), 1) AS i FROM documents),
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}{4,}')) AS w, generate_subscripts(regexp_extract_all(text, '\p{L}{4,}'), 1) AS i FROM documents),
 f AS (SELECT doc_id, arg_min(w, i) AS w, min(i) AS i FROM w GROUP BY doc_id, lower(w))
 SELECT d.doc_id, coalesce(string_agg(w, ' | ' ORDER BY i), '') AS terms FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""")
 def fts_terms(spark, sf_dir):
     rows = views.raw_texts(spark, sf_dir)
-    return rows.select("doc_id", lexing.fts_terms_column(F.substring("text", 1, 200)).alias("terms"))  # a query's length
+    return rows.select("doc_id", F.coalesce(lexing.fts_terms_column(F.col("text")), F.lit("")).alias("terms"))
 
 
 @query(r"SELECT page_id, regexp_extract(url, '\b\w+_\w[\w_]*\b') AS term FROM pages")
@@ -253,7 +265,7 @@ def resume_filter(spark, sf_dir):
 SELECT file_path, chunk_index, content FROM v2 WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.file_path = v2.file_path AND e.chunk_index = v2.chunk_index)""")
 def idempotent_insert(spark, sf_dir):
     chunks = views.ordered_chunks(spark, sf_dir)
-    rows = chunks.union(chunks).select(F.xxhash64("file_path", "chunk_index").alias("id"), "*", F.array().cast("array<float>").alias("embedding"))
+    rows = chunks.union(chunks).select(F.xxhash64("file_path", "chunk_index").alias("id"), "*", F.array().cast("array<float>").alias("embedding"), F.array().cast("array<string>").alias("lexemes"))
     return indexing.new_rows(rows, chunks.where(F.col("chunk_index") % 2 == 0)).select("file_path", "chunk_index", "content")
 
 
@@ -263,29 +275,42 @@ def relevance_band(spark, sf_dir):
     return retrieval.with_distance(chunks, q).select("id", T.relevance(F.col("distance")).alias("relevance"), T.relevance_band(F.col("distance")).alias("band"))
 
 
-@query()
+@query("SELECT doc_id, coalesce(text, '') || 'A' || chr(65533) AS text FROM documents")
 def sanitize_utf8(spark, sf_dir):
-    rows = spark.createDataFrame([(1, bytearray(b"A\xe2\x82A")), (2, bytearray(b"A\xef\xbf\xbd")), (3, bytearray(b"ok"))], "n int, raw binary")
-    return rows.select("n", T.sanitize_utf8("raw").alias("text"))
+    """Every text's bytes with invalid ones before and after, and a genuine U+FFFD."""
+    raw = F.concat(F.unhex(F.lit("FFFE")), F.coalesce("text", F.lit("")).cast("binary"), F.unhex(F.lit("E28241EFBFBDC0")))
+    return views.raw_texts(spark, sf_dir).select("doc_id", raw.alias("raw")).select("doc_id", T.sanitize_utf8("raw").alias("text"))
+
 
+#: What is searched, and its stems (no stopword has one of these).
+STEMMED_QUERY = "consulta sobre thtiones ederou reatea mentes"
+STEMMED = ["consult", "sobr", "thtion", "eder", "reat", "ment"]
 
-@query()
+
+@query(rf"""WITH {V1}, t AS (SELECT id, unnest(regexp_extract_all(lower(content), '\p{{L}}+')) AS w FROM v1),
+{stemmed('t', 'w')},
+h AS (SELECT id, CAST(count(*) AS INTEGER) AS hits FROM t JOIN stems USING (w) WHERE stem IN ({', '.join(f"'{x}'" for x in STEMMED)}) GROUP BY id)
+SELECT id, hits, CAST(row_number() OVER (ORDER BY hits DESC, id) AS INTEGER) AS rk FROM h QUALIFY rk <= 100""")
 def fts_stemmed(spark, sf_dir):
-    chunks = views.vector_chunks(spark, sf_dir)
-    return retrieval.text_lane(chunks, lexing.query_lexemes("consulta sobre menteleções paradas", "portuguese") + ["par"], language="portuguese")
+    return retrieval.text_lane(views.vector_chunks(spark, sf_dir), lexing.query_lexemes(STEMMED_QUERY, "portuguese"), language="portuguese")
 
 
-@query()
+@query(f"""WITH {_clean_sql('documents')}, e AS (SELECT doc_id, {_TRIM} AS text FROM s), {_kept_sql('e', 'doc_id')},
+r AS (SELECT 'd/doc-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS file_path, CAST(unnest(generate_series(0, len(kept) - 1)) AS INTEGER) AS chunk_index, unnest(kept) AS content FROM c)
+SELECT row_number() OVER (ORDER BY file_path, chunk_index) - 1 AS id, file_path, chunk_index, content, CAST(64 AS INTEGER) AS dims FROM r""")
 def index_pipeline(spark, sf_dir):
     files = views.raw_texts(spark, sf_dir).select(F.concat(F.lit("d/doc-"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md")).alias("file_path"), F.col("text").cast("binary").alias("raw"), F.lit(None).cast("string").alias("error"))
-    return indexing.embed(indexing.with_ids(indexing.split_chunks(markdown.texts(files))), providers.HashingEmbedder(64))
+    made = indexing.embed(indexing.with_ids(indexing.split_chunks(markdown.texts(files))), providers.HashingEmbedder(64))
+    return made.select("id", "file_path", "chunk_index", "content", F.size("embedding").alias("dims"))
 
 
-@query()
+@query(f"""WITH {V1}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, distance, id) AS rank FROM (WITH {_hybrid_sql(TERMS, 5, '')})),
+t AS (SELECT rank, file_path, chunk_index, distance, regexp_replace(replace(content, chr(10), ' '), '^{_WS}+|{_WS}+$', '', 'g') AS x FROM top),
+k AS (SELECT *, x[:list_max(list_filter(range(0, 201), lambda k: strlen(x[:k]) <= 200))] AS cut FROM t),
+o AS (SELECT rank, file_path, chunk_index, distance, CASE WHEN strlen(x) <= 200 THEN x WHEN strlen(cut) < 200 THEN cut || chr(65533) || '...' ELSE cut || '...' END AS content FROM k)
+SELECT CAST(to_json({{'results': list({{'file_path': file_path, 'chunk_index': chunk_index, 'content': content, 'distance': distance}} ORDER BY rank), 'query': '{" ".join(TERMS)}'}}) AS VARCHAR) AS json FROM o""")
 def search_response(spark, sf_dir):
     chunks, q = _v1(spark, sf_dir)
-    from pyspark.sql.window import Window
-
     found = retrieval.hybrid(chunks, q, TERMS, 5).drop("id")
     ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "distance")))  # five rows
     return retrieval.response(ranked.withColumn("content", T.snippet(F.col("content"))), " ".join(TERMS))

@@ -16,6 +16,7 @@ CHUNKS = T.StructType(
         T.StructField("chunk_index", T.IntegerType(), False),
         T.StructField("content", T.StringType(), False),
         T.StructField("embedding", T.ArrayType(T.FloatType(), False), False),
+        T.StructField("lexemes", T.ArrayType(T.StringType(), False), False),
     ]
 )
 
@@ -44,15 +45,22 @@ def repeated_keys(chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class Settings:
-    """Every setting is an environment variable of the same name in capitals; an empty one counts as unset."""
+    """Every setting is an environment variable of the same name in capitals; an empty one counts as unset.
+
+    embedding_model `hashing` is the offline embedder, any other name a model of model_host. chat_backend `offline` is the
+    extractive chat, `none` no chat, `remote` the service at remote_url with chat_key, anything else model_host.
+    """
 
     docs_dir: str = "./docs"
     table_path: str = "./chunks"
     embedding_dims: str = "384"
     embedding_model: str = "hashing"
+    model_host: str = "http://localhost:11434"
     chat_backend: str = "offline"
     chat_model: str = ""
     chat_key: str = ""
+    remote_url: str = ""
+    language: str = "portuguese"
     port: str = "8080"
 
     @classmethod

@@ -3,55 +3,122 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize_utf8
 
 FILES = "file_path string, path string"
+READ = "file_path string, raw binary, error string"
+
+
+def is_local(root: str) -> bool:
+    return urlsplit(root).scheme in ("", "file")
+
+
+def local_path(root: str) -> str:
+    """An absolute path of a local root, which may be relative or a file: URI."""
+    return os.path.abspath(root.removeprefix("file://").removeprefix("file:") if root.startswith("file:") else root)
 
 
 def list_markdown(root: str) -> list[tuple[str, str]]:
     """(path below root, path) of every regular file whose name ends in .md in any case; errors of the walk are raised.
 
-    Names that begin with _ or . count too, which Spark's own listing would skip.
+    Names that begin with _ or . count too, which Spark's own listing would skip. root: local, or of a store that pyarrow opens.
     """
 
     def fail(error):
         raise error
 
     out = []
-    for folder, _, names in os.walk(root, onerror=fail):
+    if not is_local(root):
+        store, base = pyarrow.fs.FileSystem.from_uri(root)
+        for info in store.get_file_info(pyarrow.fs.FileSelector(base, recursive=True)):
+            if info.is_file and info.path.lower().endswith(".md"):
+                out.append((info.path[len(base.rstrip("/")) + 1 :], f"{root.rstrip('/')}/{info.path[len(base.rstrip('/')) + 1 :]}"))
+        return sorted(out)
+    base = local_path(root)
+    for folder, _, names in os.walk(base, onerror=fail):
         for name in names:
             path = os.path.join(folder, name)
             if name.lower().endswith(".md") and os.path.isfile(path):
-                out.append((os.path.relpath(path, root).replace(os.sep, "/"), path))
+                out.append((os.path.relpath(path, base).replace(os.sep, "/"), path))
     return sorted(out)
 
 
+def read(files: DataFrame) -> DataFrame:
+    """file_path, raw (null if unreadable), error of file_path, path. Executors open the files one at a time."""
+
+    def bytes_of(path: str) -> bytes:
+        if is_local(path):
+            with open(local_path(path), "rb") as f:
+                return f.read()
+        store, inner = pyarrow.fs.FileSystem.from_uri(path)
+        with store.open_input_file(inner) as f:
+            return f.read()
+
+    def run(batches):
+        for batch in batches:
+            for name, path in zip(batch.column("file_path").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                try:
+                    row = (name, bytes_of(path), None)
+                except OSError as e:
+                    row = (name, None, str(e))
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.string())], ["file_path", "raw", "error"])
+
+    return files.mapInArrow(run, READ)
+
+
+def opens(root: str) -> bool:
+    """Whether pyarrow can list a root; else it is of a store that only Spark reads."""
+    if is_local(root):
+        return True
+    try:
+        pyarrow.fs.FileSystem.from_uri(root)
+        return True
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
+def files_of(spark: SparkSession, root: str) -> DataFrame:
+    """file_path, path of the markdown files below a root that list_markdown can list; 16 files or more to a task."""
+    files = list_markdown(root)
+    return spark.createDataFrame(files, FILES).repartition(max(1, min(len(files) // 16 + 1, 10_000)))
+
+
 def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
-    """file_path, raw (null if unreadable), error. For a folder that all executors see."""
-    if root.startswith("/") or root.startswith(".") or root.startswith("file:"):
-        files = list_markdown(root.removeprefix("file://").removeprefix("file:"))
-        listed = spark.createDataFrame(files, FILES).repartition(max(1, min(len(files) // 16 + 1, 10_000)))
-
-        def read(batches):
-            for batch in batches:
-                for name, path in zip(batch.column("file_path").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                    try:
-                        with open(path, "rb") as f:
-                            row = (name, f.read(), None)
-                    except OSError as e:
-                        row = (name, None, str(e))
-                    yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.string())], ["file_path", "raw", "error"])
-
-        return listed.mapInArrow(read, "file_path string, raw binary, error string")
-    base = root.rstrip("/") + "/"  # a store that only Spark reads
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.lower("path").endswith(".md"))
-    name = F.expr(f"substring(path, locate('{base.split('://')[-1]}', path) + {len(base.split('://')[-1])})")
-    return rows.select(F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name).alias("file_path"), F.col("content").alias("raw"), F.lit(None).cast("string").alias("error"))
+    """file_path, raw (null if unreadable), error of the markdown files below a root that all executors see.
+
+    The same files and paths for every kind of root. Of a store that only Spark reads, the listing is Hadoop's; files that
+    Spark's reader leaves out (names that begin with _ or ., or in such folders) come with an error, not silently.
+    """
+    if opens(root):
+        return read(files_of(spark, root))
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    store = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = store.makeQualified(base)
+    start = len(top.toString().rstrip("/")) + 1
+    names, folders = [], [top]
+    while folders:
+        for status in store.listStatus(folders.pop()):
+            if status.isDirectory():
+                folders.append(status.getPath())
+            elif status.isFile() and status.getPath().getName().lower().endswith(".md"):
+                names.append(status.getPath().toString()[start:])
+    hidden = [n for n in names if any(part[0] in "_." for part in n.split("/"))]
+    unread = spark.createDataFrame([(n, None, "Spark's reader skips names that begin with _ or .") for n in sorted(hidden)], READ)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top.toString()).where(F.lower("path").endswith(".md"))
+    name = F.substring("path", start + 1, 1 << 30)
+    return rows.select(name.alias("file_path"), F.col("content").alias("raw"), F.lit(None).cast("string").alias("error")).unionByName(unread)
+
+
+def sanitized(raw: str) -> Column:
+    return sanitize_utf8(raw)
 
 
 def texts(files: DataFrame) -> DataFrame:

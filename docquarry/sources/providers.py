@@ -8,6 +8,7 @@ import time
 import urllib.request
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -37,6 +38,11 @@ def post(url: str, body: dict, headers: dict | None = None, timeout: float = 120
         raise ModelError(f"{url}: {e}") from e
 
 
+@lru_cache(1 << 16)
+def _crc(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
 @dataclass
 class HashingEmbedder:
     """Feature hashing of words: offline and the same everywhere."""
@@ -46,9 +52,8 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dims), np.float64)
         for row, t in zip(out, texts, strict=True):
-            for w in re.findall(r"\w+", t.lower()):
-                h = zlib.crc32(w.encode())
-                row[h % self.dims] += 1 if h >> 31 else -1
+            hashes = np.array([_crc(w) for w in re.findall(r"\w+", t.lower())], np.int64)
+            row += np.bincount(hashes % self.dims, np.where(hashes >> 31, 1.0, -1.0), self.dims)
         norms = np.sqrt((out**2).sum(axis=1, keepdims=True))
         return (out / np.where(norms > 0, norms, 1)).astype(np.float32).tolist()
 
@@ -126,13 +131,20 @@ class ExtractiveChat:
         return f"{m[2].split('. ')[0]} [Fonte {m[1]}]" if m else ""
 
 
-def chat_provider(backend: str, host: str = "", key: str = "", model: str = "") -> ChatProvider:
-    """`remote` goes to the remote service, `offline` to none, anything else to the local host."""
+def chat_provider(backend: str, host: str = "", key: str = "", model: str = "") -> ChatProvider | None:
+    """`remote` goes to the remote service, `offline` to the extractive chat, `none` nowhere, anything else to the local host."""
+    backend = backend.strip().lower()
+    if backend == "none":
+        return None
     if backend == "offline":
         return ExtractiveChat()
     return RemoteChat(host, key, model) if backend == "remote" else LocalChat(host, model)
 
 
+def embedding_provider(model: str, dims: int, host: str) -> EmbeddingProvider:
+    return HashingEmbedder(dims) if model == "hashing" else HttpEmbedder(host, model)
+
+
 HYDE = "Escreva de duas a três frases técnicas, em português, que poderiam responder a esta pergunta em uma documentação: "
 ANSWER = "Responda apenas com base nas fontes abaixo e cite cada uma como [Fonte N]. "
 NOT_FOUND = "Se as fontes não contêm a resposta, escreva: Não encontrei essa informação na documentação."

@@ -1,25 +1,58 @@
 """An extension: files that arrive in a folder are indexed by the batch indexer, micro-batch by micro-batch.
 
-The indexer's anti-joins make a batch that is run again add nothing.
+The source lists the folder as the batch scan does, hidden names included, and gives the paths of all its files whenever their
+number or the newest time of change has changed; the indexer's anti-join leaves the new ones, and only these are read. So a
+batch that is run again adds nothing, and stream and batch give a file the same path.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..operators import indexing
+from ..sources import markdown
+
+
+class Arrivals(DataSource):
+    """Stream of (file_path, path) of the markdown files below the option `path`, a local folder or one that pyarrow lists."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "markdown_arrivals"
+
+    def schema(self) -> str:
+        return markdown.FILES
+
+    def simpleStreamReader(self, schema):
+        return _Listing(self.options["path"])
+
+
+class _Listing(SimpleDataSourceStreamReader):
+    def __init__(self, root: str):
+        self.root = root
+
+    def initialOffset(self) -> dict:
+        return {"files": 0, "newest": 0}
+
+    def read(self, start: dict):
+        files = markdown.list_markdown(self.root)
+        newest = max((os.stat(path).st_mtime_ns for _, path in files), default=0) if markdown.is_local(self.root) else 0
+        now = {"files": len(files), "newest": newest}
+        return iter(files if now != start else []), now
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter(markdown.list_markdown(self.root))
 
 
-def watch(spark: SparkSession, folder: str, table: str, checkpoint: str, provider, **trigger):
+def watch(spark: SparkSession, folder: str, table: str, checkpoint: str, provider, language: str | None = "portuguese", **trigger):
     """Start a query that indexes *.md files under folder; trigger: e.g. availableNow=True."""
-    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
-    base = folder.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
+    spark.dataSource.register(Arrivals)
+    source = spark.readStream.format("markdown_arrivals").option("path", folder).load()
 
     def batch(rows: DataFrame, _: int) -> None:
-        files = rows.where(F.lower("path").endswith(".md")).select(
-            F.expr(f"substring(path, locate('{base}', path) + {len(base)})").alias("file_path"), F.col("content").alias("raw"), F.lit(None).cast("string").alias("error")
-        )
-        indexing.index_files(files, table, provider)
+        indexing.index_files(rows.select("file_path", "path"), table, provider, language=language)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()

@@ -1,10 +1,15 @@
 import io
 import json
+import re
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.functions import vector
+from docquarry import service
+from docquarry.functions import lexing, vector
 from docquarry.operators import indexing, retrieval
 from docquarry.plans import catalog, schema, views
 from docquarry.service import BadRequest, Engine, parse_request
@@ -31,14 +36,14 @@ def test_index_and_search(spark, docs, tmp_path):
     engine = Engine(spark, settings, chat=providers.ExtractiveChat())
     files = markdown.scan_markdown(spark, str(docs))
     assert {r.file_path for r in files.collect()} == {"a-b_123456.md", "_c.MD", ".h/sub/d.md", "blank.md"}
-    row = indexing.counters(files, engine.chunks).first()
-    assert (row.failed, row.skipped_files) == (0, 1)
-    engine.index()
+    row = engine.index()
+    assert (row["failed"], row["skipped_files"]) == (0, 1)
     first = {(r.id, r.file_path, r.chunk_index, r.content) for r in engine.chunks.collect()}
-    assert len(first) == row.indexed and sorted(x[0] for x in first) == list(range(row.indexed))
+    assert len(first) == row["indexed"] and sorted(x[0] for x in first) == list(range(row["indexed"]))
     assert schema.bad_rows(engine.chunks, 64).count() == 0 and schema.repeated_keys(engine.chunks).count() == 0
-    engine.index()
+    assert engine.index() == {"indexed": 0, "failed_files": 0, "failed_chunks": 0, "failed": 0, "skipped_files": 4, "skipped_chunks": 0, "skipped": 4}
     assert {(r.id, r.file_path, r.chunk_index, r.content) for r in engine.chunks.collect()} == first
+    assert all(r.lexemes == [lexing.stem_portuguese(w) for w in re.findall(r"[^\W\d_]+", r.content.lower()) if w not in lexing.stopwords()] for r in engine.chunks.collect())
     assert engine.stats() == {"total_chunks": len(first), "total_files": 3}
     assert engine.health() == {"status": "healthy"}
     out = engine.search("palavras UNIT_ID", 3)
@@ -63,15 +68,120 @@ def test_stream_indexes_once(spark, docs, tmp_path):
 
 def test_requests():
     assert parse_request('{"query": "x"}') == ("x", 5) and parse_request('{"query": " ", "limit": 0}') == (" ", 5)
-    for body in ("{", '{"query": ""}', "[1]"):
+    for body in ("{", '{"query": ""}', "[1]", "{}", '{"query": 5}', '{"query": "x", "limit": "3"}', '{"query": "x", "limit": 2.7}', '{"query": "x", "limit": true}', '{"query": "x", "limit": -1}'):
         with pytest.raises(BadRequest):
             parse_request(body)
-    with pytest.raises(ValueError):
-        parse_request('{"query": "x", "limit": -1}')
 
 
-def test_settings():
+def test_settings(spark):
     assert schema.Settings.load({"EMBEDDING_DIMS": "", "DOCS_DIR": "d"}) == schema.Settings(docs_dir="d")
+    made = lambda **x: Engine(spark, schema.Settings(**x))
+    assert (made(embedding_dims="9").embedder, made().chat) == (providers.HashingEmbedder(9), providers.ExtractiveChat())
+    engine = made(embedding_model="m", model_host="http://h", chat_backend=" Remote ", remote_url="http://r", chat_key=" k ", chat_model="c")
+    assert (engine.embedder, engine.chat) == (providers.HttpEmbedder("http://h", "m"), providers.RemoteChat("http://r", "k", "c"))
+    assert made(chat_backend="ours", chat_model="c").chat == providers.LocalChat("http://localhost:11434", "c") and made(chat_backend="none").chat is None
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ids_are_dense_and_in_order(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        rows = spark.range(0, 200_000, 1, 8).select(F.concat(F.lit("f"), F.xxhash64(F.col("id") / 7 - F.col("id") % 7 / 7).cast("string")).alias("file_path"), (F.col("id") % 7).cast("int").alias("chunk_index"))
+        got = indexing.with_ids(rows, 5)
+        assert got.count() == 200_000
+        ids = got.agg(F.countDistinct("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+        assert tuple(ids) == (200_000, 5, 200_004)
+        found = [(r.file_path, r.chunk_index) for r in got.orderBy("id").collect()]
+        assert found == sorted(found)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+class Failing(providers.HashingEmbedder):
+    """Fails whenever a text names the word."""
+
+    def embed(self, texts):
+        if any("falha" in t for t in texts):
+            raise providers.ModelError("no")
+        return super().embed(texts)
+
+
+def test_failures_are_counted(spark, tmp_path):
+    long = "x" * 1501
+    rows = [("a.md", f"um {long}\nfalha {long}\ntres {long}\ncurto".encode(), None), ("b.md", None, "gone"), ("c.md", b" \n", None), ("d.md", f"bom {LINE}".encode(), None)]
+    files = spark.createDataFrame(rows, "file_path string, raw binary, error string")
+    got = indexing.index_files(files, str(tmp_path / "t"), Failing(16), 16)
+    assert got == {"indexed": 3, "failed_files": 1, "failed_chunks": 1, "failed": 2, "skipped_files": 1, "skipped_chunks": 1, "skipped": 2}
+    table = indexing.read_table(spark, str(tmp_path / "t"))
+    assert sorted((r.file_path, r.chunk_index, r.content[:2]) for r in table.collect()) == [("a.md", 0, "um"), ("a.md", 1, "tr"), ("d.md", 0, "bo")]
+    with pytest.raises(indexing.BadVectors):
+        indexing.index_files(files.withColumn("file_path", F.concat(F.lit("z"), "file_path")), str(tmp_path / "t"), Failing(17), 16)
+    assert indexing.read_table(spark, str(tmp_path / "t")).count() == 3
+
+
+@pytest.fixture
+def odd_names(tmp_path):
+    root = tmp_path / "it's" / "docs"
+    (root / ".h").mkdir(parents=True)
+    (root / "docs").mkdir()
+    for name in ("_a.md", ".h/b.md", "a b.md", "a%20b.md", "docs/docs.md", "é+x.MD"):
+        (root / name).write_text(f"{LINE} em {name}")
+    return root, {"_a.md", ".h/b.md", "a b.md", "a%20b.md", "docs/docs.md", "é+x.MD"}
+
+
+def test_every_root_lists_the_same(spark, odd_names, monkeypatch):
+    root, names = odd_names
+    monkeypatch.chdir(root.parent)
+    for given in ("docs", "./docs", "docs/", str(root), f"file:{root}", f"file://{root}"):
+        rows = markdown.scan_markdown(spark, given).collect()
+        assert {r.file_path for r in rows} == names and all(r.error is None and LINE in bytes(r.raw).decode() for r in rows)
+
+
+def test_a_store_that_only_spark_reads(spark, odd_names):
+    root, names = odd_names
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tests.link./in", f"file://{root}")
+    rows = markdown.scan_markdown(spark, "viewfs://tests/in").collect()
+    assert {r.file_path for r in rows} == names
+    assert {r.file_path for r in rows if r.error} == {"_a.md", ".h/b.md"} and all(r.raw for r in rows if not r.error)
+
+
+def test_stream_and_batch_give_equal_paths(spark, odd_names, tmp_path):
+    root, names = odd_names
+    table, marks = str(tmp_path / "t"), str(tmp_path / "c")
+    for _ in range(2):
+        ingest.watch(spark, str(root), table, marks, providers.HashingEmbedder(16), availableNow=True).awaitTermination()
+        assert {r.file_path for r in indexing.read_table(spark, table).collect()} == names
+    (root / "_later.md").write_text(f"{LINE} depois")
+    ingest.watch(spark, str(root), table, marks, providers.HashingEmbedder(16), availableNow=True).awaitTermination()
+    assert {r.file_path for r in indexing.read_table(spark, table).collect()} == names | {"_later.md"}
+    assert indexing.index_files(markdown.scan_markdown(spark, str(root)), table, providers.HashingEmbedder(16))["indexed"] == 0
+
+
+def test_http(spark, docs, tmp_path):
+    engine = Engine(spark, schema.Settings(docs_dir=str(docs), table_path=str(tmp_path / "chunks"), embedding_dims="16"))
+    engine.index()
+    server = service.serve(engine, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(method, path, body=None):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", None if body is None else body.encode(), method=method)
+        try:
+            with urllib.request.urlopen(request, timeout=60) as answer:
+                return answer.status, json.loads(answer.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert ask("GET", "/health") == (200, {"status": "healthy"}) and ask("GET", "/stats")[1]["total_files"] == 3
+        status, out = ask("POST", "/search", '{"query": "palavras dois", "limit": 1}')
+        assert status == 200 and len(out["results"]) == 1 and out["query"] == "palavras dois"
+        assert [ask(*x)[0] for x in (("GET", "/search"), ("POST", "/search", "{"), ("POST", "/search", '{"query": ""}'), ("GET", "/none"))] == [405, 400, 400, 404]
+    finally:
+        server.shutdown()
 
 
 def test_fallback_and_thresholds(spark):
