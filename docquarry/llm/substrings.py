@@ -1,12 +1,14 @@
 """Operator 6: remove byte strings that occur elsewhere, by a sampled suffix order.
 
 A string is LENGTH bytes; it has one anchor: its leftmost LEAD-byte gram of least hash. Strings in a row that share an anchor
-travel as one stretch of text, and equal strings have equal anchors, so it is enough to compare stretches whose anchors
-begin with the same LEAD bytes. Stretches are range-partitioned by those leading bytes with sampled splitters; a
-splitter never parts equal leading bytes, so what lies on a boundary is compared within one bucket. In a bucket the
-suffixes of stretches with equal leading bytes are sorted with a multikey sort whose first symbol is a 64-bit digest of the
-whole string and whose further symbols are its 8-byte words, so that a string counts as repeated only if all its bytes
-are equal.
+travel as one stretch of text, and equal strings have equal anchors, so only the suffixes that begin at anchors need to be
+ordered. They are range-partitioned by their leading bytes with sampled splitters; a splitter never parts suffixes that agree
+in 8 bytes, so suffixes on two sides of a boundary agree in less than the LEAD bytes that a match needs: across boundaries
+there is nothing left to compare. In a bucket the suffixes are sorted by a multikey sort (a symbol of 8 bytes at a time, ties
+alone going on), and so are the reversed texts before the anchors. Neighbours in the two orders give common lengths to the
+right and to the left. The string that begins x bytes before an anchor occurs twice if another stretch of the same class of
+LENGTH - x bytes to the right is of its class of x bytes to the left; classes are runs of the orders, cut where neighbours have
+less in common. All comparisons are of the bytes themselves.
 
 Equal stretches of a slice of input are collapsed before the shuffle (of one place, at most two mentions are kept: more
 say nothing new), so copies and frequent passages arrive about once a slice. A row is known by two hashes of its text, as
@@ -28,7 +30,6 @@ from . import shared
 LENGTH, LEAD = 200, 16
 PART = 1 << 23  # bytes of a text that are looked at together
 SAMPLE_ROWS = 2000
-CHUNK = 4 << 20  # bytes of stretches that are sorted together
 _PLACE = np.uint64((1 << 26) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 REF = np.dtype([("h", "<i8"), ("c", "<u4"), ("at", "<u4")])
@@ -57,16 +58,6 @@ def rolling(data: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def words_at(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from every place on, as an integer that keeps their order."""
-    word = data.astype(np.uint64)
-    for k in (1, 2, 4):
-        longer = word << np.uint64(8 * k)
-        longer[:-k] |= word[k:]
-        word = longer
-    return word
-
-
 def least(values: np.ndarray, size: int) -> np.ndarray:
     """The least of `size` values from every place on (valid where there are as many)."""
     width, out = 1, values
@@ -139,79 +130,161 @@ def cut_up(splitters: np.ndarray):
     return cut
 
 
-def repeated(stretch: list[bytes], twice: np.ndarray) -> list[np.ndarray]:
-    """For each stretch, which of its strings occur in another place; twice: stretches that have two places themselves."""
-    data = np.frombuffer(b"".join(stretch), np.uint8)
-    sizes = np.array([len(x) for x in stretch])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    n = sizes - LENGTH + 1
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    place = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)
-    digest = rolling(data, LENGTH)[place]
-    hit = np.repeat(twice, n)
-    order = np.argsort(digest, kind="stable")
-    near = digest[order][1:] == digest[order][:-1]
-    keep = np.concatenate([[False], near]) | np.concatenate([near, [False]])
-    order = order[keep]  # only digests that occur again go on
-    if len(order):
-        word, same = words_at(data), digest[order][1:] == digest[order][:-1]
-        equal = same.copy()
-        for k in range(0, LENGTH, 8):
-            symbol = word[place[order] + k]
-            equal &= symbol[1:] == symbol[:-1]
-        if (same & ~equal).any():  # strings of one digest that differ: sort them by all their words
-            symbols = [word[place[order] + k] for k in range(0, LENGTH, 8)]
-            order = order[np.lexsort([*symbols[::-1], digest[order]])]
-            equal = digest[order][1:] == digest[order][:-1]
-            for k in range(0, LENGTH, 8):
-                symbol = word[place[order] + k]
-                equal &= symbol[1:] == symbol[:-1]
-        hit[order[1:][equal]] = True
-        hit[order[:-1][equal]] = True
-    return [hit[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+def symbols_of(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, step: int, most: int) -> np.ndarray:
+    """Rows of 8-byte symbols that keep the order of bytes: up to `most` bytes from each place on, forwards or backwards."""
+    along = np.arange(-(-most // 8) * 8)
+    at = first[:, None] + step * along
+    inside = along < sizes[:, None]
+    raw = np.where(inside, data[np.where(inside, at, 0)], 0).astype(np.uint8)
+    return raw.view(">u8").astype(np.uint64)
+
+
+def multikey_order(symbols: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of rows by group, then symbol after symbol; of rows that are alike so far the shorter come first."""
+    order = np.lexsort((sizes, symbols[:, 0], group))
+    tied = (group[order][1:] == group[order][:-1]) & (symbols[order, 0][1:] == symbols[order, 0][:-1])
+    for k in range(1, symbols.shape[1]):
+        if not tied.any():
+            break
+        at = np.flatnonzero(np.append(False, tied) | np.append(tied, False))
+        run = np.cumsum(np.append(True, ~tied))[at]
+        rows = order[at]
+        order[at] = rows[np.lexsort((sizes[rows], symbols[rows, k], run))]
+        tied &= symbols[order[1:], k] == symbols[order[:-1], k]
+    return order
+
+
+def common_lengths(symbols: np.ndarray, sizes: np.ndarray, group: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many bytes each row in the order shares with the one before it; -1 for the first of a group."""
+    differ = symbols[order[1:]] ^ symbols[order[:-1]]
+    column = (differ != 0).argmax(axis=1)
+    word = differ[np.arange(len(differ)), column]
+    byte = (word.astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+    shared_bytes = np.where(word == 0, 8 * symbols.shape[1], 8 * column + byte)
+    shared_bytes = np.minimum(shared_bytes, np.minimum(sizes[order[1:]], sizes[order[:-1]]))
+    return np.append(-1, np.where(group[order[1:]] == group[order[:-1]], shared_bytes, -1))
+
+
+def _most(lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The longest that each row shares with a neighbour."""
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(lengths, np.append(lengths[1:], -1))
+    return out
+
+
+def repeated(data: np.ndarray, start: np.ndarray, size: np.ndarray, off: np.ndarray, group: np.ndarray, twice: np.ndarray):
+    """(stretch, first, last) of the runs of strings that occur in another place; twice: stretches that have two places.
+
+    A stretch is data[start : start + size] with its anchor at off; group: stretches that share their leading bytes.
+    """
+    to_right, low = np.minimum(size - off, LENGTH), off - (size - LENGTH)  # a string begins x bytes before its anchor, low <= x <= off
+    sides = []
+    for first, sizes, step, most in ((start + off, to_right, 1, LENGTH), (start + off - 1, off, -1, LENGTH - LEAD)):
+        symbols = symbols_of(data, first, sizes, step, most)
+        order = multikey_order(symbols, sizes, group)
+        sides.append((symbols, sizes, order, _most(common_lengths(symbols, sizes, group, order), order)))
+    a, b = np.maximum(low, LENGTH - sides[0][3]), np.minimum(off, sides[1][3])
+    found = [(np.flatnonzero(twice), low[twice], off[twice])] if twice.any() else []
+    some = np.flatnonzero(a <= b)
+    if len(some):
+        place = np.full(len(start), -1)
+        place[some] = np.arange(len(some))
+        kept = []
+        for symbols, sizes, order, _ in sides:  # the orders of the stretches that can have a match
+            own = place[order]
+            own = own[own >= 0]
+            kept.append((own, common_lengths(symbols[some], sizes[some], group[some], own)))
+        (right, right_lengths), (left, left_lengths) = kept
+        a, b = a[some], b[some]
+        of_right, of_left = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+        for x in range(int(a.min()), int(b.max()) + 1):
+            member = np.flatnonzero((a <= x) & (x <= b))
+            if len(member) < 2:
+                continue
+            of_right[right] = np.cumsum(right_lengths < LENGTH - x)
+            of_left[left] = np.cumsum(left_lengths < x)
+            key = of_right[member] * (len(some) + 1) + of_left[member]
+            order = np.argsort(key)
+            same = key[order][1:] == key[order][:-1]
+            hit = member[order[np.append(False, same) | np.append(same, False)]]
+            found.append((some[hit], np.full(len(hit), x), np.full(len(hit), x)))
+    if not found:
+        return np.zeros((0, 3), np.int64)
+    k, low_x, high_x = (np.concatenate(c) for c in zip(*found, strict=True))
+    first, last = off[k] - high_x, off[k] - low_x
+    order = np.lexsort((first, k))
+    k, first, last = k[order], first[order], last[order]
+    # runs of one stretch that touch or overlap are one
+    reach = np.maximum.accumulate(k * (1 << 32) + last) - k * (1 << 32)
+    fresh = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (first[1:] > reach[:-1] + 1)))
+    return np.stack([k[fresh], first[fresh], reach[np.append(fresh[1:], len(k)) - 1]], axis=1)
 
 
 SPANS = ["h", "c", "start", "end"]
 
 
-def compare(batches):
-    """Rows come in the order of their leading bytes."""
-    chunk: list[tuple[bytes, bytes]] = []
-    size = 0
-    group: list[tuple[bytes, bytes]] = []
-    lead = None
-
-    def flush():
-        if not chunk:
-            return
-        refs = [np.frombuffer(r, REF) for _, r in chunk]
-        hits = repeated([s for s, _ in chunk], np.array([len(r) > 1 for r in refs]))
-        cols: list[list] = [[], [], [], []]
-        for hit, own in zip(hits, refs, strict=True):
-            if not hit.any():
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            for s, e in zip(edge[::2].tolist(), (edge[1::2] + LENGTH - 1).tolist(), strict=True):
-                at = own["at"].astype(np.int64)
-                for c, v in zip(cols, (own["h"], own["c"].astype(np.int64), at + s, at + e), strict=True):
-                    c.append(v)
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], SPANS)
+def _bytes_of(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column end to end, and where each row begins (and the last ends)."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), ends
+
+
+def spans_in(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+    """Spans of whole groups of stretches, in the order of their leading bytes."""
+    data, at = _bytes_of(rows.column("stretch"))
+    refs, ref_at = _bytes_of(rows.column("refs"))
+    start, size, off = at[:-1], np.diff(at), rows.column("off").to_numpy().astype(np.int64)
+    fresh = np.append(True, ~same_leads(data, start + off))
+    group = np.cumsum(fresh)
+    count = np.diff(ref_at) // REF.itemsize
+    keep = np.flatnonzero((np.bincount(group)[group] > 1) | (count > 1))
+    if not len(keep):
+        return None
+    found = repeated(data, start[keep], size[keep], off[keep], group[keep], count[keep] > 1)
+    if not len(found):
+        return None
+    k = keep[found[:, 0]]
+    number = count[k]
+    each = np.repeat(ref_at[k] // REF.itemsize - np.cumsum(number) + number, number) + np.arange(number.sum())
+    ref = refs[: ref_at[-1]].view(REF)[each]
+    place = ref["at"].astype(np.int64)
+    cols = (ref["h"], ref["c"].astype(np.int64), place + np.repeat(found[:, 1], number), place + np.repeat(found[:, 2], number) + LENGTH)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], SPANS)
+
+
+def same_leads(data: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Whether each row's leading bytes are those of the row before it."""
+    lead = data[anchors[:, None] + np.arange(LEAD)].view("<u8")
+    return (lead[1:] == lead[:-1]).all(axis=1)
 
+
+def compare(batches):
+    """Rows come in the order of their leading bytes; the last group of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for own, s, r in zip(*(batch.column(k).to_pylist() for k in ("lead", "stretch", "refs")), strict=True):
-            if own != lead:
-                if len(group) > 1 or group and len(group[0][1]) > REF.itemsize:
-                    chunk += group
-                    size += sum(len(x) for x, _ in group)
-                    if size > CHUNK:
-                        yield from flush()
-                        chunk, size = [], 0
-                group, lead = [], own
-            group.append((s, r))
-    if len(group) > 1 or group and len(group[0][1]) > REF.itemsize:
-        chunk += group
-    yield from flush()
+        if not batch.num_rows:
+            continue
+        data, at = _bytes_of(batch.column("stretch"))
+        anchors = at[:-1] + batch.column("off").to_numpy()
+        apart = np.flatnonzero(~same_leads(data, anchors)) + 1
+        if held:
+            last = held[-1].slice(held[-1].num_rows - 1)
+            joined = pa.concat_batches([last, batch.slice(0, 1)])
+            data, at = _bytes_of(joined.column("stretch"))
+            if not same_leads(data, at[:-1] + joined.column("off").to_numpy())[0]:
+                apart = np.append(0, apart)
+        if len(apart):
+            cut = int(apart[-1])
+            out = spans_in(pa.concat_batches([*held, batch.slice(0, cut)]))
+            if out is not None:
+                yield out
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        out = spans_in(pa.concat_batches(held))
+        if out is not None:
+            yield out
 
 
 def remove_spans(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -252,9 +325,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     splitters = splitters_of(rows, parts)
     moved = rows.mapInArrow(cut_up(splitters), STRETCH).repartitionById(parts, F.col("part"))
     lead = F.expr(f"substring(stretch, off + 1, {LEAD})").alias("lead")  # made here, so that it is not moved
-    spans = moved.select(lead, "stretch", "refs").sortWithinPartitions("lead").mapInArrow(compare, "h long, c long, start long, end long")
-    spans = shared.store(spans, "spans")
-    return spans.groupBy("h", "c").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    ordered = moved.select(lead, "off", "stretch", "refs").sortWithinPartitions("lead").select("off", "stretch", "refs")
+    spans = shared.store(ordered.mapInArrow(compare, "h long, c long, start long, end long"), "spans")
+    # stored, so that the rows of one text that many documents have are a skewed partition that adaptive execution splits
+    return shared.store(spans.groupBy("h", "c").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "text-spans")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

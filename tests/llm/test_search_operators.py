@@ -67,6 +67,35 @@ def test_rolling_digests_tell_equal_strings(data, size):
         assert by.setdefault(bytes(raw[i : i + size]), h) == h
 
 
+@given(st.lists(st.tuples(st.binary(max_size=30).map(lambda b: bytes(c % 3 for c in b)), st.integers(0, 2)), min_size=1, max_size=40), st.sampled_from([1, -1]))
+@settings(max_examples=150, deadline=None)
+def test_multikey_order_and_common_lengths(rows, step):
+    texts = [t if step == 1 else t[::-1] for t, _ in rows]
+    data = np.frombuffer(b"x" + b"".join(t for t, _ in rows) + b"x", np.uint8)
+    sizes, group = np.array([len(t) for t, _ in rows]), np.array([g for _, g in rows])
+    ends = 1 + np.cumsum(sizes)
+    symbols = substrings.symbols_of(data, ends - sizes if step == 1 else ends - 1, sizes, step, 24)
+    sizes = np.minimum(sizes, 24)
+    order = substrings.multikey_order(symbols, sizes, group)
+    own = [(int(group[k]), texts[k][:24]) for k in order]
+    assert own == sorted(own)
+    lengths = substrings.common_lengths(symbols, sizes, group, order).tolist()
+    for (g, a), (h, b), n in zip(own, own[1:], lengths[1:], strict=False):
+        both = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert n == (both if g == h else -1)
+
+
+def test_common_passage_with_many_surroundings(spark):
+    rng = random.Random(3)
+    rand = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = rand(260)
+    texts = [rand(rng.randrange(120)) + passage[rng.randrange(40) :] + rand(rng.randrange(150)) for _ in range(300)]
+    texts += ["q" * k + passage[:150] + "q" * k for k in (40, 60, 60)] + ["\x00" * 230, "\x00" * 190 + "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = substrings.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == [(d, *b) for d, b in enumerate(brute_removed(texts))]
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
