@@ -34,6 +34,13 @@ _RARE = "[^\x01-\x7fÀ-ÖØ-öø-ÿ]"  # texts that hold such a letter are not e
 _SLOTS = 1 << 20  # of the table of short chunks, which is renewed when it is three quarters full
 _WINDOW = 1 << 17  # chunks that are looked up together
 
+# The steps of the normalizer and of the cutter that kind "word" stands for.
+_WORD_STEPS = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+_WORD_CUTS = [
+    ("Split", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True, None, None),
+    ("ByteLevel", None, None, None, False, False),
+]
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.zeros(256, bool)
@@ -147,10 +154,9 @@ class Encoder:
         pre, norm = spec["pre_tokenizer"] or {}, json.dumps(spec["normalizer"])
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm == "null":
             return "byte"
-        steps = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
-            return "word"
-        return "whole"
+        steps = [(x.get("type"), x.get("pattern"), x.get("content")) for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = [(x.get("type"), x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("use_regex"), x.get("add_prefix_space")) for x in pre.get("pretokenizers", [])]
+        return "word" if (steps, cuts) == (_WORD_STEPS, _WORD_CUTS) else "whole"
 
     def _raw(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
