@@ -48,6 +48,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = shared.store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, shared.store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            shared.drop(before)  # the next stage's table no longer needs it
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -289,8 +289,8 @@ def fitted_probes(index: Index, entries: DataFrame, firsts: DataFrame, k: int, k
     return need + 1 if need < MOST_PROBES else 0
 
 
-def _dealt(index: Index, entries: DataFrame, asked: DataFrame, probes: int, kind: str) -> DataFrame:
-    """Entries and queries in their cells: bucket, cell, group, query, key, vector, ids."""
+def _dealt(index: Index, entries: DataFrame, asked: DataFrame, probes: int, kind: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Entries and queries in their cells: bucket, cell, group, query, key, vector, ids; and the tables stored for it."""
 
     def place(batches):
         shared.make_room()
@@ -325,7 +325,8 @@ def _dealt(index: Index, entries: DataFrame, asked: DataFrame, probes: int, kind
     own = held.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("vector"), "cells").alias("cell"), every("groups").alias("group"), F.lit(False).alias("query"), none.cast("long").alias("key"), "vector", "ids")
     seen = visits.join(sizes, "bucket").select("bucket", every("cells").alias("cell"), F.pmod(F.xxhash64("key"), "groups").alias("group"), F.lit(True).alias("query"), "key")
     seen = seen.join(asked.select("key", "vector"), "key").select("bucket", "cell", "group", "query", "key", "vector", none.cast("array<long>").alias("ids"))
-    return own.unionByName(seen).repartition("bucket", "cell", "group").sortWithinPartitions("bucket", "cell", "group", F.octet_length("vector"), "query")
+    met = own.unionByName(seen).repartition("bucket", "cell", "group")
+    return met.sortWithinPartitions("bucket", "cell", "group", F.octet_length("vector"), "query"), [held, visits, sizes]
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -345,8 +346,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     index = Index(norm, functions_for(entries.count()), list(range(lowest + 1)))
     probes = fitted_probes(index, entries, firsts, k, kind)
     if probes:
-        met = _dealt(index, entries, firsts, probes, kind).mapInArrow(searcher(k + 1, kind), LISTS)
-        pairs = shared.store(_pairs(met, k), "candidates")
+        dealt, made = _dealt(index, entries, firsts, probes, kind)
+        pairs = shared.store(_pairs(dealt.mapInArrow(searcher(k + 1, kind), LISTS), k), "candidates")
+        for table in made:
+            shared.drop(table)
     else:
         pairs = shared.store(_pairs(_exact(entries, firsts, k, kind), k), "candidates")
     # queries that met fewer than k others though there are more: searched exactly

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -41,8 +42,47 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/docquarry/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark)}/docquarry/{what}-{uuid.uuid4().hex}"
+    return f"{_own_root(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application has stored on the way; for when results have been read or written."""
+    _delete(spark, _own_root(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    with contextlib.suppress(Exception):  # a leftover file is no error
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_lock, _storing = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def _shuffle_cleanup(spark: SparkSession):
+    """Shuffle files go when their query ends; the session's own setting comes back when no thread of it stores any more."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        users, before = _storing.get(key, (0, None))
+        if not users:
+            before = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _storing[key] = (users + 1, before)
+    try:
+        yield
+    finally:
+        with _lock:
+            users, before = _storing.pop(key)
+            if users > 1:
+                _storing[key] = (users - 1, before)
+            else:
+                spark.conf.set(CLEANUP, before)
 
 
 def store(df: DataFrame, what: str) -> DataFrame:
@@ -52,24 +92,16 @@ def store(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, what)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _shuffle_cleanup(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by store()."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/docquarry/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            with contextlib.suppress(Exception):  # a leftover file is no error
-                path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -328,7 +328,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ordered = moved.select(lead, "off", "stretch", "refs").sortWithinPartitions("lead").select("off", "stretch", "refs")
     spans = shared.store(ordered.mapInArrow(compare, "h long, c long, start long, end long"), "spans")
     # stored, so that the rows of one text that many documents have are a skewed partition that adaptive execution splits
-    return shared.store(spans.groupBy("h", "c").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "text-spans")
+    found = shared.store(spans.groupBy("h", "c").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "text-spans")
+    shared.drop(spans)
+    return found
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
