@@ -24,8 +24,10 @@ def _top(rows: DataFrame, most: int, *order: Column) -> DataFrame:
     return ranked.where(F.col("rk") <= most)
 
 
-def with_distance(chunks: DataFrame, query) -> DataFrame:
-    return chunks.withColumn("distance", vector.cosine_distance_to(F.col("embedding"), query))
+def with_distance(chunks: DataFrame, query, blocks: bool = False) -> DataFrame:
+    """blocks: a numpy kernel over Arrow batches, for many wide vectors; else a fold in the JVM (its last digit may differ)."""
+    distance = vector.cosine_distance_blocks(query)(F.col("embedding")) if blocks else vector.cosine_distance_to(F.col("embedding"), query)
+    return chunks.withColumn("distance", distance)
 
 
 def best_per_file(rows: DataFrame, *order: Column, most: int = 1) -> DataFrame:
@@ -39,9 +41,9 @@ def check_limit(limit: int) -> int:
     return limit
 
 
-def similarity_search(chunks: DataFrame, query, limit: int = 5, max_distance: float = NO_LIMIT_DISTANCE) -> DataFrame:
+def similarity_search(chunks: DataFrame, query, limit: int = 5, max_distance: float = NO_LIMIT_DISTANCE, blocks: bool = False) -> DataFrame:
     """The nearest chunk of each file, within max_distance, nearest first."""
-    ranked = best_per_file(with_distance(chunks, query).where("distance is not null"), F.col("distance"), F.col("id"))
+    ranked = best_per_file(with_distance(chunks, query, blocks).where("distance is not null"), F.col("distance"), F.col("id"))
     near = ranked.where(F.col("distance") <= max_distance)
     return near.select("id", "file_path", "chunk_index", "content", "distance").orderBy("distance", "id").limit(check_limit(limit))
 
@@ -76,22 +78,22 @@ def fuse(*lanes: DataFrame) -> DataFrame:
     return ranks.select("id", reduce(lambda a, b: a + b, parts).alias("score"))
 
 
-def hybrid(chunks: DataFrame, query, terms: list[str], limit: int = 5, literal: str = "", language: str | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, query, terms: list[str], limit: int = 5, literal: str = "", language: str | None = None, blocks: bool = False) -> DataFrame:
     """Fused lanes, best chunk of each file by score; the distance is the winner's own."""
-    lanes = [vector_lane(with_distance(chunks, query)), text_lane(chunks, terms, language=language)]
+    lanes = [vector_lane(with_distance(chunks, query, blocks)), text_lane(chunks, terms, language=language)]
     if literal:
         lanes.append(literal_lane(chunks, literal))
     fused = fuse(*lanes)  # at most 250 rows by the lanes' limits
-    joined = with_distance(chunks.join(F.broadcast(fused), "id"), query)  # distances of the winners alone
+    joined = with_distance(chunks.join(F.broadcast(fused), "id"), query, blocks)  # distances of the winners alone
     best = best_per_file(joined, F.col("score").desc(), F.col("distance"), F.col("id"))
     return best.select("id", "file_path", "chunk_index", "content", "distance", "score").orderBy(F.col("score").desc(), "distance", "id").limit(check_limit(limit))
 
 
-def hybrid_search(chunks: DataFrame, query, text_query: str, limit: int = 5, language: str | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, query, text_query: str, limit: int = 5, language: str | None = None, blocks: bool = False) -> DataFrame:
     """Vector search alone where the query has no word of four letters; else two lanes, or three if it names an identifier."""
     if not lexing.fts_terms(text_query):
-        return similarity_search(chunks, query, limit, NO_LIMIT_DISTANCE).withColumn("score", F.lit(None).cast("double"))
-    return hybrid(chunks, query, lexing.query_lexemes(text_query, language), limit, lexing.tech_term(text_query), language)
+        return similarity_search(chunks, query, limit, NO_LIMIT_DISTANCE, blocks).withColumn("score", F.lit(None).cast("double"))
+    return hybrid(chunks, query, lexing.query_lexemes(text_query, language), limit, lexing.tech_term(text_query), language, blocks)
 
 
 def chunk_windows(chunks: DataFrame, centres: DataFrame, size: int = 3) -> DataFrame:

@@ -48,7 +48,8 @@ class Settings:
     """Every setting is an environment variable of the same name in capitals; an empty one counts as unset.
 
     embedding_model `hashing` is the offline embedder, any other name a model of model_host. chat_backend `offline` is the
-    extractive chat, `none` no chat, `remote` the service at remote_url with chat_key, anything else model_host.
+    extractive chat, `none` no chat, `remote` the service at remote_url with chat_key, anything else model_host. distances is `native`, or `blocks`
+    for the kernel that suits large tables of wide vectors.
     """
 
     docs_dir: str = "./docs"
@@ -61,6 +62,7 @@ class Settings:
     chat_key: str = ""
     remote_url: str = ""
     language: str = "portuguese"
+    distances: str = "native"
     port: str = "8080"
 
     @classmethod

@@ -69,7 +69,7 @@ class Engine:
         query, limit = check_request(query, limit)
         vector = self.embedder.embed([providers.query_text(self.chat, query)])[0]
         chunks = self.chunks
-        found = [r.asDict() for r in retrieval.hybrid_search(chunks, vector, query, limit, self.language).collect()]
+        found = [r.asDict() for r in retrieval.hybrid_search(chunks, vector, query, limit, self.language, self.settings.distances == "blocks").collect()]
         if not found:
             return {"results": [], "query": query}
         order = {(r["file_path"], r["chunk_index"]): k for k, r in enumerate(found)}

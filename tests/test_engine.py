@@ -48,6 +48,9 @@ def test_index_and_search(spark, docs, tmp_path):
     assert engine.health() == {"status": "healthy"}
     out = engine.search("palavras UNIT_ID", 3)
     assert out["results"][0]["file_path"] == "a-b_123456.md" and "[Fonte 1]" in out["answer"]
+    settings.distances = "blocks"
+    same = engine.search("palavras UNIT_ID", 3)
+    assert [r | {"distance": round(r["distance"], 12)} for r in same["results"]] == [r | {"distance": round(r["distance"], 12)} for r in out["results"]]
     assert [list(r) for r in out["results"]] == [["file_path", "chunk_index", "content", "distance"]] * 3
 
 
