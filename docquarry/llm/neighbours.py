@@ -43,7 +43,7 @@ from . import shared
 TABLES, WIDTH = 3, 1.6
 OCCUPANCY, BITS_EACH, MOST_FUNCTIONS = 256, 1.9, 16  # a function of this width tells about 1.9 bits
 SAMPLE, TARGET, MOST_PROBES = 48, 0.96, 400
-CELL, VISITS, BLOCK = 512, 256, 512
+CELL, VISITS, BLOCK = 1024, 256, 512
 BANDS = 16
 REACH = 3  # slots a perturbation may move a function by
 HELD = 1 << 14  # queries whose lists a task holds before it passes them on
@@ -389,11 +389,29 @@ def _exact(entries: DataFrame, asked: DataFrame, k: int, kind: str, together: in
 
 
 def _pairs(lists: DataFrame, k: int) -> DataFrame:
-    """key, vec_id, score: the best k + 1 of each query's lists."""
-    pairs = lists.select("key", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("key", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
-    pairs = pairs.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
-    order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last()]
-    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("n") <= k + 1).drop("n")
+    """key, vec_id, score: the best k + 1 of each query's lists, of which each task that met the query sent one."""
+
+    def merge(batches):
+        shared.make_room()
+        at, best = None, []
+        found: dict[int, list] = {}
+        for batch in batches:
+            for key, ids, scores in zip(*(batch.column(c).to_pylist() for c in ("key", "ids", "scores")), strict=True):
+                if key != at:
+                    if at is not None:
+                        found[at] = best
+                    if len(found) >= HELD:
+                        yield _lists(found)
+                        found = {}
+                    at, best = key, []
+                best = merged(best, [(-s, i is None, i or 0) for i, s in zip(ids, scores, strict=True)], k + 1)
+        if at is not None:
+            found[at] = best
+        yield _lists(found)
+
+    whole = lists.repartition("key").sortWithinPartitions("key").mapInArrow(merge, LISTS)
+    pairs = whole.select("key", F.explode(F.arrays_zip("ids", "scores")).alias("x"))
+    return pairs.select("key", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
