@@ -2,10 +2,11 @@
 
 Entries are taken in at most BANDS bands of norms (a factor of sqrt 2 each); in a band one more component makes all norms
 equal, so that the largest inner product is the least distance, and a query visits every band. A table hashes a vector by
-Gaussian (2-stable) projections, as many as give buckets of about OCCUPANCY entries at the table's row count. A query visits,
-in each of TABLES tables, the buckets of its likeliest perturbations in order of estimated success (the squared distances to
-the slots' borders). How many it visits is fitted on SAMPLE queries, searched exactly: the fewest at which TARGET of their
-neighbours are met, at most MOST_PROBES. Each visited bucket gives its best by exact inner products; a task merges the
+Gaussian (2-stable) projections, as many as give buckets of about OCCUPANCY entries at the table's row count, or a few more. A
+query visits, in each of TABLES tables, the buckets of its likeliest perturbations in order of estimated success (the squared
+distances to the slots' borders). How many it visits, and how many projections there are, is fitted on SAMPLE queries that are
+searched exactly, and SAMPLE_ENTRIES entries: the least work at which TARGET of the sample's neighbours are met, with at most
+MOST_PROBES visits. Each visited bucket gives its best by exact inner products; a task merges the
 candidates of a query from all buckets and tables that it holds, then the tasks' lists are merged and ranked.
 
 A query that has met fewer than k others though there are more is searched exactly, in blocks of BLOCK queries against all
@@ -42,7 +43,9 @@ from . import shared
 
 TABLES, WIDTH = 3, 1.6
 OCCUPANCY, BITS_EACH, MOST_FUNCTIONS = 256, 1.9, 16  # a function of this width tells about 1.9 bits
-SAMPLE, TARGET, MOST_PROBES = 48, 0.96, 400
+FINER = (0, 2, 4, 6)  # more functions than that are tried too
+SAMPLE, SAMPLE_ENTRIES, TARGET, MOST_PROBES = 48, 4096, 0.96, 400
+VISIT_COST = 128
 CELL, VISITS, BLOCK = 1024, 256, 512
 BANDS = 16
 REACH = 3  # slots a perturbation may move a function by
@@ -260,33 +263,53 @@ def scan(entries: DataFrame, queries: list[tuple[int, bytes]], most: int, kind:
     return entries.select("vector", "ids").mapInArrow(search, "key long, vec_id long, score double, vector binary" if with_vectors else LISTS)
 
 
-def fitted_probes(index: Index, entries: DataFrame, firsts: DataFrame, k: int, kind: str) -> int:
-    """The fewest visits a table at which TARGET of the neighbours of SAMPLE queries are met; 0 if MOST_PROBES are too few.
+def fitted(norm: float, bands: list[int], count: int, entries: DataFrame, firsts: DataFrame, k: int, kind: str) -> tuple[Index, int]:
+    """The hashing, and the fewest visits a table at which TARGET of the neighbours of SAMPLE queries are met; 0 if MOST_PROBES are too few.
 
-    The sample is bounded and the driver sees k neighbours for each of its queries and task; the others are not looked at here.
+    Of the numbers of functions tried, the one with the least work on the samples: entries scored, by their share of a sample
+    of entries, and visits, each of which costs as much as VISIT_COST entries. The samples are bounded, the driver sees k
+    neighbours for each sample query and task; no other query or entry is looked at here.
     """
+    tries = [Index(norm, f, bands) for f in sorted({min(MOST_FUNCTIONS, functions_for(count) + more) for more in FINER})]
     sample = [(r.key, bytes(r.vector)) for r in firsts.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("key", "vector").collect()]
     if not sample:
-        return 1
+        return tries[0], 1
     near: dict[int, list] = {}
     for r in scan(entries, sample, k + 1, kind, True).collect():
         near.setdefault(r.key, []).append((-r.score, r.vec_id, bytes(r.vector)))
-    ranks = []
-    for key, vector in sample:
-        found = sorted(near.get(key, []))[: k + 1]
-        q = np.frombuffer(vector, kind).astype(np.float64)[None]
-        x = np.stack([np.frombuffer(v, kind).astype(np.float64) for *_, v in found])
-        bands = index.band_of(x)
-        best = np.full(len(x), MOST_PROBES)
-        for band in set(bands.tolist()):
-            own = np.flatnonzero(bands == band)
-            for table in range(TABLES):
-                rank = {b: r for r, b in reversed(list(enumerate(index.visits(q, band, table, MOST_PROBES)[0].tolist())))}
-                got = [rank.get(b, MOST_PROBES) for b in index.buckets(x[own], band, table).tolist()]
-                best[own] = np.minimum(best[own], got)
-        ranks += best.tolist()
-    need = sorted(ranks)[math.ceil(TARGET * len(ranks)) - 1]
-    return need + 1 if need < MOST_PROBES else 0
+    some = list(by_length([bytes(r.vector) for r in entries.select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE_ENTRIES).collect()], kind))
+    share = min(1.0, SAMPLE_ENTRIES / count)
+    best = None
+    for index in tries:
+        held: dict[int, int] = {}  # entries of the sample in each bucket
+        for _, x in some:
+            in_band = index.band_of(x)
+            for band in set(in_band.tolist()):
+                for table in range(TABLES):
+                    for bucket in index.buckets(x[in_band == band], band, table).tolist():
+                        held[bucket] = held.get(bucket, 0) + 1
+        ranks, seen = [], []
+        for key, vector in sample:
+            q = np.frombuffer(vector, kind).astype(np.float64)[None]
+            others = [v for *_, v in sorted(near[key])[: k + 1] if v != vector]
+            x = np.array([np.frombuffer(v, kind).astype(np.float64) for v in others]).reshape(len(others), q.shape[1])
+            own, least = index.band_of(x), np.full(len(x), MOST_PROBES)
+            for band in bands:
+                for table in range(TABLES):
+                    visited = index.visits(q, band, table, MOST_PROBES)[0].tolist()
+                    seen.append(np.cumsum([held.get(b, 0) for b in visited]))
+                    rank = {b: r for r, b in reversed(list(enumerate(visited)))}
+                    mine = np.flatnonzero(own == band)
+                    if len(mine):
+                        least[mine] = np.minimum(least[mine], [rank.get(b, MOST_PROBES) for b in index.buckets(x[mine], band, table).tolist()])
+            ranks += least.tolist()
+        need = sorted(ranks)[math.ceil(TARGET * len(ranks)) - 1] if ranks else 0
+        if need < MOST_PROBES:
+            scored = sum(int(c[min(need, len(c) - 1)]) for c in seen) / share / len(sample)
+            work = scored + VISIT_COST * TABLES * len(bands) * (need + 1)
+            if best is None or work < best[0]:
+                best = work, index, need + 1
+    return (best[1], best[2]) if best else (tries[0], 0)
 
 
 def _dealt(index: Index, entries: DataFrame, asked: DataFrame, probes: int, kind: str) -> tuple[DataFrame, list[DataFrame]]:
@@ -343,8 +366,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     most = used.agg(F.max("norm").alias("norm"), F.min("norm").alias("least")).first()
     norm = most.norm or 1.0
     lowest = min(BANDS - 1, math.floor(-2 * math.log2(max((most.least or norm) / norm, 1e-300))))
-    index = Index(norm, functions_for(entries.count()), list(range(lowest + 1)))
-    probes = fitted_probes(index, entries, firsts, k, kind)
+    index, probes = fitted(norm, list(range(lowest + 1)), entries.count(), entries, firsts, k, kind)
     if probes:
         dealt, made = _dealt(index, entries, firsts, probes, kind)
         pairs = shared.store(_pairs(dealt.mapInArrow(searcher(k + 1, kind), LISTS), k), "candidates")
