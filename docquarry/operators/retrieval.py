@@ -56,9 +56,14 @@ def text_lane(chunks: DataFrame, terms: list[str], most: int = TEXT_LANE, langua
     """Chunks that hold a term, by the number of places that match (for alternatives, what cover density comes to)."""
     if not terms:
         return chunks.select("id", F.lit(0).alias("hits"), F.lit(0).alias("rk")).limit(0)
-    found = F.col("lexemes") if "lexemes" in chunks.columns else lexing.lexemes(F.col("content"), language, terms)
-    hits = F.size(F.filter(found, lambda w: w.isin(terms)))
-    return _top(chunks.select("id", hits.alias("hits")).where("hits > 0"), most, F.col("hits").desc(), F.col("id"))
+    if "lexemes" not in chunks.columns and language is None:  # whole words are counted where they stand
+        whole = r"(?<!\p{L})(?:" + "|".join(rf"\Q{t}\E" for t in terms) + r")(?!\p{L})"
+        hits = F.regexp_count(F.lower("content"), F.lit(whole))
+    else:
+        found = F.col("lexemes") if "lexemes" in chunks.columns else lexing.lexemes(F.col("content"), language, terms)
+        hits = F.size(F.filter(found, lambda w: w.isin(terms)))
+    # chunks without a hit rank last, so they can go after the ranking; a filter before it would count all twice
+    return _top(chunks.select("id", hits.alias("hits")), most, F.col("hits").desc(), F.col("id")).where("hits > 0")
 
 
 def literal_lane(chunks: DataFrame, term: str, most: int = LITERAL_LANE) -> DataFrame:
