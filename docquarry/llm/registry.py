@@ -7,6 +7,7 @@ from .near_dedup import op4_near_dedup
 from .neighbours import op10_neighbours
 from .packing import op2_packing
 from .personal_data import op9_personal_data
+from .secret_scan import OP12_SQL, op12_secrets
 from .substrings import op6_substrings
 from .token_counts import op3_token_counts
 from .token_files import op1_token_files
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_personal_data": op9_personal_data,
     "op10_neighbours": op10_neighbours,
+    "op12_secrets": op12_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op12_secrets": OP12_SQL}
