@@ -1,5 +1,6 @@
 """The queries of this package and, where SQL can say the same, their SQL."""
 
+from .alignment import op13_alignment
 from .decontaminate import op8_decontamination
 from .language import op7_language
 from .line_dedup import OP5_SQL, op5_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_personal_data": op9_personal_data,
     "op10_neighbours": op10_neighbours,
     "op12_secrets": op12_secrets,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op12_secrets": OP12_SQL}
