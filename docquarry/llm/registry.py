@@ -2,6 +2,7 @@
 
 from .alignment import op13_alignment
 from .decontaminate import op8_decontamination
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .language import op7_language
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .near_dedup import op4_near_dedup
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_personal_data": op9_personal_data,
     "op10_neighbours": op10_neighbours,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_secrets": op12_secrets,
     "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op12_secrets": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op11_hard_negatives": OP11_SQL, "op12_secrets": OP12_SQL}
