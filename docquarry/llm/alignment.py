@@ -34,18 +34,26 @@ from pyspark.sql import functions as F
 from . import shared, tokens
 
 SALT = 1 << 17  # places of an id in documents' pairs that go to one task
-PAIRS = 1 << 20  # of documents that are turned into postings together
+PAIRS = 1 << 19  # of documents that are turned into postings together
 DOCS = 1 << 14  # at most so many
 GAINS = 1 << 20  # held before they are added up
 
+KNOWN = 300_000  # chunks that a worker remembers
+SPAN = 1 << 12  # documents whose gains travel together
+
 BASE = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
 
 
+_LATIN = "A-Za-zÀ-ɏ"
+_CHUNK = re.compile(f" *[{_LATIN}]+| *[^{_LATIN} ]+| +")
+
+
 class Pieces:
-    """encode(text): the ids of a sentencepiece model as little-endian numbers, or None if they do not give the text's bytes.
+    """Ids of a sentencepiece model. encode(texts): for each text its ids as little-endian numbers, or None if they do not give the
+    text's bytes.
 
-    Where no piece has a space inside or after other letters and nothing is normalised, texts are cut before runs of spaces
-    and each distinct chunk is encoded once.
+    Where no piece has a space inside or after other letters, or Latin letters beside anything else, and nothing is normalised,
+    texts are cut at such places and each distinct chunk of some texts is encoded once.
     """
 
     def __init__(self, path: str):
@@ -54,39 +62,40 @@ class Pieces:
         self.model = m = SentencePieceProcessor(model_file=path)
         names = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         self.bytes = [bytes([int(n[3:5], 16)]) if m.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        probe = "ab cd  eﬁ① é"
-        plain = self._joined(m.encode(probe)) == b" " + probe.encode() and m.encode("ab cd") == m.encode("ab") + m.encode("cd")
-        self.cut = plain and not any("▁" in n.lstrip("▁") for n in names)
         self.dtype = np.dtype("<u2" if len(names) <= 1 << 16 else "<u4")
-        self.bad: set[str] = set()
-        self.chunks = tokens._Chunks(self._chunk)
+        probe = "ab cd  eﬁ① é"
+        mixed = re.compile(f"[^▁]▁|[{_LATIN}][^{_LATIN}]|[^{_LATIN}▁][{_LATIN}]")
+        own = [n for i, n in enumerate(names) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
+        self.cut = self._joined(m.encode(probe)) == b" " + probe.encode() and not any(map(mixed.search, own))
+        self.after = {mark: len(m.encode(mark)) for mark in "a,"}  # what is encoded before a chunk, to be taken off again
+        self.known: dict[str, bytes | None] = {}
 
     def _joined(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
-    def _chunk(self, chunk: str) -> bytes:
-        """A chunk that begins with a space, which the model adds itself."""
-        ids = self.model.encode(chunk[1:])
-        if self._joined(ids) != chunk.encode():
-            if len(self.bad) > 1 << 16:
-                self.bad.clear()
-                self.chunks.clear()
-            self.bad.add(chunk)
-        return np.array(ids, self.dtype).tobytes()
-
     def clear(self) -> None:
-        self.chunks, self.bad = tokens._Chunks(self._chunk), set()
-
-    def encode(self, text: str) -> bytes | None:
-        if not self.cut or text[-1] == " ":
-            ids = self.model.encode(text)
-            return np.array(ids, self.dtype).tobytes() if self._joined(ids) == b" " + text.encode() else None
-        if len(self.chunks) > tokens._MOST:
-            self.chunks.before = {}
-            self.chunks = tokens._Chunks(self._chunk, self.chunks)
-        parts = re.findall(" +[^ ]+", " " + text)
-        out = b"".join(map(self.chunks.__getitem__, parts))
-        return out if self.bad.isdisjoint(parts) else None
+        self.known = {}
+
+    def _learn(self, chunks: list[str]) -> None:
+        letter = re.compile(f"[{_LATIN}]")
+        marks = ["," if letter.match(c) else "a" for c in chunks]
+        for chunk, mark, ids in zip(chunks, marks, self.model.encode([m + c for m, c in zip(marks, chunks, strict=True)], num_threads=1), strict=True):
+            own = ids[self.after[mark] :]
+            self.known[chunk] = np.array(own, self.dtype).tobytes() if self._joined(own) == chunk.encode() else None
+
+    def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        if not self.cut:
+            found = [self.model.encode(t) if t else [] for t in texts]
+            return [np.array(ids, self.dtype).tobytes() if t and self._joined(ids) == b" " + t.encode() else None for t, ids in zip(texts, found, strict=True)]
+        if len(self.known) > KNOWN:
+            self.clear()
+        parts = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+        self._learn(list(set().union(*parts) - self.known.keys()))
+        out: list[bytes | None] = []
+        for own in parts:
+            found = [self.known[c] for c in own]
+            out.append(None if None in found or not own else b"".join(found))
+        return out
 
 
 class Aligner:
@@ -113,7 +122,7 @@ class Aligner:
         """The figures and pairs of each text."""
         n = len(texts)
         raw_a, at_a = self.a.encode_column(pc.binary_join_element_wise(" ", texts, ""))
-        own_b = [self.b.encode(t) if t else None for t in texts.to_pylist()]
+        own_b = self.b.encode(texts.to_pylist())
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         many_a = np.diff(at_a)
         bytes_a = np.diff(np.concatenate([[0], np.cumsum(self.size_a[raw_a])])[at_a])
@@ -122,19 +131,23 @@ class Aligner:
         number_a, number_b = many_a[kept], np.array([len(own_b[i]) // self.b.dtype.itemsize for i in kept.tolist()], np.int64)
         ids_a = raw_a[np.repeat(good, many_a)].astype(np.int64)
         ids_b = np.frombuffer(b"".join([own_b[i] for i in kept.tolist()]), self.b.dtype).astype(np.int64)
-        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        ends = np.cumsum(sizes[kept] + 1)  # of documents
-        stretch = np.union1d(ends_a, ends_b)
-        in_a, in_b = np.searchsorted(ends_a, stretch), np.searchsorted(ends_b, stretch)
-        doc = np.searchsorted(ends, stretch)
-        shared_ends = stretch[(ends_a[in_a] == stretch) & (ends_b[in_b] == stretch)] if len(stretch) else stretch
-        links, groups = np.bincount(doc, minlength=len(kept)), np.bincount(np.searchsorted(ends, shared_ends), minlength=len(kept))
+        total = int((sizes[kept] + 1).sum())
+        ends = np.cumsum(sizes[kept] + 1) - 1  # the last byte of each document
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]) - 1, np.cumsum(self.size_b[ids_b]) - 1
+        at_a, at_b, at_doc, at_both = (np.zeros(total, bool) for _ in range(4))
+        at_a[ends_a] = at_b[ends_b] = at_doc[ends] = True
+        at_both = at_a & at_b
+        before = lambda marks: np.cumsum(marks, dtype=np.int32) - marks  # noqa: E731  how many end before each byte
+        stretch = np.flatnonzero(at_a | at_b)
+        in_a, in_b, doc, group = before(at_a)[stretch], before(at_b)[stretch], before(at_doc)[stretch].astype(np.int64), before(at_both)
+        links = np.bincount(doc, minlength=len(kept))
+        groups = np.bincount(doc[at_both[stretch]], minlength=len(kept))
         width = len(self.size_b)
         code, times = np.unique((doc * len(self.size_a) + ids_a[in_a]) * width + ids_b[in_b], return_counts=True)
         pair = code % (len(self.size_a) * width)
         rows = np.stack([pair // width, pair % width, times], axis=1).astype("<u4")
         bounds = np.searchsorted(code, np.arange(len(kept) + 1) * len(self.size_a) * width)
-        digests = self._digests(ids_a, ids_b, np.searchsorted(shared_ends, ends_a), np.searchsorted(shared_ends, ends_b), number_a + number_b)
+        digests = self._digests(ids_a, ids_b, group[ends_a], group[ends_b], number_a + number_b)
         whole = np.zeros((4, n), np.int64)
         whole[:, kept] = [number_a, number_b, groups, links]
         sha, pairs = [""] * n, [b""] * n
@@ -172,7 +185,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches):
         own = aligner(path_a, path_b)
-        for batch in shared.pieces_of(batches, 4 << 20):
+        for batch in shared.pieces_of(batches, 1 << 20):
             yield own.align(batch.column("doc_id"), batch.column("text"))
 
     return docs.mapInArrow(run, BASE)
@@ -222,14 +235,43 @@ def _post(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a[at].astype(np.int32)), pa.array(b[at].astype(np.int32)), *lists], ["a", "b", "keys", "times"])
 
 
+GAIN = "span long, places array<int>, best array<long>, total array<long>"
+
+
 def _summed(keys: list, best: list, total: list) -> pa.RecordBatch:
+    """GAIN: what documents gain, a row for SPAN neighbouring keys."""
     who, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = []
-    for part in (best, total):
-        out = np.zeros(len(who), np.int64)
+    sums = [np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)]
+    for out, part in zip(sums, (best, total), strict=True):
         np.add.at(out, at, np.concatenate(part))
-        sums.append(pa.array(out))
-    return pa.RecordBatch.from_arrays([pa.array(who), *sums], ["key", "n_best", "count_sum"])
+    span = who // SPAN
+    cuts = np.flatnonzero(np.diff(span, prepend=-1))
+    ends = pa.array(np.append(cuts, len(who)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((who % SPAN).astype(np.int32), *sums)]
+    return pa.RecordBatch.from_arrays([pa.array(span[cuts]), *lists], ["span", "places", "best", "total"])
+
+
+def _added(batches):
+    """key, n_best, count_sum of gains that come by span."""
+    shared.make_room()
+    at, sums = None, np.zeros((2, SPAN), np.int64)
+
+    def whole():
+        some = np.flatnonzero(sums[1])
+        return pa.RecordBatch.from_arrays([pa.array(at * SPAN + some), pa.array(sums[0][some]), pa.array(sums[1][some])], ["key", "n_best", "count_sum"])
+
+    for batch in batches:
+        spans = batch.column("span").to_pylist()
+        for k, span in enumerate(spans):
+            if span != at:
+                if at is not None:
+                    yield whole()
+                at, sums = span, np.zeros((2, SPAN), np.int64)
+            places = batch.column("places")[k].values.to_numpy()
+            for own, name in zip(sums, ("best", "total"), strict=True):
+                own[places] += batch.column(name)[k].values.to_numpy()
+    if at is not None:
+        yield whole()
 
 
 def _cogroup(batches):
@@ -283,7 +325,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     posts = pairs.mapInArrow(_post, "a int, b int, keys array<long>, times array<int>").join(F.broadcast(salts), "a")
     posts = posts.select("a", F.pmod(F.xxhash64("b", F.get("keys", F.lit(0))), "salts").cast("int").alias("salt"), "b", none.cast("long").alias("n"), "keys", "times")
     met = known.unionByName(posts).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("n").isNull(), "b")
-    gains = met.mapInArrow(_cogroup, "key long, n_best long, count_sum long").groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    gains = met.mapInArrow(_cogroup, GAIN).repartition("span").sortWithinPartitions("span").mapInArrow(_added, "key long, n_best long, count_sum long")
     gain = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return base.drop("pairs").join(gains, "key", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", gain("n_best"), gain("count_sum"), "groups_sha256")
 
