@@ -145,14 +145,14 @@ class Aligner:
         width = len(self.size_b)
         code, times = np.unique((doc * len(self.size_a) + ids_a[in_a]) * width + ids_b[in_b], return_counts=True)
         pair = code % (len(self.size_a) * width)
-        rows = np.stack([pair // width, pair % width, times], axis=1).astype("<u4")
+        columns = (pair // width).astype(self.a.dtype), (pair % width).astype(self.b.dtype), times.astype("<u4")
         bounds = np.searchsorted(code, np.arange(len(kept) + 1) * len(self.size_a) * width)
         digests = self._digests(ids_a, ids_b, group[ends_a], group[ends_b], number_a + number_b)
         whole = np.zeros((4, n), np.int64)
         whole[:, kept] = [number_a, number_b, groups, links]
         sha, pairs = [""] * n, [b""] * n
         for k, i in enumerate(kept.tolist()):
-            sha[i], pairs[i] = digests[k], rows[bounds[k] : bounds[k + 1]].tobytes()
+            sha[i], pairs[i] = digests[k], b"".join(c[bounds[k] : bounds[k + 1]].tobytes() for c in columns)
         return pa.RecordBatch.from_arrays([ids, *map(pa.array, whole), pa.array(sha, pa.string()), pa.array(pairs, pa.binary())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
 
     def _digests(self, ids_a, ids_b, group_a, group_b, number) -> list[str]:
@@ -181,7 +181,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """BASE of each row of docs (doc_id, text); pairs: ids of A and B and a multiplicity, as 32-bit numbers."""
+    """BASE of each row of docs (doc_id, text); pairs: all ids of A, all of B, all multiplicities."""
 
     def run(batches):
         own = aligner(path_a, path_b)
@@ -191,26 +191,36 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return docs.mapInArrow(run, BASE)
 
 
-def _gathered(batches):
-    """Documents' pairs in bounded numbers, sorted by pair: keys, a, b, times."""
+def _pairs_of(raws: list[bytes], widths: tuple[int, int]) -> list[np.ndarray]:
+    """The ids of A and B and the multiplicities of some documents' pairs, end to end, and how many each has."""
+    total = sum(widths) + 4
+    number = [len(r) // total for r in raws]
+    out, at = [], [0] * len(raws)
+    for w in (*widths, 4):
+        out.append(np.frombuffer(b"".join([r[i : i + n * w] for r, i, n in zip(raws, at, number, strict=True)]), f"<u{w}").astype(np.int64))
+        at = [i + n * w for i, n in zip(at, number, strict=True)]
+    return [*out, np.array(number)]
+
+
+def _gathered(batches, widths: tuple[int, int]):
+    """Documents' pairs in bounded numbers, of one partition of keys, sorted by pair: keys, a, b, times."""
     held, keys, total = [], [], 0
 
     def sorted_rows():
-        rows = np.frombuffer(b"".join(held), "<u4").reshape(-1, 3).astype(np.int64)
-        who = np.repeat(np.array(keys, np.int64), [len(x) // 12 for x in held])
-        order = np.lexsort([who, rows[:, 1], rows[:, 0]])
-        return who[order], rows[order, 0], rows[order, 1], rows[order, 2]
+        a, b, times, number = _pairs_of(held, widths)
+        who = np.repeat(np.array(keys, np.int64), number)
+        order = np.lexsort([who, b, a])
+        return who[order], a[order], b[order], times[order]
 
     for batch in batches:
-        for key, raw in zip(batch.column("key").to_pylist(), batch.column("pairs"), strict=True):
-            raw = raw.as_py()
+        for key, raw in zip(batch.column("key").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
             if raw:
-                held.append(raw)
-                keys.append(key)
-                total += len(raw) // 12
-                if total >= PAIRS or len(keys) >= DOCS:
+                if held and (total >= PAIRS or len(keys) >= DOCS or key >> 31 != keys[0] >> 31):
                     yield sorted_rows()
                     held, keys, total = [], [], 0
+                held.append(raw)
+                keys.append(key)
+                total += len(raw) // (sum(widths) + 4)
     if held:
         yield sorted_rows()
 
@@ -219,23 +229,43 @@ def _starts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
 
 
-def _count(batches):
-    shared.make_room()
-    for _, a, b, _ in _gathered(batches):
-        at = _starts(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(a[at].astype(np.int32)), pa.array(b[at].astype(np.int32)), pa.array(np.diff(at, append=len(a)))], ["a", "b", "n"])
+def counter(widths: tuple[int, int]):
+    def count(batches):
+        shared.make_room()
+        for _, a, b, _ in _gathered(batches, widths):
+            at = _starts(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[at].astype(np.int32)), pa.array(b[at].astype(np.int32)), pa.array(np.diff(at, append=len(a)))], ["a", "b", "n"])
 
+    return count
 
-def _post(batches):
-    shared.make_room()
-    for who, a, b, times in _gathered(batches):
-        at = _starts(a, b)
-        ends = pa.array(np.append(at, len(a)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (who, times.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array(a[at].astype(np.int32)), pa.array(b[at].astype(np.int32)), *lists], ["a", "b", "keys", "times"])
+
+POST = "a int, b int, first long, steps array<int>, times array<int>"
+
+
+def poster(widths: tuple[int, int]):
+    """POST: a pair's documents as the first key and the steps from each to the next (0 for the first)."""
+
+    def post(batches):
+        shared.make_room()
+        for who, a, b, times in _gathered(batches, widths):
+            at = _starts(a, b)
+            ends = pa.array(np.append(at, len(a)).astype(np.int32))
+            steps = np.diff(who, prepend=0)
+            steps[at] = 0
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (steps, times)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[at].astype(np.int32)), pa.array(b[at].astype(np.int32)), pa.array(who[at]), *lists], ["a", "b", "first", "steps", "times"])
+
+    return post
+
+
+def _keys_of(first: np.ndarray, steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The keys of posts, end to end."""
+    far = np.cumsum(steps)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    return far + np.repeat(first[sizes > 0] - far[starts], sizes[sizes > 0])
 
 
-GAIN = "span long, places array<int>, best array<long>, total array<long>"
+GAIN = "span long, places array<smallint>, best array<int>, total array<long>"
 
 
 def _summed(keys: list, best: list, total: list) -> pa.RecordBatch:
@@ -247,7 +277,7 @@ def _summed(keys: list, best: list, total: list) -> pa.RecordBatch:
     span = who // SPAN
     cuts = np.flatnonzero(np.diff(span, prepend=-1))
     ends = pa.array(np.append(cuts, len(who)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((who % SPAN).astype(np.int32), *sums)]
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((who % SPAN).astype(np.int16), sums[0].astype(np.int32), sums[1])]
     return pa.RecordBatch.from_arrays([pa.array(span[cuts]), *lists], ["span", "places", "best", "total"])
 
 
@@ -283,9 +313,10 @@ def _cogroup(batches):
         a, salt, b, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "salt", "b", "n"))
         if not len(a):
             continue
-        who, times = batch.column("keys"), batch.column("times")
-        flat, often = who.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
-        sizes = pc.fill_null(pc.list_value_length(who), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        steps, times = batch.column("steps"), batch.column("times")
+        sizes = pc.fill_null(pc.list_value_length(steps), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first_key = pc.fill_null(batch.column("first"), 0).to_numpy(zero_copy_only=False)
+        flat, often = _keys_of(first_key, steps.flatten().to_numpy().astype(np.int64), sizes), times.flatten().to_numpy().astype(np.int64)
         places = np.concatenate([[0], np.cumsum(sizes)])
         cuts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])])).tolist()
         for low, high in zip(cuts, [*cuts[1:], len(a)], strict=True):
@@ -318,12 +349,14 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     made = aligned(shared.id_text(docs), path_a, path_b).withColumn("key", F.monotonically_increasing_id())
     base = shared.store(made, "aligned")  # keys are fixed by being written
     pairs = base.select("key", "pairs")
-    counts = shared.store(pairs.mapInArrow(_count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pair-counts")
+    own = aligner(path_a, path_b)
+    widths = own.a.dtype.itemsize, own.b.dtype.itemsize
+    counts = shared.store(pairs.mapInArrow(counter(widths), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pair-counts")
     salts = counts.groupBy("a").agg(F.ceil(F.sum("n") / SALT).cast("int").alias("salts"))  # at most one row for each id of A
     none = F.lit(None)
-    known = counts.join(F.broadcast(salts), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "b", "n", none.cast("array<long>").alias("keys"), none.cast("array<int>").alias("times"))
-    posts = pairs.mapInArrow(_post, "a int, b int, keys array<long>, times array<int>").join(F.broadcast(salts), "a")
-    posts = posts.select("a", F.pmod(F.xxhash64("b", F.get("keys", F.lit(0))), "salts").cast("int").alias("salt"), "b", none.cast("long").alias("n"), "keys", "times")
+    known = counts.join(F.broadcast(salts), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "b", "n", none.cast("long").alias("first"), none.cast("array<int>").alias("steps"), none.cast("array<int>").alias("times"))
+    posts = pairs.mapInArrow(poster(widths), POST).join(F.broadcast(salts), "a")
+    posts = posts.select("a", F.pmod(F.xxhash64("b", "first"), "salts").cast("int").alias("salt"), "b", none.cast("long").alias("n"), "first", "steps", "times")
     met = known.unionByName(posts).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("n").isNull(), "b")
     gains = met.mapInArrow(_cogroup, GAIN).repartition("span").sortWithinPartitions("span").mapInArrow(_added, "key long, n_best long, count_sum long")
     gain = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

@@ -88,13 +88,13 @@ def test_rounds_of_postings_and_gains(monkeypatch):
         base = alignment.Aligner(A, B).align(pa.array(range(len(texts))), pa.array(texts))
         source = pa.RecordBatch.from_arrays([base.column("doc_id"), base.column("pairs")], ["key", "pairs"])
         count = Counter()
-        for batch in alignment._count([source]):
+        for batch in alignment.counter((2, 2))([source]):
             for r in batch.to_pylist():
                 count[r["a"], r["b"]] += r["n"]
-        known = [{"a": a, "salt": 0, "b": b, "n": n, "keys": None, "times": None} for (a, b), n in count.items()]
-        posts = [r | {"salt": 0, "n": None} for batch in alignment._post([source]) for r in batch.to_pylist()]
+        known = [{"a": a, "salt": 0, "b": b, "n": n, "first": None, "steps": None, "times": None} for (a, b), n in count.items()]
+        posts = [r | {"salt": 0, "n": None} for batch in alignment.poster((2, 2))([source]) for r in batch.to_pylist()]
         met = sorted(known + posts, key=lambda r: (r["a"], r["n"] is None, r["b"]))
-        kinds = pa.schema([("a", pa.int32()), ("salt", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+        kinds = pa.schema([("a", pa.int32()), ("salt", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("first", pa.int64()), ("steps", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
         batches = [pa.RecordBatch.from_pylist(met[i : i + rows], kinds) for i in range(0, len(met), rows)]
         sums = defaultdict(lambda: [0, 0])
         for batch in alignment._cogroup(batches):
