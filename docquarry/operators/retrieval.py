@@ -72,15 +72,15 @@ def literal_lane(chunks: DataFrame, term: str, most: int = LITERAL_LANE) -> Data
     return found.withColumn("rk", F.lit(1))
 
 
-def fuse(*lanes: DataFrame) -> DataFrame:
-    """id, score: the sum over lanes of 1 / (rank + 20), added in the order of the lanes.
+def fuse(*lanes: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """id (or other keys), score: the sum over lanes of 1 / (rank + 20), added in the order of the lanes.
 
     Equal to full outer joins of the lanes (an id is once in a lane; a missing lane adds 0) with one small shuffle.
     """
-    rows = reduce(DataFrame.unionByName, [lane.select("id", F.lit(k).alias("lane"), "rk") for k, lane in enumerate(lanes)])
-    ranks = rows.groupBy("id").agg(*[F.max(F.when(F.col("lane") == k, F.col("rk"))).alias(f"r{k}") for k in range(len(lanes))])
+    rows = reduce(DataFrame.unionByName, [lane.select(*keys, F.lit(k).alias("lane"), "rk") for k, lane in enumerate(lanes)])
+    ranks = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("lane") == k, F.col("rk"))).alias(f"r{k}") for k in range(len(lanes))])
     parts = [F.coalesce(F.lit(1.0) / (F.col(f"r{k}") + F.lit(float(FUSION_K))), F.lit(0.0)) for k in range(len(lanes))]
-    return ranks.select("id", reduce(lambda a, b: a + b, parts).alias("score"))
+    return ranks.select(*keys, reduce(lambda a, b: a + b, parts).alias("score"))
 
 
 def hybrid(chunks: DataFrame, query, terms: list[str], limit: int = 5, literal: str = "", language: str | None = None, blocks: bool = False) -> DataFrame:
