@@ -42,10 +42,20 @@ def check_limit(limit: int) -> int:
 
 
 def similarity_search(chunks: DataFrame, query, limit: int = 5, max_distance: float = NO_LIMIT_DISTANCE, blocks: bool = False) -> DataFrame:
-    """The nearest chunk of each file, within max_distance, nearest first."""
-    ranked = best_per_file(with_distance(chunks, query, blocks).where("distance is not null"), F.col("distance"), F.col("id"))
-    near = ranked.where(F.col("distance") <= max_distance)
-    return near.select("id", "file_path", "chunk_index", "content", "distance").orderBy("distance", "id").limit(check_limit(limit))
+    """The nearest chunk of each file, within max_distance, nearest first. Contents are joined for these alone."""
+    near = with_distance(chunks, query, blocks).select("id", "file_path", "distance").where("distance is not null")
+    best = best_per_file(near, F.col("distance"), F.col("id")).where(F.col("distance") <= max_distance)
+    return with_contents(chunks, best.select("id", "distance").orderBy("distance", "id").limit(check_limit(limit)), limit)
+
+
+#: Rows of a result that are broadcast to fetch their contents; more are joined as Spark sees fit.
+MOST_BROADCAST = 10_000
+
+
+def with_contents(chunks: DataFrame, top: DataFrame, most: int) -> DataFrame:
+    """id, file_path, chunk_index, content, distance of (id, distance), at most `most` rows, in their order."""
+    few = F.broadcast(top) if most <= MOST_BROADCAST else top
+    return chunks.select("id", "file_path", "chunk_index", "content").join(few, "id").select("id", "file_path", "chunk_index", "content", "distance").orderBy("distance", "id")
 
 
 def vector_lane(dist: DataFrame, most: int = VECTOR_LANE) -> DataFrame:
@@ -88,6 +98,11 @@ def hybrid(chunks: DataFrame, query, terms: list[str], limit: int = 5, literal:
     lanes = [vector_lane(with_distance(chunks, query, blocks)), text_lane(chunks, terms, language=language)]
     if literal:
         lanes.append(literal_lane(chunks, literal))
+    return hybrid_of(chunks, query, lanes, limit, blocks)
+
+
+def hybrid_of(chunks: DataFrame, query, lanes: list[DataFrame], limit: int = 5, blocks: bool = False) -> DataFrame:
+    """The same from lanes that are given, by a scan or by an index."""
     fused = fuse(*lanes)  # at most 250 rows by the lanes' limits
     joined = with_distance(chunks.join(F.broadcast(fused), "id"), query, blocks)  # distances of the winners alone
     best = best_per_file(joined, F.col("score").desc(), F.col("distance"), F.col("id"))

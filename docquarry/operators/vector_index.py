@@ -21,9 +21,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import vector
 from ..plans import storage
@@ -201,8 +200,7 @@ class VectorIndex:
         """What retrieval.similarity_search gives: the nearest chunk of each file, contents joined for the winners alone."""
         found = self._found(query, retrieval.check_limit(limit), probes, True)
         best = retrieval.best_per_file(found, F.col("distance"), F.col("id")).where(F.col("distance") <= max_distance)
-        top = best.select("id", "distance").orderBy("distance", "id").limit(limit)
-        return chunks.join(F.broadcast(top), "id").select("id", "file_path", "chunk_index", "content", "distance").orderBy("distance", "id")
+        return retrieval.with_contents(chunks, best.select("id", "distance").orderBy("distance", "id").limit(limit), limit)
 
     def fit_probes(self, target: float = 0.95, k: int = 20, queries: int = 64) -> int:
         """How many cells hold `target` of the k nearest of a sample of indexed chunks, searched exactly."""
@@ -219,13 +217,6 @@ class VectorIndex:
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """The share of exact results (query_id, id) that are among those found."""
-    keys: list[str | Column] = ["query_id", "id"]
-    total = exact.select(*keys).distinct()
+    total = exact.select("query_id", "id").distinct()
     n = total.count()
-    return total.join(found.select(*keys).distinct(), ["query_id", "id"]).count() / n if n else 1.0
-
-
-def ranked(lane: DataFrame, most: int) -> DataFrame:
-    """The best of each query of (query_id, id, distance)."""
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return lane.withColumn("rk", n).where(F.col("rk") <= most)
+    return total.join(found.select("query_id", "id").distinct(), ["query_id", "id"]).count() / n if n else 1.0

@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def _v1(spark, sf_dir):
-    return views.vector_chunks(spark, sf_dir), views.query_vector(spark, sf_dir)
+    return views.chunk_table(spark, sf_dir), views.query_vector(spark, sf_dir)
 
 
 @query(f"""WITH {V1}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY distance, id) AS rn FROM dist)
@@ -67,7 +67,12 @@ def _hits(terms, source="v1"):
 @query(f"""WITH {V1}, h AS ({_hits(TERMS)})
 SELECT id, hits, CAST(row_number() OVER (ORDER BY hits DESC, id) AS INTEGER) AS rk FROM h WHERE hits > 0 QUALIFY rk <= 100""")
 def fts_lane(spark, sf_dir):
-    return retrieval.text_lane(views.vector_chunks(spark, sf_dir), TERMS)
+    return retrieval.text_lane(views.vector_chunks(spark, sf_dir), TERMS)  # counts whole words where they stand
+
+
+@query(ORACLE_SQL["fts_lane"])
+def fts_stored(spark, sf_dir):
+    return retrieval.text_lane(views.chunk_table(spark, sf_dir), TERMS)  # by the lexemes that the chunk table keeps
 
 
 @query("SELECT page_id AS id, CAST(1 AS INTEGER) AS rk FROM pages WHERE url ILIKE '%utm_source%' ORDER BY page_id LIMIT 50")
@@ -100,7 +105,7 @@ def hybrid_2lane(spark, sf_dir):
 @query(f"WITH {V1}, named AS (SELECT id, file_path, chunk_index, content || CASE WHEN id % 7 = 0 THEN ' unit-id' ELSE '' END AS content, distance FROM dist), {_hybrid_sql([*TERMS, 'unit'], 20, 'UNIT_ID', 'named')}")
 def hybrid_3lane(spark, sf_dir):
     chunks, q = _v1(spark, sf_dir)
-    named = chunks.withColumn("content", F.concat("content", F.when(F.col("id") % 7 == 0, " unit-id").otherwise("")))
+    named = chunks.drop("lexemes").withColumn("content", F.concat("content", F.when(F.col("id") % 7 == 0, " unit-id").otherwise("")))
     return retrieval.hybrid(named, q, [*TERMS, "unit"], 20, "UNIT_ID")
 
 

@@ -13,17 +13,22 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where that is unset, a session of one machine gets one; a cluster's must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()  # the other way to name it
+        if not found.isDefined() and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="docquarry-")
+        root = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/docquarry/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame, what: str) -> DataFrame:
     """Write df once and read it back, so that nothing later plans or runs it again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/docquarry/{what}-{uuid.uuid4().hex}"
+    path = new_folder(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,3 +41,9 @@ def drop(df: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             with contextlib.suppress(Exception):  # a leftover file is no error
                 path.getFileSystem(conf).delete(path, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application has stored on the way; for when results have been read or written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/docquarry/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import lexing
+from . import storage
+from .schema import CHUNKS
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,6 +21,19 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), (n - 1).cast("int").alias("chunk_index"), F.col("text").alias("content"), "embedding")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_chunks with their words, as the chunk table that an index run writes: stored once for a session and a folder of tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        _STORED[key] = storage.new_folder(spark, "chunk-table")
+        rows = vector_chunks(spark, sf_dir).withColumn("lexemes", lexing.lexemes(F.col("content")))
+        rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(_STORED[key])
+    return spark.read.schema(CHUNKS).parquet(_STORED[key])
+
+
 def ordered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file_path"), F.col("turn").cast("int").alias("chunk_index"), F.col("text").alias("content"))
 
