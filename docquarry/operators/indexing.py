@@ -6,27 +6,30 @@ Files are read, cleaned and cut once and stored; ids, vectors and counters come
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import lexing
 from ..functions import text as T
-from ..plans import storage
+from ..plans import ledger, storage
 from ..plans.schema import CHUNKS
 from ..sources import markdown
-from ..sources.providers import ModelError
+from ..sources.providers import ModelError, model_name
+from . import retrieval
+from .postings import TextIndex, TrigramIndex
+from .vector_index import VectorIndex
 
 KEY = ["file_path", "chunk_index"]
-EMBEDDED = "id long, file_path string, chunk_index int, content string, embedding array<float>"
+CALL = 64  # texts of a call to the model
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The chunk table; empty if it is not there yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not any(n.endswith(".parquet") for n in ledger.Folder(spark, path).names()):
         return spark.createDataFrame([], CHUNKS)
     return spark.read.schema(CHUNKS).parquet(path)
 
@@ -53,8 +56,8 @@ def split_chunks(texts: DataFrame) -> DataFrame:
     return numbered_chunks(cleaned(texts))
 
 
-def with_ids(chunks: DataFrame, first: int = 0) -> DataFrame:
-    """chunks numbered from `first` in the order of file_path and chunk_index.
+def with_ids(chunks: DataFrame, first: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A stored table, to be dropped when the ids have been read, and chunks numbered from `first` in the order of file_path and chunk_index.
 
     The range-sorted rows are stored with their partition and place, so that counting and numbering see the same partitions;
     the driver gets one count for each partition.
@@ -71,11 +74,14 @@ def with_ids(chunks: DataFrame, first: int = 0) -> DataFrame:
         at += n
     offsets = chunks.sparkSession.createDataFrame(starts, "pid int, base long")
     numbered = placed.join(F.broadcast(offsets), part == F.col("pid"))  # one row for each partition
-    return numbered.select((F.col("base") + within).alias("id"), *[c for c in chunks.columns if c != "id"])
+    return placed, numbered.select((F.col("base") + within).alias("id"), *[c for c in chunks.columns if c != "id"])
 
 
-def embed(chunks: DataFrame, provider) -> DataFrame:
-    """chunks with an embedding of embed_text, a batch of rows to a call; null where the model fails on a row's own call too."""
+def embed(chunks: DataFrame, provider, in_flight: int = 4) -> DataFrame:
+    """chunks with an embedding of embed_text; null where the model fails on a row's own call too.
+
+    CALL rows go to a call and `in_flight` calls of a task are under way at once; the provider sees to repeating what failed.
+    """
 
     def one(text: str):
         try:
@@ -83,17 +89,45 @@ def embed(chunks: DataFrame, provider) -> DataFrame:
         except ModelError:
             return None
 
+    def call(texts: list[str]) -> list:
+        try:
+            return provider.embed(texts)
+        except ModelError:
+            return [one(t) for t in texts]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
+        with ThreadPoolExecutor(in_flight) as pool:
+            for rows in batches:
                 texts = rows.embed_text.tolist()
-                try:
-                    found = provider.embed(texts)
-                except ModelError:
-                    found = [one(t) for t in texts]
-                yield rows.assign(embedding=list(found))[["id", "file_path", "chunk_index", "content", "embedding"]]
+                found = pool.map(call, [texts[i : i + CALL] for i in range(0, len(texts), CALL)])
+                if len(rows):
+                    yield rows.assign(embedding=[v for part in found for v in part])[names]
 
-    return chunks.select("id", "file_path", "chunk_index", "content", "embed_text").mapInPandas(run, EMBEDDED)
+    names = [c for c in chunks.columns if c != "embed_text"] + ["embedding"]
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in names[:-1])
+    return chunks.mapInPandas(run, f"{kinds}, embedding array<float>")
+
+
+#: The table of vectors by the text that they stand for.
+KNOWN = "digest binary, embedding array<float>, model string"
+
+
+def embed_once(chunks: DataFrame, provider, folder: str, model: str) -> DataFrame:
+    """chunks with an embedding, as embed(), from a table of what the model has been asked before.
+
+    Each text that the table in `folder` lacks is asked for once, whatever chunks and runs it is in; failures are not kept. Texts are
+    told apart by SHA-256. Vectors join by digest: Spark shuffles the table's rows of the model, not their texts.
+    """
+    spark = chunks.sparkSession
+    parts = ledger.Generations(spark, folder)
+    rows = chunks.withColumn("digest", F.unhex(F.sha2("embed_text", 256)))
+    read = lambda: (parts.read(KNOWN) if parts.entries() else spark.createDataFrame([], KNOWN)).where(F.col("model") == model).select("digest", "embedding")
+    new = rows.select("digest", "embed_text").join(read().select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("embed_text").alias("embed_text"))
+    made = storage.store(embed(new, provider), "new-vectors").where(F.col("embedding").isNotNull())
+    if not made.isEmpty():
+        parts.add(made.select("digest", "embedding", F.lit(model).alias("model")), 0, "model")
+    storage.drop(made)
+    return rows.join(read(), "digest", "left").drop("digest", "embed_text")
 
 
 def with_lexemes(chunks: DataFrame, language: str | None) -> DataFrame:
@@ -108,8 +142,27 @@ def new_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return once.join(existing.select(*KEY), KEY, "left_anti").select(*[f.name for f in CHUNKS.fields])
 
 
-def insert(rows: DataFrame, path: str) -> None:
-    new_rows(rows, read_table(rows.sparkSession, path)).write.mode("append").parquet(path)
+def insert(rows: DataFrame, path: str) -> int:
+    """Append the new rows and keep the table's counts; how many there were. The caller holds the table's lock."""
+    spark = rows.sparkSession
+    existing, counts = read_table(spark, path), ledger.Counts(spark, path)
+    known = counts.known()
+    seen = Observation()
+    new = new_rows(rows, existing)
+    files = new.select("file_path").distinct().join(existing.select("file_path").distinct(), "file_path", "left_anti").count()
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    n = seen.get["n"]
+    if known is None:  # somebody else has written: count anew
+        counts.reset(*retrieval.stats(read_table(spark, path)).first())
+    else:
+        counts.add(n, files)
+    return n
+
+
+def stats(spark: SparkSession, path: str) -> dict:
+    """total_chunks and total_files of the table at path, from the counts kept with it; only if these do not fit, by a scan."""
+    known = ledger.Counts(spark, path).known()
+    return dict(zip(("total_chunks", "total_files"), known, strict=True)) if known else retrieval.stats(read_table(spark, path)).first().asDict()
 
 
 class BadVectors(ValueError):
@@ -120,11 +173,14 @@ def _append(chunks: DataFrame, path: str, provider, dims: int | None, language:
     """Number, embed and append chunks; (rows appended or there already, rows whose embedding failed)."""
     spark = chunks.sparkSession
     last = read_table(spark, path).agg(F.max("id")).first()[0]
-    numbered = with_ids(chunks, 0 if last is None else last + 1)
-    made = storage.store(with_lexemes(embed(numbered, provider), language), "embedded")
+    placed, numbered = with_ids(chunks, 0 if last is None else last + 1)
+    vectors = embed_once(numbered, provider, f"{path.rstrip('/')}/_vectors", model_name(provider))
+    made = storage.store(with_lexemes(vectors, language), "embedded")
+    storage.drop(placed)
     size = F.size("embedding")
     found = made.agg(F.count("embedding").alias("n"), F.count("*").alias("all"), F.min(F.when(F.col("embedding").isNotNull(), size)).alias("low"), F.max(size).alias("high")).first()
     if found.n and not found.low == found.high == (dims or found.high):
+        storage.drop(made)
         raise BadVectors(f"vectors of {found.low} to {found.high} numbers, {dims or found.high} are wanted")
     good = made.where(F.col("embedding").isNotNull())
     if found.n < found["all"]:  # a chunk without a vector uses up no index
@@ -139,8 +195,13 @@ def index_files(files: DataFrame, path: str, provider, dims: int | None = None,
 
     files: file_path, path (to be read here, if new) or file_path, raw, error. Result: indexed chunks; failed_files that could
     not be read and failed_chunks without a vector, and failed, their sum; skipped_files (known or blank), skipped_chunks (too
-    short) and skipped, their sum.
+    short) and skipped, their sum. One run at a time writes to a table; ledger.Busy for a second one.
     """
+    with ledger.writing(files.sparkSession, path):
+        return _index_files(files, path, provider, dims, language)
+
+
+def _index_files(files: DataFrame, path: str, provider, dims: int | None, language: str | None) -> dict[str, int]:
     existing = read_table(files.sparkSession, path)
     fresh = not_indexed(files, existing)
     fresh = fresh if "raw" in files.columns else markdown.read(fresh)
@@ -155,5 +216,30 @@ def index_files(files: DataFrame, path: str, provider, dims: int | None = None,
 
 
 def index_samples(spark: SparkSession, path: str, provider, dims: int | None = None, language: str | None = "portuguese") -> dict[str, int]:
-    indexed, lost = _append(markdown.sample_chunks(spark), path, provider, dims, language)
+    with ledger.writing(spark, path):
+        indexed, lost = _append(markdown.sample_chunks(spark), path, provider, dims, language)
     return {"indexed": indexed, "failed_files": 0, "failed_chunks": lost, "failed": lost, "skipped_files": 0, "skipped_chunks": 0, "skipped": 0}
+
+
+class Indexes:
+    """The indexes beside a chunk table, in its folder `_index`; update() brings them up to the table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        base = f"{path.rstrip('/')}/_index"
+        self.spark, self.path = spark, path
+        self.text, self.trigrams, self.vectors = TextIndex(spark, f"{base}/text"), TrigramIndex(spark, f"{base}/trigrams"), VectorIndex(spark, f"{base}/vectors")
+
+    def update(self) -> None:
+        chunks = read_table(self.spark, self.path)
+        for index in (self.text, self.trigrams, self.vectors):
+            index.update(chunks)
+
+    def hybrid_search(self, query, text_query: str, limit: int = 5, language: str | None = None) -> DataFrame:
+        """retrieval.hybrid_search through the indexes: the same rows."""
+        chunks = read_table(self.spark, self.path)
+        if not lexing.fts_terms(text_query):
+            return self.vectors.similarity_search(chunks, query, limit).withColumn("score", F.lit(None).cast("double"))
+        lanes = [self.vectors.nearest(query), self.text.lane(lexing.query_lexemes(text_query, language))]
+        if lexing.tech_term(text_query):
+            lanes.append(self.trigrams.lane(chunks, lexing.tech_term(text_query)))
+        return retrieval.hybrid_of(chunks, query, lanes, limit)

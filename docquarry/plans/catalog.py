@@ -305,7 +305,8 @@ r AS (SELECT 'd/doc-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS file_
 SELECT row_number() OVER (ORDER BY file_path, chunk_index) - 1 AS id, file_path, chunk_index, content, CAST(64 AS INTEGER) AS dims FROM r""")
 def index_pipeline(spark, sf_dir):
     files = views.raw_texts(spark, sf_dir).select(F.concat(F.lit("d/doc-"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md")).alias("file_path"), F.col("text").cast("binary").alias("raw"), F.lit(None).cast("string").alias("error"))
-    made = indexing.embed(indexing.with_ids(indexing.split_chunks(markdown.texts(files))), providers.HashingEmbedder(64))
+    _, numbered = indexing.with_ids(indexing.split_chunks(markdown.texts(files)))
+    made = indexing.embed(numbered, providers.HashingEmbedder(64))
     return made.select("id", "file_path", "chunk_index", "content", F.size("embedding").alias("dims"))
 
 

@@ -116,6 +116,34 @@ class Generations:
                 own.delete(name)
 
 
+class Counts:
+    """How many chunks and files a table holds, kept in its folder `_stats`: an entry for each append.
+
+    An entry also names how many data files the table has after it. If that is not what the folder holds (a writer ended between
+    its append and its entry, or another program wrote), the counts are not used.
+    """
+
+    def __init__(self, spark: SparkSession, table: str):
+        self.data = Folder(spark, table)
+        self.parts = Generations(spark, f"{table.rstrip('/')}/_stats")
+
+    def _files(self) -> int:
+        return sum(n.endswith(".parquet") for n in self.data.names())
+
+    def add(self, chunks: int, files: int) -> None:
+        self.parts.record(high=0, chunks=chunks, files=files, parts=self._files())
+
+    def reset(self, chunks: int, files: int) -> None:
+        self.parts.record(high=0, chunks=chunks, files=files, parts=self._files(), replaces=True)
+
+    def known(self) -> tuple[int, int] | None:
+        """Chunks and files, or None if they have to be counted."""
+        entries = self.parts.entries()
+        if (entries[-1]["parts"] if entries else 0) != self._files():
+            return None
+        return sum(e["chunks"] for e in entries), sum(e["files"] for e in entries)
+
+
 @contextlib.contextmanager
 def writing(spark: SparkSession, path: str):
     """One writer at a time to the table at path; Busy for a second one, which says whose lock it is.

@@ -62,14 +62,27 @@ class Engine:
         rest = (s.table_path, self.embedder, s.dims, self.language)
         if not markdown.is_local(s.docs_dir) or os.path.isdir(markdown.local_path(s.docs_dir)):
             files = markdown.files_of(self.spark, s.docs_dir) if markdown.opens(s.docs_dir) else markdown.scan_markdown(self.spark, s.docs_dir)
-            return indexing.index_files(files, *rest)
-        return indexing.index_samples(self.spark, *rest)
+            out = indexing.index_files(files, *rest)
+        else:
+            out = indexing.index_samples(self.spark, *rest)
+        if s.search == "index":
+            self.indexes.update()
+        return out
+
+    @property
+    def indexes(self) -> indexing.Indexes:
+        return indexing.Indexes(self.spark, self.settings.table_path)
+
+    def _hybrid(self, vector, query: str, limit: int):
+        if self.settings.search == "index":
+            return self.indexes.hybrid_search(vector, query, limit, self.language)
+        return retrieval.hybrid_search(self.chunks, vector, query, limit, self.language, self.settings.distances == "blocks")
 
     def search(self, query: str, limit: int | None = None) -> dict:
         query, limit = check_request(query, limit)
         vector = self.embedder.embed([providers.query_text(self.chat, query)])[0]
         chunks = self.chunks
-        found = [r.asDict() for r in retrieval.hybrid_search(chunks, vector, query, limit, self.language, self.settings.distances == "blocks").collect()]
+        found = [r.asDict() for r in self._hybrid(vector, query, limit).collect()]
         if not found:
             return {"results": [], "query": query}
         order = {(r["file_path"], r["chunk_index"]): k for k, r in enumerate(found)}
@@ -86,7 +99,7 @@ class Engine:
         return out
 
     def stats(self) -> dict:
-        return retrieval.stats(self.chunks).first().asDict()
+        return indexing.stats(self.spark, self.settings.table_path)
 
     def health(self) -> dict:
         try:
@@ -118,7 +131,7 @@ def answer_http(engine: Engine, method: str, path: str, body: bytes = b"") -> tu
 
 
 def serve(engine: Engine, port: int | None = None) -> ThreadingHTTPServer:
-    """A server for the engine on the port of the settings; call serve_forever() on it."""
+    """A server for the engine on the address and port of the settings; call serve_forever() on it."""
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self):
@@ -136,4 +149,4 @@ def serve(engine: Engine, port: int | None = None) -> ThreadingHTTPServer:
         def log_message(self, *args):
             pass
 
-    return ThreadingHTTPServer(("127.0.0.1", int(engine.settings.port) if port is None else port), Handler)
+    return ThreadingHTTPServer((engine.settings.bind, int(engine.settings.port) if port is None else port), Handler)

@@ -27,15 +27,23 @@ class ModelError(RuntimeError):
     pass
 
 
-def post(url: str, body: dict, headers: dict | None = None, timeout: float = 120) -> dict:
+def post(url: str, body: dict, headers: dict | None = None, timeout: float = 120, tries: int = 1, pause: float = 0.5) -> dict:
+    """The JSON that a POST gives. What may pass (no connection, a full or failing service) is tried again after a pause that doubles."""
     request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **(headers or {})})
-    try:
-        with urllib.request.urlopen(request, timeout=timeout) as answer:
-            if answer.status != 200:
-                raise ModelError(f"{url}: status {answer.status}")
-            return json.loads(answer.read())
-    except (OSError, ValueError) as e:
-        raise ModelError(f"{url}: {e}") from e
+    for left in reversed(range(tries)):
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                if answer.status != 200:
+                    raise ModelError(f"{url}: status {answer.status}")
+                return json.loads(answer.read())
+        except (OSError, ValueError) as e:
+            status = getattr(e, "code", None)
+            passing = isinstance(e, OSError) and (status is None or status == 429 or status >= 500)
+            if not left or not passing:
+                raise ModelError(f"{url}: {e}") from e
+            time.sleep(pause)
+            pause *= 2
+    raise ModelError(f"{url}: not tried")
 
 
 @lru_cache(1 << 16)
@@ -63,13 +71,14 @@ class HashingEmbedder:
 
 @dataclass
 class HttpEmbedder:
-    """POST {host}/api/embed with {model, input}; takes `embeddings`."""
+    """POST {host}/api/embed with {model, input}; takes `embeddings`. Tried `tries` times."""
 
     host: str
     model: str
+    tries: int = 4
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        got = post(f"{self.host}/api/embed", {"model": self.model, "input": texts}).get("embeddings") or []
+        got = post(f"{self.host}/api/embed", {"model": self.model, "input": texts}, tries=self.tries).get("embeddings") or []
         if len(got) != len(texts):
             raise ModelError("the model returned no embedding")
         return got
@@ -82,6 +91,11 @@ class HttpEmbedder:
             return False
 
 
+def model_name(provider) -> str:
+    """What tells a model's vectors from another's: its own `name`, or its class and fields."""
+    return getattr(provider, "name", None) or re.sub(r"tries=\d+|[^\w.:-]+", "_", repr(provider))
+
+
 def wait_for(ping, timeout: float, every: float = 1.0) -> bool:
     """Poll until ping() holds or the time is over."""
     end = time.monotonic() + timeout

@@ -1,13 +1,13 @@
 """An extension: files that arrive in a folder are indexed by the batch indexer, micro-batch by micro-batch.
 
-The source lists the folder as the batch scan does, hidden names included, and gives the paths of all its files whenever their
-number or the newest time of change has changed; the indexer's anti-join leaves the new ones, and only these are read. So a
+The source lists the folder as the batch scan does, hidden names included, and gives the paths of all its files whenever a
+name, size or time of change is another than before, wherever the folder is; the indexer's anti-join leaves the new ones, and only these are read. So a
 batch that is run again adds nothing, and stream and batch give a file the same path.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -35,13 +35,13 @@ class _Listing(SimpleDataSourceStreamReader):
         self.root = root
 
     def initialOffset(self) -> dict:
-        return {"files": 0, "newest": 0}
+        return {"files": 0, "state": ""}
 
     def read(self, start: dict):
-        files = markdown.list_markdown(self.root)
-        newest = max((os.stat(path).st_mtime_ns for _, path in files), default=0) if markdown.is_local(self.root) else 0
-        now = {"files": len(files), "newest": newest}
-        return iter(files if now != start else []), now
+        listed = markdown.list_states(self.root)
+        state = hashlib.sha256(repr([(name, state) for name, _, state in listed]).encode()).hexdigest() if listed else ""
+        now = {"files": len(listed), "state": state}
+        return iter([(name, path) for name, path, _ in listed] if now != start else []), now
 
     def readBetweenOffsets(self, start: dict, end: dict):
         return iter(markdown.list_markdown(self.root))

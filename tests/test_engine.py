@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import re
 import threading
 import urllib.error
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from docquarry import service
 from docquarry.functions import lexing, vector
 from docquarry.operators import indexing, retrieval
-from docquarry.plans import catalog, schema, views
+from docquarry.plans import catalog, ledger, schema, views
 from docquarry.service import BadRequest, Engine, parse_request
 from docquarry.sources import markdown, providers
 from docquarry.streaming import ingest
@@ -93,7 +94,7 @@ def test_ids_are_dense_and_in_order(spark, adaptive):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     try:
         rows = spark.range(0, 200_000, 1, 8).select(F.concat(F.lit("f"), F.xxhash64(F.col("id") / 7 - F.col("id") % 7 / 7).cast("string")).alias("file_path"), (F.col("id") % 7).cast("int").alias("chunk_index"))
-        got = indexing.with_ids(rows, 5)
+        _, got = indexing.with_ids(rows, 5)
         assert got.count() == 200_000
         ids = got.agg(F.countDistinct("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
         assert tuple(ids) == (200_000, 5, 200_004)
@@ -241,3 +242,125 @@ def test_plans(spark, sf_dir):
     assert "BroadcastHashJoin" in plan(retrieval.hybrid(chunks, q, catalog.TERMS))
     pushed = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("source") == "src3").select("doc_id")
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src3)]" in plan(pushed)
+
+
+def test_searches_through_indexes_equal_scans(spark, docs, tmp_path):
+    settings = schema.Settings(docs_dir=str(docs), table_path=str(tmp_path / "chunks"), embedding_dims="32", search="index")
+    engine = Engine(spark, settings)
+    engine.index()
+    for round_ in range(2):
+        for query in ("palavras UNIT_ID", "parte dois", "um no de", "zzzz", "UNIT_ID"):
+            settings.search = "index"
+            found = engine.search(query, 3)
+            settings.search = "scan"
+            assert engine.search(query, 3) == found, query
+        settings.search = "index"
+        (docs / f"more{round_}.md").write_text("\n".join(f"## mais {i}\n" + LINE * 15 for i in range(3)))
+        assert engine.index()["indexed"] > 0
+    chunks = engine.chunks.count()
+    assert engine.indexes.text.parts.high() == engine.indexes.vectors.parts.high() == chunks
+    assert schema.repeated_keys(engine.chunks).count() == 0
+
+
+def test_kept_counts(spark, docs, tmp_path, monkeypatch):
+    table = str(tmp_path / "t")
+    count = lambda: retrieval.stats(indexing.read_table(spark, table)).first().asDict()
+    assert indexing.stats(spark, table) == {"total_chunks": 0, "total_files": 0}
+    for _ in range(2):
+        indexing.index_files(markdown.scan_markdown(spark, str(docs)), table, Failing(16))
+        assert ledger.Counts(spark, table).known() == tuple(count().values())
+        (docs / "z.md").write_text(f"{LINE} z\n" + "x" * 1501 + "\nfalha " + LINE)
+    with monkeypatch.context() as m:  # no scan is needed
+        m.setattr(indexing, "read_table", None)
+        assert indexing.stats(spark, table)["total_files"] == 4
+    other = indexing.read_table(spark, table).limit(1).withColumn("file_path", F.lit("other.md"))
+    other.write.mode("append").parquet(table)  # by another program
+    assert ledger.Counts(spark, table).known() is None and indexing.stats(spark, table) == count()
+    indexing.index_samples(spark, table, Failing(16))
+    assert ledger.Counts(spark, table).known() == tuple(count().values())
+
+
+def test_one_writer_at_a_time(spark, docs, tmp_path):
+    table = str(tmp_path / "t")
+    with ledger.writing(spark, table), pytest.raises(ledger.Busy):
+        indexing.index_files(markdown.scan_markdown(spark, str(docs)), table, providers.HashingEmbedder(16))
+    assert indexing.index_files(markdown.scan_markdown(spark, str(docs)), table, providers.HashingEmbedder(16))["indexed"] > 0
+    left = [p for p in tmp_path.rglob("*") if "placed-chunks" in str(p) or "embedded" in str(p)]
+    assert not left and "_writer" not in ledger.Folder(spark, table).names()
+
+
+class Counting(providers.HashingEmbedder):
+    """Writes what it is asked for to a file that executors and driver share."""
+
+    name = "counting"
+
+    def embed(self, texts):
+        with open(COUNTED, "a") as f:
+            f.write("".join("asked\n" for _ in texts))
+        return super().embed(texts)
+
+
+COUNTED = "/tmp/docquarry-test-asked"
+
+
+def test_no_text_is_embedded_twice(spark, docs, tmp_path):
+    asked = lambda: len(open(COUNTED).readlines()) if os.path.exists(COUNTED) else 0
+    if os.path.exists(COUNTED):
+        os.remove(COUNTED)
+    rows = [(f"a/{k}/same.md", f"{LINE} igual".encode(), None) for k in range(5)] + [("b/x.md", f"{LINE} outro".encode(), None)]
+    files = spark.createDataFrame(rows, "file_path string, raw binary, error string")
+    table = str(tmp_path / "t")
+    assert indexing.index_files(files, table, Counting(16))["indexed"] == 6
+    assert asked() == 2  # equal titles and texts
+    moved = files.withColumn("file_path", F.concat(F.lit("moved/"), "file_path"))
+    assert indexing.index_files(moved, table, Counting(16))["indexed"] == 6
+    assert asked() == 2
+    got = indexing.read_table(spark, table)
+    assert got.count() == 12 and got.select(F.countDistinct("embedding")).first()[0] == 2
+    os.remove(COUNTED)
+
+
+def test_a_failing_service_is_tried_again(monkeypatch):
+    tried, slept = [], []
+
+    class Answer(io.BytesIO):
+        status = 200
+
+    def urlopen(request, timeout):
+        tried.append(1)
+        if len(tried) < 3:
+            raise urllib.error.HTTPError("http://h", 503, "full", {}, None)
+        return Answer(json.dumps({"embeddings": [[1.0]]}).encode())
+
+    monkeypatch.setattr(providers.urllib.request, "urlopen", urlopen)
+    monkeypatch.setattr(providers.time, "sleep", slept.append)
+    assert providers.HttpEmbedder("http://h", "m").embed(["x"]) == [[1.0]] and slept == [0.5, 1.0]
+    tried.clear()
+    monkeypatch.setattr(providers.urllib.request, "urlopen", lambda *a, **k: tried.append(1) or (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(providers.ModelError, match="gone"):
+        providers.HttpEmbedder("http://h", "m", tries=3).embed(["x"])
+    assert len(tried) == 3
+    assert providers.model_name(providers.HttpEmbedder("http://h", "m", 1)) == providers.model_name(providers.HttpEmbedder("http://h", "m", 2)) != providers.model_name(providers.HttpEmbedder("http://h", "n"))
+
+
+def test_env_file(tmp_path):
+    path = tmp_path / ".env"
+    path.write_text("# settings\nDOCS_DIR=/from/file # where\nexport EMBEDDING_DIMS='9'\nCHAT_MODEL=\"a b\"\nPORT=\nnonsense\n")
+    assert schema.Settings.load({"DOCS_DIR": "/from/env", "CHAT_KEY": ""}, str(path)) == schema.Settings(docs_dir="/from/env", embedding_dims="9", chat_model="a b")
+    assert schema.Settings.load({}, str(path)).docs_dir == "/from/file" and schema.Settings.load({}, str(tmp_path / "none")) == schema.Settings()
+
+
+def test_one_file_gone_and_one_come_is_a_change(tmp_path):
+    root = tmp_path / "d"
+    root.mkdir()
+    (root / "a.md").write_text("a")
+    os.utime(root / "a.md", (1_000, 1_000))
+    for given in (str(root), f"file://{root}"):
+        source = ingest._Listing(given)
+        files, first = source.read(source.initialOffset())
+        assert [f for f, _ in files] == sorted(p.name for p in root.iterdir())
+        assert list(source.read(first)[0]) == [] and source.read(first)[1] == first
+        old = next(root.iterdir())
+        old.rename(root / f"{old.stem}2.md")  # the same number of files, the same newest time
+        files, second = source.read(first)
+        assert second != first and len(list(files)) == 1
