@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexing
 from ..operators import batch, indexing, retrieval
+from ..operators.clustered import ClusteredTable
 from ..operators.postings import TextIndex, TrigramIndex
 from ..operators.vector_index import VectorIndex
-from . import catalog, storage, views
+from . import catalog, ledger, storage, views
 from .catalog import TERMS
 from .views import V1
 
@@ -81,6 +82,55 @@ def hybrid_indexed(spark, sf_dir):
     return retrieval.hybrid_of(views.chunk_table(spark, sf_dir), q, lanes, 5)
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """Ordered chunks as rows of the chunk table."""
+    number = F.col("file_path").cast("long") * 1000 + F.col("chunk_index")
+    return rows.select(number.alias("id"), "file_path", "chunk_index", "content", F.array().cast("array<float>").alias("embedding"), F.array().cast("array<string>").alias("lexemes"))
+
+
+def clustered(spark: SparkSession, sf_dir: str, name: str, rows) -> ClusteredTable:
+    """A table of rows(), bucketed by file; made once for a session and a folder of tables."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _BUILT:
+        table = ClusteredTable(spark, storage.new_folder(spark, name), 8)
+        table.append(_whole(rows()))
+        _BUILT[key] = table
+    return _BUILT[key]
+
+
+def _ordered(spark: SparkSession, sf_dir: str) -> ClusteredTable:
+    return clustered(spark, sf_dir, "clustered", lambda: views.ordered_chunks(spark, sf_dir))
+
+
+@query(catalog.ORACLE_SQL["chunk_window"])
+def chunk_window_clustered(spark, sf_dir):
+    chunks = _ordered(spark, sf_dir).frame()
+    return retrieval.chunk_windows(chunks, catalog._centres(chunks), 3)
+
+
+@query(catalog.ORACLE_SQL["all_chunks_for_file"])
+def all_chunks_clustered(spark, sf_dir):
+    return retrieval.all_chunks_for_file(_ordered(spark, sf_dir).frame(), "3")
+
+
+@query(catalog.ORACLE_SQL["idempotent_insert"])
+def insert_clustered(spark, sf_dir):
+    chunks = views.ordered_chunks(spark, sf_dir)
+    table = clustered(spark, sf_dir, "clustered-half", lambda: chunks.where(F.col("chunk_index") % 2 == 0))
+    return table.new_rows(_whole(chunks.union(chunks))).select("file_path", "chunk_index", "content")
+
+
+@query(catalog.ORACLE_SQL["stats"])
+def stats_kept(spark, sf_dir):
+    """The counts that two inserts leave beside the table, of which the second repeats what the first has put in."""
+    rows, path = _whole(views.ordered_chunks(spark, sf_dir)), storage.new_folder(spark, "counted")
+    with ledger.writing(spark, path):
+        indexing.insert(rows.where(F.col("chunk_index") % 2 == 0), path)
+        indexing.insert(rows, path)
+    known = ledger.Counts(spark, path).known()
+    return spark.createDataFrame([known], "total_chunks long, total_files long")
+
+
 #: A hundred vectors are searched for.
 _ASKED = """v1 AS (
   SELECT doc_id AS id, source AS file_path, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS chunk_index,
