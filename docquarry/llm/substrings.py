@@ -10,6 +10,13 @@ right and to the left. The string that begins x bytes before an anchor occurs tw
 LENGTH - x bytes to the right is of its class of x bytes to the left; classes are runs of the orders, cut where neighbours have
 less in common. All comparisons are of the bytes themselves.
 
+A lead that very many stretches share would be one group without bound. A match that begins x bytes before its anchor has the x
+bytes to the left and LENGTH - x to the right in common; so for x from lo to hi all matches agree in lo bytes to the left and
+LENGTH - hi to the right, and a group is dealt by these bytes: every stretch goes, trimmed to what the range can match, to the
+two halves of the range (`halved`). Leads that a sample finds frequent are halved where they are cut; any other group is as soon as a
+task meets more than GROUP stretches of it, and is compared in a further round of the same shuffle. A range of a single x is one
+string, and is reported as it comes. So a task holds GROUP stretches of a group at most, and after eight halvings nothing is left.
+
 Equal stretches of a slice of input are collapsed before the shuffle (of one place, at most two mentions are kept: more
 say nothing new), so copies and frequent passages arrive about once a slice. A row is known by two hashes of its text, as
 equal texts lose equal bytes.
@@ -20,6 +27,10 @@ Rows without doc_id are treated alike. Extra columns are ignored. No rows: no re
 
 from __future__ import annotations
 
+import bisect
+import zlib
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +41,9 @@ from . import shared
 LENGTH, LEAD = 200, 16
 PART = 1 << 23  # bytes of a text that are looked at together
 SAMPLE_ROWS = 2000
+GROUP = 4096  # stretches of a group that are compared together
+RANGE = 1 << 26  # bytes of text to a range of leads, at most
+LOW, HIGH = 0, LENGTH - LEAD  # how far before its anchor a string can begin
 _PLACE = np.uint64((1 << 26) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 REF = np.dtype([("h", "<i8"), ("c", "<u4"), ("at", "<u4")])
@@ -103,29 +117,63 @@ def lead_number(lead: bytes) -> int:
     return int.from_bytes(lead[:8], "big") - (1 << 63)
 
 
-STRETCH = "part int, off int, stretch binary, refs binary"  # off: where the anchor is in the stretch
+#: lo, hi: the range of x that a row stands for; off: where the anchor is in the stretch.
+STRETCH = "part int, lo int, hi int, off int, stretch binary, refs binary"
+
+
+def halved(lo: int, hi: int, off: int, data: bytes):
+    """(lo, hi, off, stretch, bytes cut off in front) of the halves of a range in which a stretch has a string."""
+    middle = (lo + hi) // 2
+    for a, b in ((lo, middle), (middle + 1, hi)):
+        left, right = min(off, b), min(len(data) - off, LENGTH - a)
+        if left + right >= LENGTH and a <= b:
+            yield a, b, left, data[off - left : off + right], off - left
+
+
+def key_of(lo: int, hi: int, off: int, data: bytes) -> bytes:
+    """What all matches of the range have in common."""
+    return data[off - lo : off + LENGTH - hi]
+
+
+class Held:
+    """Stretches of a slice of input, equal ones once with all their places (two mentions of one place say all)."""
 
+    def __init__(self):
+        self.rows: dict[tuple, dict] = {}
+
+    def add(self, lo: int, hi: int, off: int, data: bytes, places) -> None:
+        own = self.rows.setdefault((lo, hi, off, data), {})
+        for place in places:
+            own[place] = min(2, own.get(place, 0) + 1)
+
+    def batches(self, part):
+        rows = list(self.rows.items())
+        for k in range(0, len(rows), 20_000):
+            some = rows[k : k + 20_000]
+            refs = [np.array([r for r, n in found.items() for _ in range(n)], REF).tobytes() for _, found in some]
+            cols = [pa.array([part(*key) for key, _ in some], pa.int32()), *(pa.array([key[i] for key, _ in some], pa.int32()) for i in range(3))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([key[3] for key, _ in some], pa.binary()), pa.array(refs, pa.binary())], [c.split()[0] for c in STRETCH.split(", ")])
+
+
+def cut_up(splitters: np.ndarray, hot: frozenset[int], parts: int):
+    borders = splitters.tolist()
+
+    def part(lo: int, hi: int, off: int, data: bytes) -> int:
+        if (lo, hi) == (LOW, HIGH):
+            return bisect.bisect_right(borders, lead_number(data[off : off + LEAD]))
+        return zlib.crc32(key_of(lo, hi, off, data)) % parts
 
-def cut_up(splitters: np.ndarray):
     def cut(batches):
         for piece in shared.pieces_of(batches):
-            held: dict[bytes, list] = {}
+            held = Held()
             for h, c, raw in texts_of([piece]):
                 for at, data, lead, off in found_in(raw):
-                    own = held.get(data)
-                    if own is None:
-                        held[data] = [lead_number(lead), {(h, c, at): 1}, off]
+                    if hot and lead_number(lead) in hot:
+                        for a, b, left, own, gone in halved(LOW, HIGH, off, data):
+                            held.add(a, b, left, own, [(h, c, at + gone)])
                     else:
-                        own[1][h, c, at] = min(2, own[1].get((h, c, at), 0) + 1)
-            names = list(held)
-            for k in range(0, len(names), 20_000):
-                some = [(x, *held[x]) for x in names[k : k + 20_000]]
-                lead = np.array([n for _, n, _, _ in some], np.int64)
-                refs = [np.array([r for r, n in found.items() for _ in range(n)], REF).tobytes() for _, _, found, _ in some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.searchsorted(splitters, lead, "right").astype(np.int32)), pa.array([off for *_, off in some], pa.int32()), pa.array([x for x, *_ in some], pa.binary()), pa.array(refs, pa.binary())],
-                    ["part", "off", "stretch", "refs"],
-                )
+                        held.add(LOW, HIGH, off, data, [(h, c, at)])
+            yield from held.batches(part)
 
     return cut
 
@@ -221,6 +269,13 @@ def repeated(data: np.ndarray, start: np.ndarray, size: np.ndarray, off: np.ndar
 
 
 SPANS = ["h", "c", "start", "end"]
+#: What a round gives: spans, and stretches for the next round.
+ROUND = "h long, c long, start long, end long, lo int, hi int, off int, stretch binary, refs binary"
+_KINDS = dict(zip([c.split()[0] for c in ROUND.split(", ")], [*[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary(), pa.binary()], strict=True))
+
+
+def _row_batch(columns: dict, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in _KINDS.items()], list(_KINDS))
 
 
 def _bytes_of(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,60 +284,95 @@ def _bytes_of(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8), ends
 
 
-def spans_in(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-    """Spans of whole groups of stretches, in the order of their leading bytes."""
-    data, at = _bytes_of(rows.column("stretch"))
+def _mentions(rows: pa.RecordBatch, some: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """The spans from first to the end of the string at last of some rows, at all their places."""
     refs, ref_at = _bytes_of(rows.column("refs"))
+    number = (np.diff(ref_at) // REF.itemsize)[some]
+    each = np.repeat(ref_at[some] // REF.itemsize - np.cumsum(number) + number, number) + np.arange(number.sum())
+    ref = refs[: ref_at[-1]].view(REF)[each]
+    place = ref["at"].astype(np.int64)
+    cols = (ref["h"], ref["c"].astype(np.int64), place + np.repeat(first, number), place + np.repeat(last, number) + LENGTH)
+    return _row_batch({k: pa.array(np.ascontiguousarray(c)) for k, c in zip(SPANS, cols, strict=True)}, len(place))
+
+
+def spans_in(rows: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch | None:
+    """Spans of whole groups of stretches; group: the number of each row's group."""
+    data, at = _bytes_of(rows.column("stretch"))
     start, size, off = at[:-1], np.diff(at), rows.column("off").to_numpy().astype(np.int64)
-    fresh = np.append(True, ~same_leads(data, start + off))
-    group = np.cumsum(fresh)
-    count = np.diff(ref_at) // REF.itemsize
+    count = np.diff(_bytes_of(rows.column("refs"))[1]) // REF.itemsize
     keep = np.flatnonzero((np.bincount(group)[group] > 1) | (count > 1))
     if not len(keep):
         return None
     found = repeated(data, start[keep], size[keep], off[keep], group[keep], count[keep] > 1)
-    if not len(found):
-        return None
-    k = keep[found[:, 0]]
-    number = count[k]
-    each = np.repeat(ref_at[k] // REF.itemsize - np.cumsum(number) + number, number) + np.arange(number.sum())
-    ref = refs[: ref_at[-1]].view(REF)[each]
-    place = ref["at"].astype(np.int64)
-    cols = (ref["h"], ref["c"].astype(np.int64), place + np.repeat(found[:, 1], number), place + np.repeat(found[:, 2], number) + LENGTH)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], SPANS)
+    return _mentions(rows, keep[found[:, 0]], found[:, 1], found[:, 2]) if len(found) else None
 
 
-def same_leads(data: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """Whether each row's leading bytes are those of the row before it."""
-    lead = data[anchors[:, None] + np.arange(LEAD)].view("<u8")
-    return (lead[1:] == lead[:-1]).all(axis=1)
+def _groups(rows: pa.RecordBatch) -> np.ndarray:
+    """The number of each row's group: rows with one range and one key are neighbours."""
+    data, at = _bytes_of(rows.column("stretch"))
+    lo, hi, off = (rows.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "off"))
+    start, size = at[:-1] + off - lo, lo + LENGTH - hi
+    fresh = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+    for width in np.unique(size).tolist():
+        some = np.flatnonzero(~fresh & (size == width))
+        for at_once in np.array_split(some, max(1, len(some) * width >> 24)):
+            own = start[at_once][:, None] + np.arange(width)
+            before = start[at_once - 1][:, None] + np.arange(width)
+            fresh[at_once] = (data[own] != data[before]).any(axis=1)
+    return np.cumsum(fresh) - 1
+
+
+def refined(rows: pa.RecordBatch):
+    """Rows of a group that is too large: halved for the next round; those of a single string are spans."""
+    held, whole = Held(), []
+    columns = [rows.column(c).to_pylist() for c in ("lo", "hi", "off", "stretch", "refs")]
+    for k, (lo, hi, off, data, refs) in enumerate(zip(*columns, strict=True)):
+        if lo == hi:
+            whole.append(k)
+            continue
+        places = np.frombuffer(refs, REF).tolist()
+        for a, b, left, own, gone in halved(lo, hi, off, data):
+            held.add(a, b, left, own, [(h, c, at + gone) for h, c, at in places])
+    if whole:
+        some = np.array(whole)
+        yield _mentions(rows, some, np.zeros(len(some), np.int64), np.zeros(len(some), np.int64))
+    for batch in held.batches(lambda *_: 0):
+        yield _row_batch({c: batch.column(c) for c in ("lo", "hi", "off", "stretch", "refs")}, batch.num_rows)
 
 
 def compare(batches):
-    """Rows come in the order of their leading bytes; the last group of a batch waits for the next."""
+    """ROUND of rows that come by range and key. The last group of a batch waits for the next, unless it is too large already."""
+    shared.make_room()
     held: list[pa.RecordBatch] = []
+    over = None  # a row of the group before, if that is too large
     for batch in batches:
         if not batch.num_rows:
             continue
-        data, at = _bytes_of(batch.column("stretch"))
-        anchors = at[:-1] + batch.column("off").to_numpy()
-        apart = np.flatnonzero(~same_leads(data, anchors)) + 1
-        if held:
-            last = held[-1].slice(held[-1].num_rows - 1)
-            joined = pa.concat_batches([last, batch.slice(0, 1)])
-            data, at = _bytes_of(joined.column("stretch"))
-            if not same_leads(data, at[:-1] + joined.column("off").to_numpy())[0]:
-                apart = np.append(0, apart)
-        if len(apart):
-            cut = int(apart[-1])
-            out = spans_in(pa.concat_batches([*held, batch.slice(0, cut)]))
+        rows = pa.concat_batches([*([over] if over is not None else held), batch])
+        group = _groups(rows)
+        if over is not None:  # its first row has been dealt with
+            rows, group, goes_on = rows.slice(1), group[1:], group[1] == 0
+        else:
+            goes_on = False
+        group = group - group[0]
+        sizes = np.bincount(group)
+        large = sizes > GROUP
+        large[0] |= goes_on
+        last = group[-1]
+        some = np.flatnonzero(large[group])
+        for k in range(0, len(some), GROUP):
+            yield from refined(rows.take(pa.array(some[k : k + GROUP])))
+        done = np.flatnonzero(~large[group] & (group != last))
+        if len(done):
+            out = spans_in(rows.take(pa.array(done)), group[done])
             if out is not None:
                 yield out
-            held = [batch.slice(cut)]
+        if large[last]:
+            over, held = rows.slice(rows.num_rows - 1), []
         else:
-            held.append(batch)
+            over, held = None, [rows.slice(int(np.flatnonzero(group == last)[0]))]
     if held:
-        out = spans_in(pa.concat_batches(held))
+        out = spans_in(held[0], np.zeros(held[0].num_rows, np.int64))
         if out is not None:
             yield out
 
@@ -300,9 +390,11 @@ def remove_spans(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def splitters_of(rows: DataFrame, parts: int) -> np.ndarray:
-    """Borders of parts - 1 ranges of leading bytes, from a sample of about SAMPLE_ROWS rows. They decide only where a stretch goes."""
-    n = rows.count()
+def splitters_of(rows: DataFrame, n: int, parts: int) -> tuple[np.ndarray, frozenset[int]]:
+    """Borders of parts - 1 ranges of leading bytes, and the leads that are frequent, from a sample of about SAMPLE_ROWS of n rows.
+
+    They decide only where a stretch goes. A lead is frequent that makes up a quarter of a range: there are 4 * parts at most.
+    """
 
     def leads(batches):
         for piece in shared.pieces_of(batches):
@@ -313,24 +405,36 @@ def splitters_of(rows: DataFrame, parts: int) -> np.ndarray:
     some = rows.sample(min(1.0, SAMPLE_ROWS / n), seed=11) if n else rows
     sample = np.sort(np.array([r.lead for r in some.mapInArrow(leads, "lead long").collect()], np.int64))
     if not len(sample):
-        return np.zeros(0, np.int64)
-    return np.unique(sample[np.linspace(0, len(sample) - 1, parts + 1).astype(int)[1:-1]])
+        return np.zeros(0, np.int64), frozenset()
+    names, number = np.unique(sample, return_counts=True)
+    hot = names[number >= max(32, len(sample) / (4 * parts))]
+    return np.unique(sample[np.linspace(0, len(sample) - 1, parts + 1).astype(int)[1:-1]]), frozenset(hot.tolist())
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """h, c (hashes of a text), spans: array of (start, end) in bytes, of the texts that hold a repeated string."""
     spark = docs.sparkSession
     rows = shared.id_text(docs).select("text", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")).where(F.octet_length("text") >= LENGTH)
-    parts = shared.partitions(spark)
-    splitters = splitters_of(rows, parts)
-    moved = rows.mapInArrow(cut_up(splitters), STRETCH).repartitionById(parts, F.col("part"))
-    lead = F.expr(f"substring(stretch, off + 1, {LEAD})").alias("lead")  # made here, so that it is not moved
-    ordered = moved.select(lead, "off", "stretch", "refs").sortWithinPartitions("lead").select("off", "stretch", "refs")
-    spans = shared.store(ordered.mapInArrow(compare, "h long, c long, start long, end long"), "spans")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(shared.partitions(spark), (size.bytes or 0) // RANGE + 1)
+    splitters, hot = splitters_of(rows, size.n, parts)
+    moved = rows.mapInArrow(cut_up(splitters, hot, parts), STRETCH).repartitionById(parts, F.col("part"))
+    key = F.expr(f"substring(stretch, off - lo + 1, lo + {LENGTH} - hi)").alias("key")  # made here, so that it is not moved
+    names = ("lo", "hi", "off", "stretch", "refs")
+    found = []
+    while True:
+        ordered = moved.select(key, *names).sortWithinPartitions("lo", "hi", "key").select(*names)
+        found.append(shared.store(ordered.mapInArrow(compare, ROUND), "spans"))
+        left = found[-1].where("stretch is not null")
+        if left.isEmpty():  # each round halves the ranges: there are nine at most
+            break
+        moved = left.select(*names).repartition("lo", "hi", F.expr(f"substring(stretch, off - lo + 1, lo + {LENGTH} - hi)"))
+    spans = reduce(DataFrame.unionByName, [f.where("h is not null").select(*SPANS) for f in found])
     # stored, so that the rows of one text that many documents have are a skewed partition that adaptive execution splits
-    found = shared.store(spans.groupBy("h", "c").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "text-spans")
-    shared.drop(spans)
-    return found
+    out = shared.store(spans.groupBy("h", "c").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "text-spans")
+    for table in found:
+        shared.drop(table)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
