@@ -4,13 +4,14 @@ Entries are taken in at most BANDS bands of norms (a factor of sqrt 2 each); in
 equal, so that the largest inner product is the least distance, and a query visits every band. A table hashes a vector by
 Gaussian (2-stable) projections, as many as give buckets of about OCCUPANCY entries at the table's row count, or a few more. A
 query visits, in each of TABLES tables, the buckets of its likeliest perturbations in order of estimated success (the squared
-distances to the slots' borders). How many it visits, and how many projections there are, is fitted on SAMPLE queries that are
-searched exactly, and SAMPLE_ENTRIES entries: the least work at which TARGET of the sample's neighbours are met, with at most
-MOST_PROBES visits. Each visited bucket gives its best by exact inner products; a task merges the
+distances to the slots' borders; a slot is shifted by REACH at most). How many it visits, and how many projections there are, is fitted
+on SAMPLE queries that are searched exactly, and SAMPLE_ENTRIES entries: the least work at which TARGET of the sample's neighbours are
+met, with at most MOST_PROBES visits. Fewer projections are tried down to two, whose shifts are few enough to be visited all, so on
+any vectors there is a number that meets the target; without clusters it comes to large buckets, which are dealt into cells. Each visited bucket gives its best by exact inner products; a task merges the
 candidates of a query from all buckets and tables that it holds, then the tasks' lists are merged and ranked.
 
-A query that has met fewer than k others though there are more is searched exactly, in blocks of BLOCK queries against all
-entries; so are all queries if even MOST_PROBES visits miss the target. So no list is shorter than it must be.
+A query that has met fewer than k others though there are more is searched exactly: groups of such queries meet cells of all
+entries in tasks, as buckets do. So no list is shorter than it must be.
 
 Equal vectors are one entry that carries the smallest vec_ids (all that a top list could need), and equal queries are
 searched once. Buckets are dealt into cells of about CELL entries by VISITS queries, so no task holds an unbounded bucket or
@@ -29,7 +30,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from . import shared
 
 TABLES, WIDTH = 3, 1.6
 OCCUPANCY, BITS_EACH, MOST_FUNCTIONS = 256, 1.9, 16  # a function of this width tells about 1.9 bits
-FINER = (0, 2, 4, 6)  # more functions than that are tried too
+FINER = 6  # so many more functions are tried too
 SAMPLE, SAMPLE_ENTRIES, TARGET, MOST_PROBES = 48, 4096, 0.96, 400
 VISIT_COST = 128
 CELL, VISITS, BLOCK = 1024, 256, 512
@@ -235,9 +235,10 @@ def searcher(most: int, kind: str):
     return search
 
 
-def scan(entries: DataFrame, queries: list[tuple[int, bytes]], most: int, kind: str, with_vectors: bool = False) -> DataFrame:
-    """The exact search of at most BLOCK queries: each task passes on its best for each of them."""
+def scan(entries: DataFrame, queries: list[tuple[int, bytes]], most: int, kind: str) -> DataFrame:
+    """key, vec_id, score, vector: the exact search of at most BLOCK queries; each task passes on its best for each of them."""
     asked = [(np.array([queries[i][0] for i in own]), x) for own, x in by_length([v for _, v in queries], kind)]
+    names = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("vector", pa.binary())])
 
     def search(batches):
         shared.make_room()
@@ -252,30 +253,29 @@ def scan(entries: DataFrame, queries: list[tuple[int, bytes]], most: int, kind:
                     for at in range(0, len(block), CELL):
                         for key, best in zip(keys.tolist(), best_of(block[at : at + CELL], [ids[i] for i in own[at : at + CELL]], x, most), strict=True):
                             found[key] = merged(found.get(key, []), best, most)
-            if with_vectors:
-                named = {x[2] for f in found.values() for x in f}
-                kept = {i: v for i, v in kept.items() if i in named} | {i: v for v, o in zip(vectors, ids, strict=True) for i in o if i in named}
-        if with_vectors:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((k, x[2], -x[0], kept[x[2]]) for k, f in found.items() for x in f if not x[1]), strict=True) or [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.binary()), strict=True)], ["key", "vec_id", "score", "vector"]) if found else pa.RecordBatch.from_pylist([], pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("vector", pa.binary())]))
-        else:
-            yield _lists(found)
+            named = {x[2] for f in found.values() for x in f}
+            kept = {i: v for i, v in kept.items() if i in named} | {i: v for v, o in zip(vectors, ids, strict=True) for i in o if i in named}
+        rows = [{"key": k, "vec_id": x[2], "score": -x[0], "vector": kept[x[2]]} for k, f in found.items() for x in f if not x[1]]
+        yield pa.RecordBatch.from_pylist(rows, names)
 
-    return entries.select("vector", "ids").mapInArrow(search, "key long, vec_id long, score double, vector binary" if with_vectors else LISTS)
+    return entries.select("vector", "ids").mapInArrow(search, "key long, vec_id long, score double, vector binary")
 
 
 def fitted(norm: float, bands: list[int], count: int, entries: DataFrame, firsts: DataFrame, k: int, kind: str) -> tuple[Index, int]:
-    """The hashing, and the fewest visits a table at which TARGET of the neighbours of SAMPLE queries are met; 0 if MOST_PROBES are too few.
+    """The hashing, and the fewest visits a table at which TARGET of the neighbours of SAMPLE queries are met.
 
     Of the numbers of functions tried, the one with the least work on the samples: entries scored, by their share of a sample
-    of entries, and visits, each of which costs as much as VISIT_COST entries. The samples are bounded, the driver sees k
-    neighbours for each sample query and task; no other query or entry is looked at here.
+    of entries, and visits, each of which costs as much as VISIT_COST entries. The samples are bounded, the driver sees k + 1
+    neighbours for each sample query; no other query or entry is looked at here.
     """
-    tries = [Index(norm, f, bands) for f in sorted({min(MOST_FUNCTIONS, functions_for(count) + more) for more in FINER})]
+    finest = min(MOST_FUNCTIONS, functions_for(count) + FINER)
+    tries = [Index(norm, f, bands) for f in sorted({*range(finest, 2, -2), 2})]
     sample = [(r.key, bytes(r.vector)) for r in firsts.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("key", "vector").collect()]
     if not sample:
         return tries[0], 1
     near: dict[int, list] = {}
-    for r in scan(entries, sample, k + 1, kind, True).collect():
+    n = F.row_number().over(Window.partitionBy("key").orderBy(F.col("score").desc(), "vec_id"))
+    for r in scan(entries, sample, k + 1, kind).withColumn("n", n).where(F.col("n") <= k + 1).collect():
         near.setdefault(r.key, []).append((-r.score, r.vec_id, bytes(r.vector)))
     some = list(by_length([bytes(r.vector) for r in entries.select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE_ENTRIES).collect()], kind))
     share = min(1.0, SAMPLE_ENTRIES / count)
@@ -309,7 +309,7 @@ def fitted(norm: float, bands: list[int], count: int, entries: DataFrame, firsts
             work = scored + VISIT_COST * TABLES * len(bands) * (need + 1)
             if best is None or work < best[0]:
                 best = work, index, need + 1
-    return (best[1], best[2]) if best else (tries[0], 0)
+    return (best[1], best[2]) if best else (tries[0], MOST_PROBES)
 
 
 def _dealt(index: Index, entries: DataFrame, asked: DataFrame, probes: int, kind: str) -> tuple[DataFrame, list[DataFrame]]:
@@ -367,19 +367,16 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     norm = most.norm or 1.0
     lowest = min(BANDS - 1, math.floor(-2 * math.log2(max((most.least or norm) / norm, 1e-300))))
     index, probes = fitted(norm, list(range(lowest + 1)), entries.count(), entries, firsts, k, kind)
-    if probes:
-        dealt, made = _dealt(index, entries, firsts, probes, kind)
-        pairs = shared.store(_pairs(dealt.mapInArrow(searcher(k + 1, kind), LISTS), k), "candidates")
-        for table in made:
-            shared.drop(table)
-    else:
-        pairs = shared.store(_pairs(_exact(entries, firsts, k, kind), k), "candidates")
+    dealt, made = _dealt(index, entries, firsts, probes, kind)
+    pairs = shared.store(_pairs(dealt.mapInArrow(searcher(k + 1, kind), LISTS), k), "candidates")
+    for table in made:
+        shared.drop(table)
     # queries that met fewer than k others though there are more: searched exactly
     there = used.select(F.octet_length("vector").alias("size"), "vec_id").distinct().groupBy("size").agg(F.count("*").alias("others"))
     counted = firsts.join(pairs.groupBy("key").agg(F.count("*").alias("n")), "key", "left")
     short = counted.join(F.broadcast(there), F.octet_length("vector") == F.col("size")).where(F.coalesce("n", F.lit(0)) < F.least(F.lit(k + 1), F.col("others")))  # one row for each length of vectors
     short = shared.store(short.select("key", "vector"), "short")
-    if probes and not short.isEmpty():
+    if not short.isEmpty():
         pairs = pairs.join(short.select("key"), "key", "left_anti").unionByName(_pairs(_exact(entries, short, k, kind), k))
 
     order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last()]
@@ -389,25 +386,15 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     return ranks.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _exact(entries: DataFrame, asked: DataFrame, k: int, kind: str, together: int = 64) -> DataFrame:
-    """The exact lists of all rows of asked, in blocks of BLOCK: each block is sent to the entries' tasks.
-
-    The results of `together` blocks are stored before the next are planned.
-    """
-    found: list[DataFrame] = []
-    done: list[DataFrame] = []
-    block: list[tuple[int, bytes]] = []
-    for r in asked.select("key", "vector").toLocalIterator():  # a block at a time is sent on
-        block.append((r.key, bytes(r.vector)))
-        if len(block) == BLOCK:
-            found.append(scan(entries, block, k + 1, kind))
-            block = []
-            if len(found) == together:
-                done.append(shared.store(reduce(DataFrame.unionByName, found), "lists"))
-                found = []
-    if block or not (found or done):
-        found.append(scan(entries, block, k + 1, kind))
-    return reduce(DataFrame.unionByName, done + found)
+def _exact(entries: DataFrame, asked: DataFrame, k: int, kind: str) -> DataFrame:
+    """The exact lists of all rows of asked: groups of queries meet cells of entries, every group every cell, in tasks."""
+    cells, groups = max(1, -(-entries.count() // (8 * CELL))), max(1, -(-asked.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    none, one = F.lit(None), F.lit(0).cast("long").alias("bucket")
+    own = entries.select(one, F.pmod(F.xxhash64("vector"), F.lit(cells)).cast("long").alias("cell"), every(groups).alias("group"), F.lit(False).alias("query"), none.cast("long").alias("key"), "vector", "ids")
+    seen = asked.select(one, every(cells).alias("cell"), F.pmod(F.xxhash64("key"), F.lit(groups)).cast("long").alias("group"), F.lit(True).alias("query"), "key", "vector", none.cast("array<long>").alias("ids"))
+    met = own.unionByName(seen).repartition("cell", "group").sortWithinPartitions("cell", "group", F.octet_length("vector"), "query")
+    return met.mapInArrow(searcher(k + 1, kind), LISTS)
 
 
 def _pairs(lists: DataFrame, k: int) -> DataFrame:

@@ -300,12 +300,37 @@ def test_outlying_queries_get_whole_lists(spark):
     assert Counter(r.query_id for r in got) == {4000: 20, 4020: 20}
 
 
-def test_target_out_of_reach_is_answered_exactly(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "MOST_PROBES", 1)
+def test_exact_groups_and_cells(spark, monkeypatch):
+    """Every group of queries meets every cell of entries."""
+    monkeypatch.setattr(neighbours, "CELL", 6)
     monkeypatch.setattr(neighbours, "BLOCK", 3)
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.integers(-9, 10, 24)]) for i in range(400)]
-    exact_lists(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect(), rows)
+    used, kind = neighbours.packed(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    entries = used.select("vector", F.array("vec_id").alias("ids"))
+    asked = used.where("vec_id % 20 = 0").select(F.col("vec_id").alias("key"), "vector")
+    got = neighbours._pairs(neighbours._exact(entries, asked, 20, kind), 20).collect()
+    want = {q: sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in rows)[:21] for q, v in rows if q % 20 == 0}
+    by = defaultdict(list)
+    for r in got:
+        by[r.key].append((-r.score, r.vec_id))
+    assert {q: sorted(x) for q, x in by.items()} == want
+
+
+def test_a_target_that_fine_hashing_misses_is_met_by_coarser_hashing(spark, monkeypatch):
+    """Vectors without clusters: with very many functions the visits allowed are too few, with fewer functions they are not."""
+    monkeypatch.setattr(neighbours, "functions_for", lambda entries: 14)
+    monkeypatch.setattr(neighbours, "FINER", 0)
+    monkeypatch.setattr(neighbours, "MOST_PROBES", 60)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(2000, 24)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    chosen = []
+    fit = neighbours.fitted
+    monkeypatch.setattr(neighbours, "fitted", lambda *a: chosen.append(fit(*a)) or chosen[-1])
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    assert chosen[0][0].functions < 14 and 1 <= chosen[0][1] <= 60
+    assert recall(got, brute_nearest(df.collect())) >= 0.9
 
 
 def test_neighbours_recall_on_the_table(spark):
