@@ -5,14 +5,15 @@ obfuscated addresses, defanged ips, dotted card numbers, numbers that the rules'
 with a 00 prefix or beside a cue word. It works on regions (runs of digits and number marks, and spelled-out addresses),
 without the base spans in them. In a region it scores every segment of at most MOST_TOKENS tokens whose borders can be an
 entity's (no letter or digit beside it, brackets in pairs) and that has the digits of its kind (an ip four groups of at most
-255, a card 16 to 19 that pass Luhn in even groups with one mark between them, a phone 7 to 15; an address a spelled-out `at`
+255 with a dot, bare or in brackets, between them, a card 16 to 19 that pass Luhn in even groups with one mark between them, a phone 7 to 15; an address a spelled-out `at`
 and a dot), by features of the whole span, its borders and its left context. Dynamic programming over all segmentations into
 such segments and single tokens chooses boundaries and types together; regions have any length.
 
 The weights are trained here by gradient ascent on the exact log-likelihood, on a bounded sample. Parameters: base spans, and
 regions without any, of the TRAIN_ROWS documents of least doc_id that have base spans, among those whose crc32(doc_id) is 3
 modulo TRAIN_SHARE, or among all if these are too few; of a document the first TRAIN_EACH of each, those of at most
-TRAIN_LETTERS letters. They are rewritten in the ways above, alone and side by side, beside digit runs that the rules refuse.
+TRAIN_LETTERS letters. They are rewritten in the ways above, alone and side by side, beside made-up numbers that are nothing (dates, times, sort codes, versions,
+ISBNs, amounts, digit runs). A segment whose marks were in no example scores UNSEEN for them.
 Every whole text is searched.
 
 Defined cases: null is an empty text. Offsets count code points. Equal rows get equal results. Extra columns are ignored.
@@ -36,6 +37,7 @@ from . import shared
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS, TRAIN_SHARE, TRAIN_EACH, TRAIN_LETTERS = 300, 16, 8, 120
 MOST_TOKENS = 32
+UNSEEN = -3.0
 
 # The patterns of the rules. Possessive runs keep them linear.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -110,6 +112,7 @@ _HINTS = ("at)", "at]", "at )", "at ]")
 _CUE = re.compile(r"(tel|phone|call|fax|mobile|card|visa|ip|host|server|mail)[\s.:#]*\Z", re.I)
 CUES = {"tel": 3, "phone": 3, "call": 3, "fax": 3, "mobile": 3, "card": 2, "visa": 2, "ip": 1, "host": 1, "server": 1, "mail": 0}
 CONTEXT = 16  # letters to the left in which a cue is looked for
+_JOINT = re.compile(r"\s?(?:\.|\(\s?\.\s?\)|\[\s?\.\s?\])\s?")
 _ALNUM = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _LOCAL_MARKS = _ALNUM | set("._%+-")
 
@@ -188,7 +191,7 @@ def _number_candidates(text: str, borders: list[int], tokens: list[str], lead: i
             if text[b : b + 1] in _ALNUM and b < len(text) or not paired(text[a:b]):
                 continue
             marks, joints = "".join(seen), set(re.split("[0-9]+", text[a:b])[1:-1])
-            if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups):
+            if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and all(map(_JOINT.fullmatch, joints)):
                 yield i, j + 1, 1, [*_shared_features(1, text, a, b, marks, len(digits), cue, lead), f"ip:joints={len(joints)}"]
             if len(digits) >= 16 and len(joints) <= 1 and len({len(g) for g in groups[:-1]}) <= 1 and luhn(digits):
                 yield i, j + 1, 2, _shared_features(2, text, a, b, marks, len(digits), cue, lead)
@@ -212,7 +215,7 @@ def _address_candidates(text: str, borders: list[int], tokens: list[str], lead:
             elif at and (spelled(j, "dot") or tokens[j] == "."):
                 dots += 1
             b = borders[j + 1]
-            if not (at and dots) or tokens[j][0] not in _ALNUM or text[b : b + 1] in _LOCAL_MARKS - {"."} and b < len(text):
+            if not (at and dots) or tokens[j][0] not in _ALNUM or text[b : b + 1] in _LOCAL_MARKS - {"."} and b < len(text) or not paired(text[a:b]):
                 continue
             marks = "".join(dict.fromkeys(t for t in tokens[i : j + 1] if t[0] not in _ALNUM))
             names = _shared_features(0, text, a, b, marks, 0, _cue(text, a), lead)
@@ -279,7 +282,7 @@ def decode(text: str, start: int, end: int, weights: dict[str, float], lead: int
     n = len(borders) - 1
     ends: dict[int, list] = {}
     for i, j, k, names in found:
-        score = sum(weights.get(f, 0.0) for f in names)
+        score = sum(weights[f] if f in weights else UNSEEN if ":marks=" in f else 0.0 for f in names)
         if score > 0:
             ends.setdefault(j, []).append((score, i, k))
     best, back = [0.0] * (n + 1), [None] * (n + 1)
@@ -333,9 +336,18 @@ def _line(parts: list[tuple[str, str, int | None]], joint: str) -> list[tuple[st
 
 
 def _nothing(rng: random.Random) -> str:
-    n = rng.choice([6, 7, 8, 9, 10, 12, 14, 16, 20])
-    digits = "".join(rng.choice("0123456789") for _ in range(n))
-    return rng.choice([digits, digits[:4] + "-" + digits[4:6] + "-" + digits[6:8], digits[:3] + "." + digits[3:], digits[:2] + " " + digits[2:]])
+    """A number that is nothing personal: digit runs, and the shapes that dates, times, codes, versions and amounts are written in."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    to = lambda n: f"{rng.randrange(1, n + 1):02d}"
+    year, run = str(rng.randrange(1950, 2040)), d(rng.choice([6, 7, 8, 9, 10, 12, 14, 16, 20]))
+    shapes = [
+        *[run] * 3, f"{run[:3]}.{run[3:]}", f"{run[:2]} {run[2:]}",
+        f"{year}-{to(12)}-{to(28)}", f"{to(28)}.{to(12)}.{year}", f"{to(28)}-{to(12)}-{year}", f"{year}-{to(12)}-{to(28)} {to(23)}", f"{year} - {int(year) + 3}", f"{year} {year}", f"{year}{to(12)}{to(28)} {to(23)}{to(59)}",
+        f"{d(2)}-{d(2)}-{d(2)}", f"{d(2)}-{d(2)}-{d(2)}-{d(2)}", f"{d(2)}-{d(2)}-{d(2)} {d(8)}", f"{rng.choice(['978', '979'])}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(4)}-{d(4)}",
+        f"{rng.randrange(20)}.{rng.randrange(40)}.{rng.randrange(300)}.{rng.randrange(256, 9999)}", f"{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(9)}",
+        f"{rng.randrange(1, 999)}.{d(3)}.{d(3)}", f"{rng.randrange(1, 999)} {d(3)} {d(3)}", f"{rng.randrange(1, 99)}.{d(3)}.{d(3)}.{d(3)}", f"{rng.randrange(1, 999)} {d(3)}.{d(2)}", f"({year}) {d(3)}-{d(3)}", f"{d(3)}.{d(5)} {d(3)}.{d(5)}",
+    ]
+    return rng.choice(shapes)
 
 
 def examples_of(found: list[tuple[list[tuple[int, str]], list[str]]]) -> list[tuple[str, int, int, set]]:
@@ -350,7 +362,7 @@ def examples_of(found: list[tuple[list[tuple[int, str]], list[str]]]) -> list[tu
             for f in own:
                 out += _line([f], "")
             forms += [*own, ("", span, kind)]
-        for form in (_nothing(rng) for _ in range(2)):  # numbers that are nothing
+        for form in (_nothing(rng) for _ in range(4)):  # numbers that are nothing
             if not base_spans(form):
                 out += _line([("", form, None)], "")
     for left, form, kind in list(forms):  # side by side: the same kind again, another one, a number that is nothing
