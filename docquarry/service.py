@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import indexing, retrieval
 from .plans.schema import Settings
-from .sources import markdown, providers
+from .sources import folders, markdown, providers
 
 
 class BadRequest(ValueError):
@@ -61,7 +61,7 @@ class Engine:
         s = self.settings
         rest = (s.table_path, self.embedder, s.dims, self.language)
         if not markdown.is_local(s.docs_dir) or os.path.isdir(markdown.local_path(s.docs_dir)):
-            files = markdown.files_of(self.spark, s.docs_dir) if markdown.opens(s.docs_dir) else markdown.scan_markdown(self.spark, s.docs_dir)
+            files = folders.files_below(self.spark, s.docs_dir) if markdown.opens(s.docs_dir) else markdown.scan_markdown(self.spark, s.docs_dir)
             out = indexing.index_files(files, *rest)
         else:
             out = indexing.index_samples(self.spark, *rest)

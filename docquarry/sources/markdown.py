@@ -25,39 +25,6 @@ def local_path(root: str) -> str:
     return os.path.abspath(root.removeprefix("file://").removeprefix("file:") if root.startswith("file:") else root)
 
 
-def list_states(root: str) -> list[tuple[str, str, str]]:
-    """(path below root, path, size and time of change) of every regular file whose name ends in .md in any case; errors of the walk
-    are raised.
-
-    Names that begin with _ or . count too, which Spark's own listing would skip. root: local, or of a store that pyarrow opens.
-    """
-
-    def fail(error):
-        raise error
-
-    out = []
-    if not is_local(root):
-        store, base = pyarrow.fs.FileSystem.from_uri(root)
-        for info in store.get_file_info(pyarrow.fs.FileSelector(base, recursive=True)):
-            if info.is_file and info.path.lower().endswith(".md"):
-                name = info.path[len(base.rstrip("/")) + 1 :]
-                out.append((name, f"{root.rstrip('/')}/{name}", f"{info.size} {info.mtime_ns}"))
-        return sorted(out)
-    base = local_path(root)
-    for folder, _, names in os.walk(base, onerror=fail):
-        for name in names:
-            path = os.path.join(folder, name)
-            if name.lower().endswith(".md") and os.path.isfile(path):
-                found = os.stat(path)
-                out.append((os.path.relpath(path, base).replace(os.sep, "/"), path, f"{found.st_size} {found.st_mtime_ns}"))
-    return sorted(out)
-
-
-def list_markdown(root: str) -> list[tuple[str, str]]:
-    """The names and paths of list_states."""
-    return [(name, path) for name, path, _ in list_states(root)]
-
-
 def read(files: DataFrame) -> DataFrame:
     """file_path, raw (null if unreadable), error of file_path, path. Executors open the files one at a time."""
 
@@ -92,12 +59,6 @@ def opens(root: str) -> bool:
         return False
 
 
-def files_of(spark: SparkSession, root: str) -> DataFrame:
-    """file_path, path of the markdown files below a root that list_markdown can list; 16 files or more to a task."""
-    files = list_markdown(root)
-    return spark.createDataFrame(files, FILES).repartition(max(1, min(len(files) // 16 + 1, 10_000)))
-
-
 def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
     """file_path, raw (null if unreadable), error of the markdown files below a root that all executors see.
 
@@ -105,7 +66,9 @@ def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
     Spark's reader leaves out (names that begin with _ or ., or in such folders) come with an error, not silently.
     """
     if opens(root):
-        return read(files_of(spark, root))
+        from .folders import files_below
+
+        return read(files_below(spark, root))
     jvm = spark._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     store = base.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -1,56 +1,22 @@
 """An extension: files that arrive in a folder are indexed by the batch indexer, micro-batch by micro-batch.
 
-The source lists the folder as the batch scan does, hidden names included, and gives the paths of all its files whenever a
-name, size or time of change is another than before, wherever the folder is; the indexer's anti-join leaves the new ones, and only these are read. So a
-batch that is run again adds nothing, and stream and batch give a file the same path.
+The source lists the folder as the batch scan does, in tasks and hidden names included, and gives the paths of all its files whenever
+names have come, gone or changed; the indexer's anti-join leaves the new ones, and only these are read. So a batch that is run again
+adds nothing, and stream and batch give a file the same path.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..operators import indexing
-from ..sources import markdown
-
-
-class Arrivals(DataSource):
-    """Stream of (file_path, path) of the markdown files below the option `path`, a local folder or one that pyarrow lists."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "markdown_arrivals"
-
-    def schema(self) -> str:
-        return markdown.FILES
-
-    def simpleStreamReader(self, schema):
-        return _Listing(self.options["path"])
-
-
-class _Listing(SimpleDataSourceStreamReader):
-    def __init__(self, root: str):
-        self.root = root
-
-    def initialOffset(self) -> dict:
-        return {"files": 0, "state": ""}
-
-    def read(self, start: dict):
-        listed = markdown.list_states(self.root)
-        state = hashlib.sha256(repr([(name, state) for name, _, state in listed]).encode()).hexdigest() if listed else ""
-        now = {"files": len(listed), "state": state}
-        return iter([(name, path) for name, path, _ in listed] if now != start else []), now
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(markdown.list_markdown(self.root))
+from ..sources.folders import MarkdownFolder
 
 
 def watch(spark: SparkSession, folder: str, table: str, checkpoint: str, provider, language: str | None = "portuguese", **trigger):
     """Start a query that indexes *.md files under folder; trigger: e.g. availableNow=True."""
-    spark.dataSource.register(Arrivals)
-    source = spark.readStream.format("markdown_arrivals").option("path", folder).load()
+    spark.dataSource.register(MarkdownFolder)
+    source = spark.readStream.format("markdown_folder").option("path", folder).load()
 
     def batch(rows: DataFrame, _: int) -> None:
         indexing.index_files(rows.select("file_path", "path"), table, provider, language=language)

@@ -348,19 +348,3 @@ def test_env_file(tmp_path):
     path.write_text("# settings\nDOCS_DIR=/from/file # where\nexport EMBEDDING_DIMS='9'\nCHAT_MODEL=\"a b\"\nPORT=\nnonsense\n")
     assert schema.Settings.load({"DOCS_DIR": "/from/env", "CHAT_KEY": ""}, str(path)) == schema.Settings(docs_dir="/from/env", embedding_dims="9", chat_model="a b")
     assert schema.Settings.load({}, str(path)).docs_dir == "/from/file" and schema.Settings.load({}, str(tmp_path / "none")) == schema.Settings()
-
-
-def test_one_file_gone_and_one_come_is_a_change(tmp_path):
-    root = tmp_path / "d"
-    root.mkdir()
-    (root / "a.md").write_text("a")
-    os.utime(root / "a.md", (1_000, 1_000))
-    for given in (str(root), f"file://{root}"):
-        source = ingest._Listing(given)
-        files, first = source.read(source.initialOffset())
-        assert [f for f, _ in files] == sorted(p.name for p in root.iterdir())
-        assert list(source.read(first)[0]) == [] and source.read(first)[1] == first
-        old = next(root.iterdir())
-        old.rename(root / f"{old.stem}2.md")  # the same number of files, the same newest time
-        files, second = source.read(first)
-        assert second != first and len(list(files)) == 1
