@@ -193,7 +193,12 @@ class _Arrivals(DataSourceStreamReader):
         return Tree(self.root).batches(partition)
 
 
+def absolute(root: str) -> str:
+    """A root that means the same folder in every process."""
+    return local_path(root) if is_local(root) else root
+
+
 def files_below(spark: SparkSession, root: str) -> DataFrame:
     """file_path, path of the markdown files below a root that pyarrow lists; listed by tasks."""
     spark.dataSource.register(MarkdownFolder)
-    return spark.read.format("markdown_folder").option("path", root).option("tasks", 2 * spark.sparkContext.defaultParallelism).load()
+    return spark.read.format("markdown_folder").option("path", absolute(root)).option("tasks", 2 * spark.sparkContext.defaultParallelism).load()

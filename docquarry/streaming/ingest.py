@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import indexing
-from ..sources.folders import MarkdownFolder
+from ..sources.folders import MarkdownFolder, absolute
 
 
 def watch(spark: SparkSession, folder: str, table: str, checkpoint: str, provider, language: str | None = "portuguese", **trigger):
     """Start a query that indexes *.md files under folder; trigger: e.g. availableNow=True."""
     spark.dataSource.register(MarkdownFolder)
-    source = spark.readStream.format("markdown_folder").option("path", folder).load()
+    source = spark.readStream.format("markdown_folder").option("path", absolute(folder)).load()
 
     def batch(rows: DataFrame, _: int) -> None:
         indexing.index_files(rows.select("file_path", "path"), table, provider, language=language)
