@@ -118,11 +118,14 @@ def stem_portuguese(word: str) -> str:
     return done.replace("a~", "ã").replace("o~", "õ")
 
 
+_LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+
+
 @arrow_udf(ArrayType(StringType()))
 def _stems(words: pa.Array) -> pa.Array:
-    """Each distinct word of a batch is stemmed once."""
+    """Each distinct word of a batch is stemmed once; what is not of letters (and hyphens) stays."""
     flat = words.flatten().dictionary_encode()
-    stems = pa.array([stem_portuguese(w) for w in flat.dictionary.to_pylist()], pa.string())
+    stems = pa.array([stem_portuguese(w) if _LETTERS.fullmatch(w) else w for w in flat.dictionary.to_pylist()], pa.string())
     sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
     ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
     return pa.ListArray.from_arrays(ends, stems.take(flat.indices), mask=words.is_null())
@@ -139,13 +142,56 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)
 
 
-def lexemes(text: Column, language: str | None = None, wanted: list[str] | None = None) -> Column:
-    """What full-text search matches: words, for Portuguese without stopwords and stemmed.
+_ALNUM = r"[\p{L}\p{Nd}]"
+_HOST = rf"(?:{_ALNUM}(?:[\p{{L}}\p{{Nd}}_-]{{0,62}})\.){{1,10}}\p{{L}}{{2,63}}+(?![\p{{L}}\p{{Nd}}_@]|\.{_ALNUM})"
+_PATH = r"/[!-~&&[^\"<>\\^`{|}]]*+"
+
+#: The tokens of a text, in the order in which they are tried at a place.
+TOKENS = {
+    "tag": r"</?\p{L}[^<>]{0,1000}+>",
+    "entity": r"&(?:[a-z][a-z0-9]{0,31}+|#[0-9]{1,7}+|#x[0-9a-f]{1,6}+);",
+    "protocol": r"[a-z][a-z0-9]{0,15}+://",
+    "email": rf"{_ALNUM}[\p{{L}}\p{{Nd}}._+-]{{0,63}}+@{_HOST}",
+    "url": rf"{_HOST}(?::[0-9]{{1,5}}+)?(?:{_PATH})?",
+    "file": rf"(?:{_ALNUM}[\p{{L}}\p{{Nd}}_.-]{{0,63}}+|[~.]{{0,2}}+)(?:/[\p{{L}}\p{{Nd}}_.~-]++)++/?",
+    "science": r"[-+]?[0-9]++(?:\.[0-9]++)?e[-+]?[0-9]++(?![\p{L}\p{Nd}])",
+    "version": r"[0-9]++(?:\.[0-9]++){2,}+(?!\p{L})",
+    "decimal": r"[-+]?[0-9]++\.[0-9]++(?!\p{L})",
+    "compound": rf"\p{{L}}[\p{{L}}\p{{Nd}}]*+(?:-{_ALNUM}++)++",
+    "whole": r"[-+][0-9]++(?!\p{L})",
+    "word": rf"{_ALNUM}++",
+}
+
+
+def tokens(text: Column) -> Column:
+    """What a text search sees in a lower-cased text: words, words with digits, numbers, versions, hosts, addresses and paths as
+    they stand; a URL also by its host and by its path, a hyphenated compound also by its parts; tags, entities and protocols not."""
+    low = F.lower(text)
+    raw = F.regexp_extract_all(low, F.lit("|".join(f"(?:{p})" for p in TOKENS.values())), 0)
+    is_a = lambda t, *kinds: t.rlike("|".join(rf"\A(?:{TOKENS[k]})\z" for k in kinds))
+
+    def parts(t: Column) -> Column:
+        host = F.regexp_extract(t, "^[^/:]+", 0)
+        path = F.regexp_extract(t, "/.*$", 0)
+        return (
+            F.when(is_a(t, "tag", "entity", "protocol"), F.array().cast("array<string>"))
+            .when(t.contains("@"), F.array(t))
+            .when(is_a(t, "url"), F.when(path != "", F.array(t, host, path)).otherwise(F.when(t.contains(":"), F.array(t, host)).otherwise(F.array(t))))
+            .when(is_a(t, "compound"), F.concat(F.array(t), F.split(t, "-")))
+            .otherwise(F.array(t))
+        )
+
+    # plain words, by far the most, need no look at what they are
+    return F.flatten(F.transform(raw, lambda t: F.when(t.rlike(r"\A[\p{L}\p{Nd}]+\z"), F.array(t)).otherwise(parts(t))))
+
+
+def lexemes(text: Column, language: str | None = None, wanted: list[str] | None = None, whole: bool = False) -> Column:
+    """What full-text search matches: words, for Portuguese without stopwords and stemmed. whole: all tokens, not runs of letters alone.
 
     With wanted only words are kept (and stemmed) that can have one of these as a lexeme: stemming leaves the first two
     letters as they are, but for a final c with cedilla.
     """
-    found = words(text)
+    found = tokens(text) if whole else words(text)
     if wanted is not None:
         heads = sorted({w[:2].replace("ç", "c") for w in wanted})
         found = F.filter(found, lambda w: F.translate(F.substring(w, 1, 2), "ç", "c").isin(heads))

@@ -130,9 +130,9 @@ def embed_once(chunks: DataFrame, provider, folder: str, model: str) -> DataFram
     return rows.join(read(), "digest", "left").drop("digest", "embed_text")
 
 
-def with_lexemes(chunks: DataFrame, language: str | None) -> DataFrame:
+def with_lexemes(chunks: DataFrame, language: str | None, whole: bool = False) -> DataFrame:
     """chunks with what full-text search matches, so that a search neither lexes nor stems them again."""
-    return chunks.withColumn("lexemes", lexing.lexemes(F.col("content"), language=language))
+    return chunks.withColumn("lexemes", lexing.lexemes(F.col("content"), language=language, whole=whole))
 
 
 def new_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -169,13 +169,13 @@ class BadVectors(ValueError):
     """Vectors whose length is not that of the table."""
 
 
-def _append(chunks: DataFrame, path: str, provider, dims: int | None, language: str | None) -> tuple[int, int]:
+def _append(chunks: DataFrame, path: str, provider, dims: int | None, language: str | None, whole: bool = False) -> tuple[int, int]:
     """Number, embed and append chunks; (rows appended or there already, rows whose embedding failed)."""
     spark = chunks.sparkSession
     last = read_table(spark, path).agg(F.max("id")).first()[0]
     placed, numbered = with_ids(chunks, 0 if last is None else last + 1)
     vectors = embed_once(numbered, provider, f"{path.rstrip('/')}/_vectors", model_name(provider))
-    made = storage.store(with_lexemes(vectors, language), "embedded")
+    made = storage.store(with_lexemes(vectors, language, whole), "embedded")
     storage.drop(placed)
     size = F.size("embedding")
     found = made.agg(F.count("embedding").alias("n"), F.count("*").alias("all"), F.min(F.when(F.col("embedding").isNotNull(), size)).alias("low"), F.max(size).alias("high")).first()
@@ -190,7 +190,7 @@ def _append(chunks: DataFrame, path: str, provider, dims: int | None, language:
     return found.n, found["all"] - found.n
 
 
-def index_files(files: DataFrame, path: str, provider, dims: int | None = None, language: str | None = "portuguese") -> dict[str, int]:
+def index_files(files: DataFrame, path: str, provider, dims: int | None = None, language: str | None = "portuguese", whole: bool = False) -> dict[str, int]:
     """Index the files that the table at path does not know; done again, it adds nothing.
 
     files: file_path, path (to be read here, if new) or file_path, raw, error. Result: indexed chunks; failed_files that could
@@ -198,10 +198,10 @@ def index_files(files: DataFrame, path: str, provider, dims: int | None = None,
     short) and skipped, their sum. One run at a time writes to a table; ledger.Busy for a second one.
     """
     with ledger.writing(files.sparkSession, path):
-        return _index_files(files, path, provider, dims, language)
+        return _index_files(files, path, provider, dims, language, whole)
 
 
-def _index_files(files: DataFrame, path: str, provider, dims: int | None, language: str | None) -> dict[str, int]:
+def _index_files(files: DataFrame, path: str, provider, dims: int | None, language: str | None, whole: bool) -> dict[str, int]:
     existing = read_table(files.sparkSession, path)
     fresh = not_indexed(files, existing)
     fresh = fresh if "raw" in files.columns else markdown.read(fresh)
@@ -209,15 +209,15 @@ def _index_files(files: DataFrame, path: str, provider, dims: int | None, langua
     short = F.size(F.filter("chunks", lambda x: F.octet_length(x) < T.MIN_CHUNK))
     total = ready.agg(F.count("error").alias("failed"), F.coalesce(F.sum((F.size("chunks") > 0).cast("int")), F.lit(0)).alias("used"), F.coalesce(F.sum(short), F.lit(0)).alias("short")).first()
     n_files = files.count()
-    indexed, lost = _append(numbered_chunks(ready), path, provider, dims, language)
+    indexed, lost = _append(numbered_chunks(ready), path, provider, dims, language, whole)
     storage.drop(ready)
     skipped = n_files - total.failed - total.used
     return {"indexed": indexed, "failed_files": total.failed, "failed_chunks": lost, "failed": total.failed + lost, "skipped_files": skipped, "skipped_chunks": total.short, "skipped": skipped + total.short}
 
 
-def index_samples(spark: SparkSession, path: str, provider, dims: int | None = None, language: str | None = "portuguese") -> dict[str, int]:
+def index_samples(spark: SparkSession, path: str, provider, dims: int | None = None, language: str | None = "portuguese", whole: bool = False) -> dict[str, int]:
     with ledger.writing(spark, path):
-        indexed, lost = _append(markdown.sample_chunks(spark), path, provider, dims, language)
+        indexed, lost = _append(markdown.sample_chunks(spark), path, provider, dims, language, whole)
     return {"indexed": indexed, "failed_files": 0, "failed_chunks": lost, "failed": lost, "skipped_files": 0, "skipped_chunks": 0, "skipped": 0}
 
 

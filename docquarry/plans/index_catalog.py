@@ -131,6 +131,15 @@ def stats_kept(spark, sf_dir):
     return spark.createDataFrame([known], "total_chunks long, total_files long")
 
 
+@query(r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^#]*)', 1)) AS u FROM pages),
+p AS (SELECT page_id, u, regexp_extract(u, '^[^/]+') AS host, regexp_extract(u, '/.*$') AS path FROM u)
+SELECT page_id, array_to_string(CASE WHEN path <> '' THEN [u, host, path] ELSE [u] END, ' ') AS lexemes FROM p WHERE host <> ''""")
+def url_lexemes(spark, sf_dir):
+    """The tokens of addresses: whole, by host and by path."""
+    rows = views.paths(spark, sf_dir).select("page_id", F.regexp_extract("url", "^[^#]*", 0).alias("url"))
+    return rows.select("page_id", F.array_join(lexing.tokens(F.col("url")), " ").alias("lexemes"))
+
+
 #: A hundred vectors are searched for.
 _ASKED = """v1 AS (
   SELECT doc_id AS id, source AS file_path, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS chunk_index,

@@ -64,6 +64,7 @@ class Settings:
     embedding_model `hashing` is the offline embedder, any other name a model of model_host. chat_backend `offline` is the
     extractive chat, `none` no chat, `remote` the service at remote_url with chat_key, anything else model_host. distances is `native`, or `blocks`
     for the kernel that suits large tables of wide vectors. search is `scan`, or `index` for a table whose indexes are kept up and used.
+    tokens is `words` (runs of letters), or `all` for numbers, hosts, addresses, paths and compounds too, as a database's text search has them.
     bind is the address that the server listens on.
     """
 
@@ -79,6 +80,7 @@ class Settings:
     language: str = "portuguese"
     distances: str = "native"
     search: str = "scan"
+    tokens: str = "words"
     bind: str = "127.0.0.1"
     port: str = "8080"
 

@@ -59,7 +59,7 @@ class Engine:
     def index(self) -> dict[str, int]:
         """Index the folder of the settings, or the samples if there is none; the run's counters."""
         s = self.settings
-        rest = (s.table_path, self.embedder, s.dims, self.language)
+        rest = (s.table_path, self.embedder, s.dims, self.language, s.tokens == "all")
         if not markdown.is_local(s.docs_dir) or os.path.isdir(markdown.local_path(s.docs_dir)):
             files = folders.files_below(self.spark, s.docs_dir) if markdown.opens(s.docs_dir) else markdown.scan_markdown(self.spark, s.docs_dir)
             out = indexing.index_files(files, *rest)

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -81,3 +82,41 @@ def test_term_columns(spark):
     assert column(spark, lexing.tech_term_column, *values) == ["o_x", "", "A_1", ""]
     assert column(spark, lexing.fts_terms_column, *values) == [" | ".join(lexing.fts_terms(v)) for v in values]
     assert re.match("o_x", lexing.tech_term(values[0]))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Uma palavra, duas", ["uma", "palavra", "duas"]),
+        ("foo-bar-beta1", ["foo-bar-beta1", "foo", "bar", "beta1"]),
+        ("guarda-chuva e well-known-", ["guarda-chuva", "guarda", "chuva", "e", "well-known", "well", "known"]),
+        ("http://Example.com/stuff/index.html?a=1", ["example.com/stuff/index.html?a=1", "example.com", "/stuff/index.html?a=1"]),
+        ("see www.example.com. End", ["see", "www.example.com", "end"]),
+        ("host.example.org:8080/x", ["host.example.org:8080/x", "host.example.org", "/x"]),
+        ("ann.lee+x@mail.example.org!", ["ann.lee+x@mail.example.org"]),
+        ("1.2.3 of 10.20.30 and 3.14 or -12 and +7 and 6.02e23", ["1.2.3", "of", "10.20.30", "and", "3.14", "or", "-12", "and", "+7", "and", "6.02e23"]),
+        ("a <b class='x'>bold</b> &amp; &#160; t", ["a", "bold", "t"]),
+        ("/usr/local/foo.txt and/or ~/x", ["/usr/local/foo.txt", "and/or", "~/x"]),
+        ("2024-01-05", ["2024", "-01", "-05"]),
+        ("snake_case R2D2 7z ação", ["snake", "case", "r2d2", "7z", "ação"]),
+        ("", []),
+        ("... --- !!", []),
+    ],
+)
+def test_tokens(spark, text, want):
+    rows = spark.createDataFrame([(text,)], "t string")
+    assert rows.select(lexing.tokens(F.col("t")).alias("x")).first().x == want
+
+
+def test_tokens_of_long_runs_are_linear(spark):
+    rows = spark.createDataFrame([("a." * 60_000,), ("x-" * 60_000,), ("1." * 60_000,), ("a" * 200_000 + "@",), ("<" * 100_000,)], "t string")
+    began = time.time()
+    rows.select(F.size(lexing.tokens(F.col("t"))).alias("n")).collect()
+    assert time.time() - began < 30
+
+
+def test_lexemes_of_all_tokens(spark):
+    rows = spark.createDataFrame([("Consultas em www.exemplo.com/ajuda e guarda-chuvas 2.5",)], "t string")
+    got = rows.select(lexing.lexemes(F.col("t"), "portuguese", whole=True).alias("x")).first().x
+    stem = lexing.stem_portuguese
+    assert got == [stem("consultas"), "www.exemplo.com/ajuda", "www.exemplo.com", "/ajuda", stem("guarda-chuvas"), stem("guarda"), stem("chuvas"), "2.5"]
