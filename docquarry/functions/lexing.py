@@ -224,12 +224,13 @@ def query_lexemes(query: str, language: str | None = None) -> list[str]:
 
 
 def fts_terms_column(query: Column) -> Column:
-    """fts_terms of a column, joined with ' | '. The first of each spelling is found by sorting, so long texts do no harm."""
-    found = F.regexp_extract_all(query, F.lit(r"\p{L}{4,}"), 0)
-    placed = F.array_sort(F.transform(found, lambda w, i: F.struct(F.lower(w).alias("low"), i.alias("at"), w.alias("word"))))
+    """fts_terms of a column, joined with ' | '. Words spelt alike go first (by hashing); of the rest the first of each is found by
+    sorting, so long texts do no harm."""
+    found = F.array_distinct(F.regexp_extract_all(query, F.lit(r"\p{L}{4,}"), 0))
+    placed = F.sort_array(F.transform(found, lambda w, i: F.struct(F.lower(w).alias("low"), i.alias("at"), w.alias("word"))))
     pick = lambda ws: F.filter(ws, lambda w, i: (i == 0) | (F.get(ws, i - 1)["low"] != w["low"]))
     first = F.transform(F.array(placed), pick).getItem(0)
-    ordered = F.array_sort(F.transform(first, lambda w: F.struct(w["at"].alias("at"), w["word"].alias("word"))))
+    ordered = F.sort_array(F.transform(first, lambda w: F.struct(w["at"].alias("at"), w["word"].alias("word"))))
     return F.array_join(F.transform(ordered, lambda w: w["word"]), " | ")
 
 

@@ -44,7 +44,7 @@ def counted(words: Column) -> Column:
         return _let(starts, lambda s: F.transform(s, lambda x, k: F.struct(F.get(w, x).alias("key"), (F.coalesce(F.get(s, k + 1), F.size(w)) - x).alias("hits"))))
 
     none = F.array().cast("array<struct<key:string,hits:int>>")
-    return F.when(F.size(words) > 0, _let(F.array_sort(words), runs)).otherwise(none)
+    return F.when(F.size(words) > 0, _let(F.sort_array(words), runs)).otherwise(none)
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:

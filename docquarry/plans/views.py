@@ -30,7 +30,7 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _STORED:
         _STORED[key] = storage.new_folder(spark, "chunk-table")
         rows = vector_chunks(spark, sf_dir).withColumn("lexemes", lexing.lexemes(F.col("content")))
-        rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(_STORED[key])
+        rows.sortWithinPartitions("id").write.parquet(_STORED[key])
     return spark.read.schema(CHUNKS).parquet(_STORED[key])
 
 
