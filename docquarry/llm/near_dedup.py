@@ -1,7 +1,9 @@
 """Operator 4: near duplicates by 64-bit SimHash and bit-sliced comparison.
 
-Fingerprints are compared once for each distinct value. Six blocks of bits make fifteen tables keyed by two blocks: two
-fingerprints that differ in at most four bits agree in two whole blocks, so they meet in a table. Within a table's bucket
+Fingerprints are compared once for each distinct value. Of RADIUS + m blocks of bits, every m make a table that is keyed by them: two
+fingerprints that differ in at most RADIUS bits agree in m whole blocks, so they meet in a table. m is two (fifteen tables, keys of
+20 to 22 bits) until there are so many fingerprints that longer keys in more tables are less work (`blocks_for`); the links
+are the same with any m. Within a table's bucket
 the bit planes are stored vertically, 64 fingerprints to a word; shifting the planes compares every fingerprint with
 those a fixed number of places on, carry-save counters add up differing bits for many words at once, and words in which
 all exceed the radius are dropped as soon as they do.
@@ -16,6 +18,9 @@ null if there is none. Extra columns are ignored. No rows: no result.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,7 +30,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 RADIUS = 4
-WIDTHS = (11, 11, 11, 11, 10, 10)
+MATCHED = (2, 3, 4, 5)
+SENT = 1000  # comparisons that cost as much as sending a fingerprint to a table
 CELL = 4096
 SHINGLE = 4
 
@@ -198,17 +204,27 @@ def forest(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> list[tu
     return out
 
 
-def _buckets() -> Column:
-    """The fifteen (table, key) of a fingerprint, each as one long."""
-    at, blocks = 0, []
-    for w in WIDTHS:
-        blocks.append(F.shiftrightunsigned(F.col("fp"), at).bitwiseAND(F.lit((1 << w) - 1).cast("long")))
-        at += w
-    pairs = [(i, j) for i in range(len(WIDTHS)) for j in range(i + 1, len(WIDTHS))]
-    return F.array(*[F.lit(t << 32).cast("long") + blocks[i] * (1 << 11) + blocks[j] for t, (i, j) in enumerate(pairs)])
+def blocks_for(count: int) -> int:
+    """How many blocks to match, for the least work on `count` distinct fingerprints."""
+    return min(MATCHED, key=lambda m: math.comb(RADIUS + m, m) * (SENT + count / 2 ** (64 * m // (RADIUS + m))))
+
+
+def _buckets(matched: int) -> Column:
+    """The (table, key) of a fingerprint for each choice of `matched` blocks, each as one long."""
+    total = RADIUS + matched
+    borders = [64 * k // total for k in range(total + 1)]
+    blocks = [F.shiftrightunsigned(F.col("fp"), a).bitwiseAND(F.lit((1 << b - a) - 1).cast("long")) for a, b in zip(borders, borders[1:], strict=False)]
+    width = max(b - a for a, b in zip(borders, borders[1:], strict=False))
+    keys = []
+    for t, chosen in enumerate(itertools.combinations(range(total), matched)):
+        key = F.lit(t).cast("long")
+        for k in chosen:
+            key = F.shiftleft(key, width).bitwiseOR(blocks[k])
+        keys.append(key)
+    return F.array(*keys)
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, matched: int = MATCHED[0]) -> DataFrame:
     """a, b: fingerprints that are linked, enough of them to connect all that are. distinct: column fp without repeats."""
 
     def compare(batches):
@@ -234,7 +250,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 fps, cell, held = [f[cut:]], [c[cut:]], len(f) - cut
         yield flush(np.concatenate(fps), np.concatenate(cell))
 
-    rows = distinct.select("fp", F.explode(_buckets()).alias("bucket"))
+    rows = distinct.select("fp", F.explode(_buckets(matched)).alias("bucket"))
     large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     large = large.select("bucket", F.ceil(F.col("n") / CELL).cast("long").alias("salts"))
     dealt = rows.join(large, "bucket", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))))
@@ -247,7 +263,8 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, fp) of every row, and fp -> node (a name of its component) for all fingerprints."""
     prints = shared.store(add_fingerprints(docs), "fingerprints")
     distinct = prints.select("fp").distinct()
-    linked = shared.components(links(distinct), "near")
+    count = prints.agg(F.approx_count_distinct("fp")).first()[0]  # it decides how, not what
+    linked = shared.components(links(distinct, blocks_for(count)), "near")
     named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
     return prints, named.select("fp", F.coalesce("component", "fp").alias("node"))
 

@@ -99,6 +99,34 @@ def test_bit_sliced_pairs_equal_popcount(n):
     assert got == want
 
 
+@pytest.mark.parametrize("matched", near_dedup.MATCHED)
+def test_tables_of_more_blocks_give_the_same_components(spark, monkeypatch, matched):
+    monkeypatch.setattr(near_dedup, "blocks_for", lambda count: matched)
+    rng = np.random.default_rng(matched)
+    base = rng.integers(0, 1 << 63, 40, np.uint64)
+    fps = {int(b) for b in base}
+    for b in base.tolist():
+        for k in range(3, 7):  # at the radius and beyond it
+            for bit in rng.choice(64, k, replace=False).tolist():
+                b ^= 1 << bit
+            fps.add(b)
+    fps = sorted(np.array(sorted(fps), np.uint64).view(np.int64).tolist())
+    root = {f: f for f in fps}
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if bin((a ^ b) & (1 << 64) - 1).count("1") <= near_dedup.RADIUS:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {f: new if r == old else r for f, r in root.items()}
+    rows = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(3)
+    got = {r.node: r.component for r in shared.components(near_dedup.links(rows, matched)).collect()}
+    assert {f: got.get(f, f) for f in fps} == root
+
+
+def test_number_of_blocks_grows_with_the_fingerprints():
+    chosen = [near_dedup.blocks_for(10**k) for k in range(0, 15)]
+    assert chosen == sorted(chosen) and chosen[6] == 2 and chosen[-1] > 3
+
+
 def test_large_buckets_are_dealt_into_cells(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "CELL", 7)
     docs = awkward(spark, near_copies())
