@@ -221,6 +221,10 @@ def index_samples(spark: SparkSession, path: str, provider, dims: int | None = N
     return {"indexed": indexed, "failed_files": 0, "failed_chunks": lost, "failed": lost, "skipped_files": 0, "skipped_chunks": 0, "skipped": 0}
 
 
+#: Additions to an index after which they are brought together.
+MOST_PARTS = 16
+
+
 class Indexes:
     """The indexes beside a chunk table, in its folder `_index`; update() brings them up to the table."""
 
@@ -233,6 +237,13 @@ class Indexes:
         chunks = read_table(self.spark, self.path)
         for index in (self.text, self.trigrams, self.vectors):
             index.update(chunks)
+            if len(index.parts.entries()) > MOST_PARTS:
+                index.compact()
+
+    def forget(self) -> None:
+        """Delete the files that compaction has replaced; for when no search of before is running any more."""
+        for index in (self.text, self.trigrams, self.vectors):
+            index.parts.forget()
 
     def hybrid_search(self, query, text_query: str, limit: int = 5, language: str | None = None) -> DataFrame:
         """retrieval.hybrid_search through the indexes: the same rows."""

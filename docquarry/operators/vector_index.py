@@ -99,13 +99,23 @@ class VectorIndex:
         made = storage.store(self._assigned(new), "assigned")
         facts = made.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect()  # a row for each cell
         size = {r.cell: (r.n, r.near) for r in facts}
-        splits = self.spark.createDataFrame([(c, -(-n // CELL)) for c, (n, _) in size.items()], "cell int, splits int")
-        dealt = made.join(F.broadcast(splits), "cell").withColumn("split", F.pmod(F.xxhash64("id"), "splits"))
-        rows = dealt.repartition("cell", "split").sortWithinPartitions("cell", "id").select(*[c.split()[0] for c in ENTRY.split(", ")])
-        self.parts.add(rows, last + 1, "cell", cells=size)
+        self.parts.add(self._dealt(made, size), last + 1, "cell", cells=size)
         storage.drop(made)
         return sum(n for n, _ in size.values())
 
+    def _dealt(self, rows: DataFrame, size: dict[int, tuple[int, float]]) -> DataFrame:
+        """Entries by cell and id, a large cell's in several tasks."""
+        splits = self.spark.createDataFrame([(c, -(-n // CELL)) for c, (n, _) in size.items()], "cell int, splits int")
+        dealt = rows.join(F.broadcast(splits), "cell").withColumn("split", F.pmod(F.xxhash64("id"), "splits"))
+        return dealt.repartition("cell", "split").sortWithinPartitions("cell", "id").select(*[c.split()[0] for c in ENTRY.split(", ")])
+
+    def compact(self) -> None:
+        """Bring what has been added at different times together, cell by cell."""
+        rows = self.parts.read(ENTRY)
+        if rows is not None and len(self.parts.entries()) > 1:
+            size = {cell: (n, near) for cell, n, near in self.cells()}
+            self.parts.add(self._dealt(rows, size), self.parts.high(), "cell", cells=size, replaces=True)
+
     def _assigned(self, chunks: DataFrame) -> DataFrame:
         centres = self.centres()
 

@@ -10,6 +10,7 @@ from ..operators import batch, indexing, retrieval
 from ..operators.clustered import ClusteredTable
 from ..operators.postings import TextIndex, TrigramIndex
 from ..operators.vector_index import VectorIndex
+from ..sources import markdown, providers
 from . import catalog, ledger, storage, views
 from .catalog import TERMS
 from .views import V1
@@ -131,6 +132,37 @@ def stats_kept(spark, sf_dir):
     return spark.createDataFrame([known], "total_chunks long, total_files long")
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as files, of which some are blank and some cannot be read."""
+    k = F.col("doc_id") % 50
+    text = F.when(k == 1, " \n").when(k != 2, F.col("text")).cast("binary")
+    name = F.concat(F.lit("d/doc-"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md"))
+    return views.raw_texts(spark, sf_dir).select(name.alias("file_path"), text.alias("raw"), F.when(k == 2, "gone").alias("error"))
+
+
+_READ = "g AS (SELECT doc_id, CASE WHEN doc_id % 50 = 1 THEN ' ' || chr(10) ELSE text END AS text FROM documents WHERE doc_id % 50 <> 2)"
+
+
+@query(f"""WITH {_READ}, b AS (SELECT * FROM g WHERE regexp_replace(text, '{catalog._WS}+', '', 'g') <> ''), {catalog._clean_sql('b')},
+e AS (SELECT doc_id, {catalog._TRIM} AS text FROM s), {catalog._kept_sql('e', 'doc_id')},
+n AS (SELECT f.doc_id, len(f.s.ch) + CASE WHEN len(f.s.cur) > 0 THEN 1 ELSE 0 END AS made, len(c.kept) AS kept FROM f JOIN c USING (doc_id)),
+t AS (SELECT coalesce(sum(kept), 0) AS indexed, coalesce(sum(made - kept), 0) AS short, count(*) AS used FROM n),
+x AS (SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 50 = 2) AS gone FROM documents)
+SELECT CAST(indexed AS BIGINT) AS indexed, gone AS failed_files, CAST(0 AS BIGINT) AS failed_chunks, gone AS failed, n - gone - used AS skipped_files, CAST(short AS BIGINT) AS skipped_chunks, CAST(n - gone - used + short AS BIGINT) AS skipped FROM t, x""")
+def index_counters(spark, sf_dir):
+    """What an index run over the texts as files counts."""
+    got = indexing.index_files(_files(spark, sf_dir), storage.new_folder(spark, "counted-run"), providers.HashingEmbedder(16), 16)
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} long" for k in got))
+
+
+@query(f"""WITH {_READ}, {catalog._clean_sql('g')}, e AS (SELECT doc_id, {catalog._TRIM} AS text FROM s), {catalog._kept_sql('e', 'doc_id')},
+r AS (SELECT doc_id, CAST(unnest(generate_series(0, len(kept) - 1)) AS INTEGER) AS chunk_index, unnest(kept) AS content FROM c)
+SELECT 'd/doc-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS file_path, chunk_index, 'doc ' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || chr(10) || content AS embed_text FROM r""")
+def embed_texts(spark, sf_dir):
+    """What stands for each chunk of the readable texts when it is embedded: the file's title and the chunk."""
+    return indexing.split_chunks(markdown.texts(_files(spark, sf_dir))).select("file_path", "chunk_index", "embed_text")
+
+
 @query(r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^#]*)', 1)) AS u FROM pages),
 p AS (SELECT page_id, u, regexp_extract(u, '^[^/]+') AS host, regexp_extract(u, '/.*$') AS path FROM u)
 SELECT page_id, array_to_string(CASE WHEN path <> '' THEN [u, host, path] ELSE [u] END, ' ') AS lexemes FROM p WHERE host <> ''""")

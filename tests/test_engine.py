@@ -244,7 +244,7 @@ def test_plans(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src3)]" in plan(pushed)
 
 
-def test_searches_through_indexes_equal_scans(spark, docs, tmp_path):
+def test_searches_through_indexes_equal_scans(spark, docs, tmp_path, monkeypatch):
     settings = schema.Settings(docs_dir=str(docs), table_path=str(tmp_path / "chunks"), embedding_dims="32", search="index")
     engine = Engine(spark, settings)
     engine.index()
@@ -257,6 +257,16 @@ def test_searches_through_indexes_equal_scans(spark, docs, tmp_path):
         settings.search = "index"
         (docs / f"more{round_}.md").write_text("\n".join(f"## mais {i}\n" + LINE * 15 for i in range(3)))
         assert engine.index()["indexed"] > 0
+    monkeypatch.setattr(indexing, "MOST_PARTS", 1)
+    engine.indexes.update()  # nothing is new; what was added in three runs is brought together
+    for index in (engine.indexes.text, engine.indexes.trigrams, engine.indexes.vectors):
+        assert len(index.parts.entries()) == 1
+    engine.indexes.forget()
+    for query in ("palavras UNIT_ID", "um no de"):
+        found = engine.search(query, 3)
+        settings.search = "scan"
+        assert engine.search(query, 3) == found, query
+        settings.search = "index"
     chunks = engine.chunks.count()
     assert engine.indexes.text.parts.high() == engine.indexes.vectors.parts.high() == chunks
     assert schema.repeated_keys(engine.chunks).count() == 0
