@@ -7,8 +7,9 @@ are the seeds: the pairs of all items are counted over the whole corpus first, t
 which such an alignment through it must lie (it has at most (1 - threshold) x m words that are not the item's). Passages with
 fewer than h of the item's pairs are left out, the others are aligned. So nothing that reaches the threshold is lost.
 
-Items are the stated query set; they are taken in blocks of at most BLOCK items and about BLOCK_CHARS letters, so what a task
-is sent is bounded. A block costs two passes over the texts: one that counts, one that finds.
+Items are the stated query set; they are taken in blocks of at most BLOCK items and about BLOCK_CHARS letters, of which a task holds
+one at a time. Two passes over the texts serve all blocks, one that counts and one that finds: a task reads a few megabytes of
+texts and takes the blocks in turn. Blocks are broadcast variables, which executors keep on disk where memory is short.
 
 Defined cases: words are runs of letters and digits, without case. A null or empty text holds nothing; so does an item
 without words. An item of one word is its own seed, one of two counts only whole. Rows that share doc_id and text give one result; rows without doc_id are
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -176,69 +176,95 @@ def aligned(items: Items, rows: list[tuple[int, int, int, np.ndarray]]):
 FOUND = "doc_id long, mark long, item_id long, score double, first_word long, end_word long"
 
 
-def _counted(rows: DataFrame, sent) -> np.ndarray:
-    """How often each pair of the block's items occurs in the corpus; the driver holds a number for each pair."""
+def _each(blocks: list):
+    """The number and items of each block; of several only one is held."""
+    for k, sent in enumerate(blocks):
+        yield k, sent.value
+        if len(blocks) > 1:
+            del sent._value
+
+
+def _counted(rows: DataFrame, blocks: list) -> DataFrame:
+    """block, gram, n: how often each pair of a block's items occurs in the corpus."""
 
     def count(batches):
         shared.make_room()
-        items = sent.value
-        number, total = items.vocabulary.get, np.zeros(len(items.keys), np.int64)
+        totals: dict[int, np.ndarray] = {}
+
+        def given():
+            for k, total in totals.items():
+                there = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), k, np.int32)), pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["block", "gram", "n"])
+            totals.clear()
+
         for batch in shared.pieces_of(batches):
-            for text in batch.column("text").to_pylist():
-                grams = items.grams(np.array([number(w, 0) for w in words_of(text)], np.int32))
-                np.add.at(total, grams[grams >= 0], 1)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["gram", "n"])
+            texts = batch.column("text").to_pylist()
+            for k, items in _each(blocks):
+                number, total = items.vocabulary.get, totals.setdefault(k, np.zeros(len(items.keys), np.int64))
+                for text in texts:
+                    grams = items.grams(np.array([number(w, 0) for w in words_of(text)], np.int32))
+                    np.add.at(total, grams[grams >= 0], 1)
+                if len(blocks) > 1:
+                    yield from given()
+        yield from given()
 
-    counts = np.zeros(len(sent.value.keys), np.int64)
-    for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        counts[r.gram] = r.n
-    return counts
+    return rows.select("text").mapInArrow(count, "block int, gram long, n long").groupBy("block", "gram").agg(F.sum("n").alias("n"))
 
 
-def _block(docs: DataFrame, block: list[tuple[int, str | None]], threshold: float) -> DataFrame:
-    spark = docs.sparkSession
-    rows = shared.id_text(docs).withColumn("mark", F.xxhash64("text"))
-    items = Items(block, threshold)
-    unsorted = spark.sparkContext.broadcast(items)
-    items.rarest(_counted(rows, unsorted))
-    sent = spark.sparkContext.broadcast(items)
+def _found(rows: DataFrame, blocks: list) -> DataFrame:
+    """FOUND of the passages that reach the threshold, by blocks whose seeds are chosen."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
     def find(batches):
         shared.make_room()
-        items = sent.value
-        number = items.vocabulary.get
         for batch in shared.pieces_of(batches):
-            passages = []
-            for doc, text in enumerate(batch.column("text").to_pylist()):
-                words = np.array([number(w, 0) for w in words_of(text)], np.int32)
-                passages += [(doc, item, s, words[s:e]) for item, s, e in items.passages(words)]
-            got = list(aligned(items, passages))
-            where = pa.array([d for d, *_ in got], pa.int64())
-            cols = [[items.ids[i] for _, i, *_ in got], [x[2] for x in got], [x[3] for x in got], [x[4] for x in got]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("mark").take(where), *(pa.array(c, k) for c, k in zip(cols, kinds[2:], strict=True))], ["doc_id", "mark", "item_id", "score", "first_word", "end_word"])
+            texts = batch.column("text").to_pylist()
+            for _, items in _each(blocks):
+                number, passages = items.vocabulary.get, []
+                for doc, text in enumerate(texts):
+                    words = np.array([number(w, 0) for w in words_of(text)], np.int32)
+                    passages += [(doc, item, s, words[s:e]) for item, s, e in items.passages(words)]
+                got = list(aligned(items, passages))
+                where = pa.array([d for d, *_ in got], pa.int64())
+                cols = [[items.ids[i] for _, i, *_ in got], [x[2] for x in got], [x[3] for x in got], [x[4] for x in got]]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("mark").take(where), *(pa.array(c, k) for c, k in zip(cols, kinds[2:], strict=True))], ["doc_id", "mark", "item_id", "score", "first_word", "end_word"])
 
     return rows.mapInArrow(find, FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, mark (hash of the text), item_id, score, first_word, end_word: the best place of each item in a document."""
+def _blocks(benchmark: DataFrame, threshold: float) -> list:
+    """The items in order, as broadcast blocks."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id", "text")
-    blocks: list[DataFrame] = []
-    block: list[tuple[int, str | None]] = []
-    size = 0
+    blocks, block, size = [], [], 0
     for r in items.toLocalIterator():
         block.append((r.item_id, r.text))
         size += len(r.text or "")
         if len(block) == BLOCK or size > BLOCK_CHARS:
-            blocks.append(_block(docs, block, threshold))
+            blocks.append(spark.sparkContext.broadcast(Items(block, threshold)))
             block, size = [], 0
     if block or not blocks:
-        blocks.append(_block(docs, block, threshold))
-    found = reduce(DataFrame.unionByName, blocks)
+        blocks.append(spark.sparkContext.broadcast(Items(block, threshold)))
+    return blocks
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, mark (hash of the text), item_id, score, first_word, end_word: the best place of each item in a document."""
+    spark = docs.sparkSession
+    rows = shared.id_text(docs).withColumn("mark", F.xxhash64("text"))
+    unsorted = _blocks(benchmark, threshold)
+    counts = shared.store(_counted(rows, unsorted), "item-pairs")
+    blocks = []
+    for k, old in enumerate(unsorted):  # a block at a time is on the driver
+        own, items = counts.where(F.col("block") == k).select("gram", "n").toArrow(), old.value
+        number = np.zeros(len(items.keys), np.int64)
+        number[own["gram"].to_numpy()] = own["n"].to_numpy()
+        items.rarest(number)
+        blocks.append(spark.sparkContext.broadcast(items))
+        old.destroy()
+    shared.drop(counts)
     best = F.max(F.struct("score", (-F.col("first_word")).alias("a"), "end_word")).alias("best")
-    return found.groupBy("doc_id", "mark", "item_id").agg(best).select(
+    return _found(rows, blocks).groupBy("doc_id", "mark", "item_id").agg(best).select(
         "doc_id", "mark", "item_id", "best.score", (-F.col("best.a")).alias("first_word"), F.col("best.end_word").alias("end_word")
     )
 

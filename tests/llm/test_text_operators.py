@@ -290,3 +290,19 @@ def test_seeds_lose_no_alignment(items, text):
     got = {i: s for _, i, s, *_ in sorted(decontaminate.aligned(block, [(0, i, s, words[s:e]) for i, s, e in block.passages(words)]), key=lambda x: x[2])}
     best = {k: smith_waterman(w, text) for k, w in enumerate(items) if w}
     assert got == {k: s / len(items[k]) for k, s in best.items() if s >= 0.5 * len(items[k]) and (len(items[k]) != 2 or s == 2)}
+
+
+def test_many_blocks_of_items_in_two_passes(spark, sf_dir, monkeypatch):
+    """Blocks change nothing, and the texts are read twice whatever their number."""
+    docs = shared.table(spark, sf_dir, "documents").where("n_chars < 6000")
+    bench = shared.table(spark, sf_dir, "benchmark").limit(60)
+    want = Counter(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    assert want
+    passes = []
+    for name in ("_counted", "_found"):
+        monkeypatch.setattr(decontaminate, name, (lambda f: lambda rows, blocks: passes.append(len(blocks)) or f(rows, blocks))(getattr(decontaminate, name)))
+    for block in (7, 1):
+        passes.clear()
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        assert Counter(map(tuple, decontaminate.contaminated(docs, bench).collect())) == want
+        assert passes == [-(-bench.count() // block)] * 2
