@@ -85,6 +85,7 @@ class Generations:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.log = Folder(spark, f"{self.path}/_log")
+        self._read: tuple | None = None
 
     def _all(self) -> list[dict]:
         return [json.loads(self.log.read(n)) for n in self.log.names() if n.endswith(".json")]
@@ -110,6 +111,11 @@ class Generations:
 
     def read(self, schema: str) -> DataFrame | None:
         folders = [f"{self.path}/{e['folder']}" for e in self.entries() if e.get("folder")]
+        if self._read is None or self._read[0] != (schema, folders):  # files of an addition never change, so they are listed once
+            self._read = (schema, folders), self._open(schema, folders)
+        return self._read[1]
+
+    def _open(self, schema: str, folders: list[str]) -> DataFrame | None:
         return self.spark.read.schema(f"{schema}, g string").option("basePath", self.path).parquet(*folders).drop("g") if folders else None
 
     def forget(self) -> None:
